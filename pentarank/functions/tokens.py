@@ -50,11 +50,14 @@ class HashTokenizer:
         ordinary = self.vocab_size - len(SPECIAL_TOKENS)
         digest = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
         hashed = digest % ordinary + len(SPECIAL_TOKENS)
-        place = F.array_position(specials, token)
-        return F.when(place > 0, place - 1).otherwise(hashed).cast("int")
-
-    def encode(self, text: Column | str) -> Column:
-        return F.transform(self.pieces(text), self.token_id)
+        place = F.nullif(F.array_position(specials, token), F.lit(0))
+        return F.coalesce(place - 1, hashed).cast("int")
+
+    def encode(self, text: Column | str, max_length: int | None = None) -> Column:
+        """Token ids; tokens beyond ``max_length`` are cut before they are looked up."""
+        pieces = self.pieces(text)
+        kept = pieces if max_length is None else truncate(pieces, max_length)
+        return F.transform(kept, self.token_id)
 
     def vocabulary(self, texts: DataFrame, column: str) -> DataFrame:
         """``(token_id, token)`` seen in a corpus, the smallest token for a shared id."""

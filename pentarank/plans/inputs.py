@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pentarank.functions import text
 from pentarank.schemas import IGNORE_INDEX, IMAGE_COLUMNS, NUM_CANDIDATES, PROMPT_COLUMNS
+from pentarank.session import spread_small
 
 GROUP = NUM_CANDIDATES + 1  # one sentence (or text vector) and its candidates
 SEQUENCE = 8
@@ -15,6 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents for work that is heavy per row."""
+    return spread_small(table(spark, sf_dir, "documents"), "doc_id")
+
+
 def _member(value: str, place: int) -> Column:
     return F.max(F.when(F.col("place") == place, F.col(value)))
 
@@ -81,7 +87,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     opener = F.when(lang == "de", text.OUTPUT_OPENER + "\n").otherwise("")
     answer = F.concat(F.lit('{"Compound": "'), F.col("source"), F.lit('", "Image": "1"}\n</output>'))
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         "doc_id",
         F.concat(F.lit("<reasoning>"), "text", closing, F.lit("\n\n"), opener, answer).alias("reply"),
     )
@@ -119,7 +125,7 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(doc % 11 == 0, F.lit("no answer")).otherwise(
         tagged(answer(F.concat(F.lit('"'), truth, F.lit('"'))))
     )
-    return table(spark, sf_dir, "documents").select(
+    return documents(spark, sf_dir).select(
         doc.alias("id"),
         "source",
         F.concat(head, prediction).alias("prediction"),
@@ -142,7 +148,7 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Joined on conversation and turn, so a long conversation spreads over all tasks.
     """
-    turns = table(spark, sf_dir, "conversations")
+    turns = spread_small(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     asked = turns.filter(F.col("role") == "user").select(
         "conv_id", "turn", F.col("text").alias("user_text")
     )

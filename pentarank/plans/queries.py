@@ -270,7 +270,7 @@ def batched_map(spark: SparkSession, sf_dir: str) -> DataFrame:
             "n_digits": [len(digits.findall(t)) for t in batch["text"]],
         }
 
-    documents = inputs.table(spark, sf_dir, "documents").select("doc_id", "lang", "text")
+    documents = inputs.documents(spark, sf_dir).select("doc_id", "lang", "text")
     return mapping.batched_map(
         documents, count, "n_vowels int, n_digits int", ["text"], remove_columns=["text"]
     )
@@ -310,8 +310,9 @@ def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def tokenize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = inputs.table(spark, sf_dir, "documents")
-    fixed = tokens.fixed_length(TOKENIZER.encode("text"), TOKENIZER.pad_id, PAIR_MAX_LENGTH)
+    documents = inputs.documents(spark, sf_dir)
+    ids = TOKENIZER.encode("text", PAIR_MAX_LENGTH)
+    fixed = tokens.fixed_length(ids, TOKENIZER.pad_id, PAIR_MAX_LENGTH)
     return documents.select("doc_id", fixed.alias("fixed")).select(
         "doc_id",
         _array_md5("fixed.input_ids").alias("input_ids_md5"),
@@ -321,7 +322,8 @@ def tokenize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _labels(chats: DataFrame, tokenizer: tokens.HashTokenizer, max_length: int) -> DataFrame:
-    fixed = tokens.fixed_length(tokenizer.encode("chat"), tokenizer.pad_id, max_length)
+    ids = tokenizer.encode("chat", max_length)
+    fixed = tokens.fixed_length(ids, tokenizer.pad_id, max_length)
     marker = tokenizer.special_id(prompts.INSTRUCTION_END)
     labels = tokens.mask_labels("fixed.input_ids", "fixed.attention_mask", marker)
     return chats.withColumn("fixed", fixed).select("conv_id", "turn", labels.alias("labels"))
@@ -345,7 +347,7 @@ def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def token_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
-    documents = inputs.table(spark, sf_dir, "documents")
+    documents = inputs.documents(spark, sf_dir)
     return batching.token_length_profile(documents, TOKENIZER.pieces("text"), ["lang"])
 
 

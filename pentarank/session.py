@@ -48,3 +48,15 @@ def materialise(df: DataFrame) -> DataFrame:
             folder = tempfile.mkdtemp(prefix="pentarank-checkpoint-")
         sc.setCheckpointDir(folder)
     return df.checkpoint(eager=True)
+
+
+def spread_small(df: DataFrame, *keys: str) -> DataFrame:
+    """Give an input of few file splits one task per core, hashed on unique ``keys``.
+
+    Meant for work that is heavy per row. Inputs with enough splits, which is any large
+    table, are returned as they are, so nothing is shuffled for them.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    if df.rdd.getNumPartitions() > cores // 2:
+        return df
+    return df.repartition(cores, *keys)
