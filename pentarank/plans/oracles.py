@@ -395,7 +395,7 @@ SELECT conv_id, turn,
   string_agg(CASE WHEN p.token_id = -100 THEN '</s>' ELSE v.token END, ' ' ORDER BY i) AS decoded
 FROM places p LEFT JOIN vocabulary v USING (token_id) GROUP BY 1, 2"""
     sql["token_length_profile"] = f"""SELECT lang, count(*) AS n_rows, CAST(max(n) AS INTEGER) AS max_tokens,
-  quantile_cont(n, 0.5) AS p50_tokens, quantile_cont(n, 0.95) AS p95_tokens
+  round(quantile_cont(n, 0.5), 6) AS p50_tokens, round(quantile_cont(n, 0.95), 6) AS p95_tokens
 FROM (SELECT lang, CAST(len({_pieces("text")}) AS DOUBLE) AS n FROM documents) GROUP BY lang"""
     sql["assign_batches"] = _BATCHES
     sql["limit_batches"] = f"SELECT * FROM ({_BATCHES}) WHERE batch_id < 3"

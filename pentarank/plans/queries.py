@@ -348,7 +348,8 @@ def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = inputs.documents(spark, sf_dir)
-    return batching.token_length_profile(documents, TOKENIZER.pieces("text"), ["lang"])
+    profile = batching.token_length_profile(documents, TOKENIZER.pieces("text"), ["lang"])
+    return _rounded(profile, "p50_tokens", "p95_tokens")
 
 
 def assign_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
