@@ -24,7 +24,7 @@ LONGEST_PIECE = 32
 class HashTokenizer:
     """Words of at most 32 letters, single symbols, and the special tokens.
 
-    Ids of ordinary tokens are an md5 prefix modulo the vocabulary size. Both the number
+    Ids of ordinary tokens are their CRC-32 modulo the vocabulary size. Both the number
     of ids and the length of a token are bounded, hence so is any vocabulary table.
     """
 
@@ -33,7 +33,7 @@ class HashTokenizer:
     @property
     def pattern(self) -> str:
         word = r"[\p{L}\p{N}_]{1,%d}" % LONGEST_PIECE
-        return r"<s>|</s>|\[INST\]|\[/INST\]|\[IMG\]|" + word + r"|[^\p{L}\p{N}_\t-\r ]"
+        return word + r"|<s>|</s>|\[INST\]|\[/INST\]|\[IMG\]|[^\p{L}\p{N}_\t-\r ]"
 
     def special_id(self, token: str) -> int:
         return SPECIAL_TOKENS.index(token)
@@ -47,11 +47,9 @@ class HashTokenizer:
 
     def token_id(self, token: Column) -> Column:
         specials = F.array(*[F.lit(t) for t in SPECIAL_TOKENS])
-        ordinary = self.vocab_size - len(SPECIAL_TOKENS)
-        digest = F.conv(F.substring(F.md5(token), 1, 8), 16, 10).cast("bigint")
-        hashed = digest % ordinary + len(SPECIAL_TOKENS)
-        place = F.nullif(F.array_position(specials, token), F.lit(0))
-        return F.coalesce(place - 1, hashed).cast("int")
+        hashed = F.crc32(token) % (self.vocab_size - len(SPECIAL_TOKENS)) + len(SPECIAL_TOKENS)
+        special = F.array_position(specials, token) - 1
+        return F.when(token.isin(*SPECIAL_TOKENS), special).otherwise(hashed).cast("int")
 
     def encode(self, text: Column | str, max_length: int | None = None) -> Column:
         """Token ids; tokens beyond ``max_length`` are cut before they are looked up."""
@@ -61,14 +59,16 @@ class HashTokenizer:
 
     def vocabulary(self, texts: DataFrame, column: str) -> DataFrame:
         """``(token_id, token)`` seen in a corpus, the smallest token for a shared id."""
-        tokens = texts.select(F.explode(self.pieces(column)).alias("token"))
-        seen = tokens.groupBy(self.token_id(F.col("token")).alias("token_id")).agg(
+        # Ids are looked up once per distinct token, not once per occurrence.
+        distinct = texts.select(F.explode(self.pieces(column)).alias("token")).distinct()
+        ordinary = distinct.filter(~F.col("token").isin(*SPECIAL_TOKENS))
+        seen = ordinary.groupBy(self.token_id(F.col("token")).alias("token_id")).agg(
             F.min("token").alias("token")
         )
         special = texts.sparkSession.createDataFrame(
             list(enumerate(SPECIAL_TOKENS)), "token_id int, token string"
         )
-        return seen.filter(F.col("token_id") >= len(SPECIAL_TOKENS)).unionByName(special)
+        return seen.unionByName(special)
 
 
 def truncate(ids: Column, max_length: int) -> Column:

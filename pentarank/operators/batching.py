@@ -62,7 +62,7 @@ def assign_batches(
         numbered = row_index(df.select(id_col), [id_col])
     return numbered.withColumns(
         {
-            "batch_id": F.floor(F.col("row_index") / F.lit(batch_size)),
+            "batch_id": F.expr(f"row_index div {int(batch_size)}"),
             "slot": (F.col("row_index") % batch_size).cast("int"),
         }
     )

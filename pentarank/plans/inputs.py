@@ -2,18 +2,32 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-
-from pentarank.functions import text
-from pentarank.schemas import IGNORE_INDEX, IMAGE_COLUMNS, NUM_CANDIDATES, PROMPT_COLUMNS
+from pyspark.sql import DataFrame, SparkSession
+
+from pentarank.schemas import (
+    CANDIDATE_NUMBERS,
+    IGNORE_INDEX,
+    IMAGE_COLUMNS,
+    NUM_CANDIDATES,
+    PROMPT_COLUMNS,
+)
 from pentarank.session import spread_small
 
 GROUP = NUM_CANDIDATES + 1  # one sentence (or text vector) and its candidates
 SEQUENCE = 8
 
+SCHEMAS = {
+    "documents": "doc_id bigint, text string, lang string, source string, n_chars bigint",
+    "embeddings": "vec_id bigint, embedding array<float>, label int",
+    "conversations": "conv_id bigint, turn bigint, role string, text string",
+    "labels": "doc_id bigint, quality int, toxic int",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, "
+    "value double, props string",
+}
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,26 +35,28 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spread_small(table(spark, sf_dir, "documents"), "doc_id")
 
 
-def _member(value: str, place: int) -> Column:
-    return F.max(F.when(F.col("place") == place, F.col(value)))
+def _member(value: str, place: int) -> str:
+    return f"max(CASE WHEN place = {place} THEN {value} END)"
+
+
+def _members(value: str) -> str:
+    slots = ", ".join(_member(value, i) for i in CANDIDATE_NUMBERS)
+    return f"array_compact(array({slots}))"
 
 
 def candidate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(group_id, text_vec, image_vecs, gold)`` from consecutive embeddings.
 
     ``gold`` holds a label value per candidate. The last group may have fewer candidates.
+    Each place of a group keeps one value, so groups are bounded before the shuffle.
     """
-    rows = table(spark, sf_dir, "embeddings").select(
-        F.expr(f"vec_id div {GROUP}").alias("group_id"),
-        (F.col("vec_id") % GROUP).alias("place"),
-        "embedding",
-        "label",
-    )
-    places = range(1, GROUP)
-    return rows.groupBy("group_id").agg(
-        _member("embedding", 0).alias("text_vec"),
-        F.array_compact(F.array(*[_member("embedding", i) for i in places])).alias("image_vecs"),
-        F.array_compact(F.array(*[_member("label", i) for i in places])).alias("gold"),
+    return spark.sql(
+        f"""SELECT group_id, {_member("embedding", 0)} AS text_vec,
+              {_members("embedding")} AS image_vecs, {_members("label")} AS gold
+            FROM (SELECT vec_id div {GROUP} AS group_id, vec_id % {GROUP} AS place, embedding, label
+                  FROM {{embeddings}})
+            GROUP BY group_id""",
+        embeddings=table(spark, sf_dir, "embeddings"),
     )
 
 
@@ -49,47 +65,35 @@ def records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Image bytes are those of the description. The last record may lack candidates.
     """
-    rows = table(spark, sf_dir, "documents").select(
-        F.expr(f"doc_id div {GROUP}").cast("int").alias("id"),
-        (F.col("doc_id") % GROUP).alias("place"),
-        "text",
-        "lang",
-        "source",
-    )
-    grouped = rows.groupBy("id").agg(
-        _member("lang", 0).alias("language"),
-        _member("text", 0).alias("sentence"),
-        _member("source", 0).alias("style"),
-        *[_member("text", i).alias(p) for i, p in enumerate(PROMPT_COLUMNS, 1)],
-    )
-    kind = F.when(F.col("language") == "en", "literal").otherwise("idiomatic")
-    return grouped.select(
-        "id",
-        "language",
-        F.concat_ws(" ", "language", "style").alias("compound"),
-        kind.alias("sentence_type"),
-        "sentence",
-        "style",
-        *PROMPT_COLUMNS,
-        *[F.col(p).cast("binary").alias(m) for p, m in zip(PROMPT_COLUMNS, IMAGE_COLUMNS)],
+    descriptions = [f"{_member('text', i)} AS {p}" for i, p in enumerate(PROMPT_COLUMNS, 1)]
+    images = [f"CAST({p} AS BINARY) AS {m}" for p, m in zip(PROMPT_COLUMNS, IMAGE_COLUMNS)]
+    return spark.sql(
+        f"""SELECT id, language, concat_ws(' ', language, style) AS compound,
+              CASE WHEN language = 'en' THEN 'literal' ELSE 'idiomatic' END AS sentence_type,
+              sentence, style, {", ".join(PROMPT_COLUMNS)}, {", ".join(images)}
+            FROM (
+              SELECT id, {_member("lang", 0)} AS language, {_member("text", 0)} AS sentence,
+                {_member("source", 0)} AS style, {", ".join(descriptions)}
+              FROM (SELECT CAST(doc_id div {GROUP} AS INT) AS id, doc_id % {GROUP} AS place,
+                      text, lang, source FROM {{documents}})
+              GROUP BY id)""",
+        documents=table(spark, sf_dir, "documents"),
     )
 
 
 def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``(doc_id, reply)``: each whole document as reasoning, the answer its language.
+    """``(doc_id, reply)``: each whole document as reasoning, the answer its source.
 
     English replies never close their reasoning, French ones close it twice and German
     ones open the output a second time.
     """
-    lang = F.col("lang")
-    closing = F.when(lang == "en", "").when(lang == "fr", text.REASONING_CLOSER * 2).otherwise(
-        text.REASONING_CLOSER
-    )
-    opener = F.when(lang == "de", text.OUTPUT_OPENER + "\n").otherwise("")
-    answer = F.concat(F.lit('{"Compound": "'), F.col("source"), F.lit('", "Image": "1"}\n</output>'))
-    return documents(spark, sf_dir).select(
+    return documents(spark, sf_dir).selectExpr(
         "doc_id",
-        F.concat(F.lit("<reasoning>"), "text", closing, F.lit("\n\n"), opener, answer).alias("reply"),
+        r"""concat('<reasoning>', text,
+              CASE lang WHEN 'en' THEN '' WHEN 'fr' THEN '</reasoning></reasoning>'
+                ELSE '</reasoning>' END,
+              '\n\n', CASE lang WHEN 'de' THEN '<output>\n' ELSE '' END,
+              '{"Compound": "', source, '", "Image": "1"}\n</output>') AS reply""",
     )
 
 
@@ -98,48 +102,41 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Predictions come in nine well and badly formed kinds, labels in two.
     """
-    doc = F.col("doc_id")
-    guess = (F.expr("doc_id div 5") % 5 + 1).cast("string")
-    truth = (doc % 5 + 1).cast("string")
-    kind = doc % 9
-    head = F.concat(F.lit("<reasoning> "), F.col("text"), F.lit(" </reasoning>\n\n"))
-
-    def tagged(body: Column) -> Column:
-        return F.concat(F.lit("<output>\n"), body, F.lit("\n</output></s>"))
-
-    def answer(image: Column) -> Column:
-        return F.concat(F.lit('{"Compound": "'), F.col("source"), F.lit('", "Image": '), image, F.lit("}"))
-
-    quoted = F.concat(F.lit('"'), guess, F.lit('"'))
-    prediction = (
-        F.when(kind == 0, tagged(answer(quoted)))
-        .when(kind == 1, tagged(answer(guess)))
-        .when(kind == 2, tagged(answer(F.lit('"three"'))))
-        .when(kind == 3, tagged(F.concat(F.lit('{"Answer": '), guess, F.lit("}"))))
-        .when(kind == 4, tagged(F.concat(answer(quoted), F.lit(" ok"))))
-        .when(kind == 5, F.concat(F.lit("<output>"), answer(guess), F.lit("</s></s>")))
-        .when(kind == 6, F.concat(F.lit("Image "), guess))
-        .when(kind == 7, F.concat(F.lit("<output>\n\n"), tagged(answer(quoted))))
-        .otherwise(tagged(answer(F.concat(F.lit('" '), guess, F.lit(' "')))))
-    )
-    label = F.when(doc % 11 == 0, F.lit("no answer")).otherwise(
-        tagged(answer(F.concat(F.lit('"'), truth, F.lit('"'))))
+    parts = documents(spark, sf_dir).selectExpr(
+        "doc_id",
+        "source",
+        r"concat('<reasoning> ', text, ' </reasoning>\n\n') AS head",
+        r"'<output>\n' AS opened",
+        r"'\n</output></s>' AS closed",
+        """concat('{"Compound": "', source, '", "Image": ') AS start""",
+        "string(doc_id div 5 % 5 + 1) AS guess",
+        "string(doc_id % 5 + 1) AS truth",
     )
-    return documents(spark, sf_dir).select(
-        doc.alias("id"),
+    return parts.selectExpr(
+        "doc_id AS id",
         "source",
-        F.concat(head, prediction).alias("prediction"),
-        F.concat(head, label).alias("label"),
+        r"""concat(head, CASE doc_id % 9
+              WHEN 0 THEN concat(opened, start, '"', guess, '"}', closed)
+              WHEN 1 THEN concat(opened, start, guess, '}', closed)
+              WHEN 2 THEN concat(opened, start, '"three"}', closed)
+              WHEN 3 THEN concat(opened, '{"Answer": ', guess, '}', closed)
+              WHEN 4 THEN concat(opened, start, '"', guess, '"} ok', closed)
+              WHEN 5 THEN concat('<output>', start, guess, '}</s></s>')
+              WHEN 6 THEN concat('Image ', guess)
+              WHEN 7 THEN concat('<output>\n\n', opened, start, '"', guess, '"}', closed)
+              ELSE concat(opened, start, '" ', guess, ' "}', closed) END) AS prediction""",
+        """concat(head, CASE WHEN doc_id % 11 = 0 THEN 'no answer'
+              ELSE concat(opened, start, '"', truth, '"}', closed) END) AS label""",
     )
 
 
 def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(seq_id, pos, logits, target)`` from embeddings; class 0 stands for padding."""
-    return table(spark, sf_dir, "embeddings").select(
-        F.expr(f"vec_id div {SEQUENCE}").alias("seq_id"),
-        (F.col("vec_id") % SEQUENCE).cast("int").alias("pos"),
-        F.transform(F.col("embedding").cast("array<double>"), lambda x: x * 10).alias("logits"),
-        F.when(F.col("label") == 0, IGNORE_INDEX).otherwise(F.col("label")).alias("target"),
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        f"vec_id div {SEQUENCE} AS seq_id",
+        f"int(vec_id % {SEQUENCE}) AS pos",
+        "transform(CAST(embedding AS ARRAY<DOUBLE>), x -> x * 10) AS logits",
+        f"CASE WHEN label = 0 THEN {IGNORE_INDEX} ELSE label END AS target",
     )
 
 
@@ -149,10 +146,11 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     Joined on conversation and turn, so a long conversation spreads over all tasks.
     """
     turns = spread_small(table(spark, sf_dir, "conversations"), "conv_id", "turn")
-    asked = turns.filter(F.col("role") == "user").select(
-        "conv_id", "turn", F.col("text").alias("user_text")
-    )
-    answered = turns.filter(F.col("role") == "assistant").select(
-        "conv_id", (F.col("turn") - 1).alias("turn"), F.col("text").alias("assistant_text")
+    return spark.sql(
+        """SELECT asked.conv_id, asked.turn, asked.text AS user_text, answer.text AS assistant_text
+           FROM {turns} AS asked
+           JOIN (SELECT conv_id, turn - 1 AS turn, text FROM {turns} WHERE role = 'assistant') AS answer
+             ON asked.conv_id = answer.conv_id AND asked.turn = answer.turn
+           WHERE asked.role = 'user'""",
+        turns=turns,
     )
-    return asked.join(answered, ["conv_id", "turn"])

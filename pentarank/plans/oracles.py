@@ -215,26 +215,43 @@ def _pieces(value: str) -> str:
     return f"regexp_extract_all({value}, {_quote(TOKENIZER.pattern)})"
 
 
-def _token_id(token: str, vocab_size: int) -> str:
-    specials = "[" + ", ".join(_quote(t) for t in SPECIAL_TOKENS) + "]"
-    count = len(SPECIAL_TOKENS)
-    return (
-        f"CASE WHEN list_contains({specials}, {token}) THEN list_position({specials}, {token}) - 1"
-        f" ELSE CAST('0x' || substr(md5({token}), 1, 8) AS BIGINT) % {vocab_size - count} + {count} END"
-    )
+_SPECIALS = "[" + ", ".join(_quote(t) for t in SPECIAL_TOKENS) + "]"
+# CRC-32 from its definition: the table of all bytes, then one step per byte.
+_CRC_TABLE = """crc_table AS (
+  SELECT list_transform(range(256), lambda n: list_reduce(list_prepend(n, range(8)),
+    lambda c, step: xor(c >> 1, CASE WHEN c % 2 = 1 THEN 3988292384 ELSE 0 END))) AS t)"""
 
 
-def _encoded(value: str, vocab_size: int) -> str:
-    return f"list_transform({_pieces(value)}, lambda t: {_token_id('t', vocab_size)})"
+def _encoding(source: str, keys: str, text: str, vocab_size: int, max_length: int) -> str:
+    """CTEs ``coded`` (token, token_id) of all tokens and ``encoded`` (keys, ids)."""
+    count = len(SPECIAL_TOKENS)
+    return f"""{_CRC_TABLE},
+split AS (SELECT {keys}, {_pieces(text)} AS pieces FROM {source}),
+distinct_tokens AS (
+  SELECT token, list_transform(range(octet_length(encode(token))),
+    lambda i: CAST('0x' || substr(hex(encode(token)), 2 * i + 1, 2) AS BIGINT)) AS bytes
+  FROM (SELECT DISTINCT unnest(pieces) AS token FROM split)),
+coded AS (
+  SELECT token, CASE WHEN list_contains({_SPECIALS}, token) THEN list_position({_SPECIALS}, token) - 1
+    ELSE xor(list_reduce(list_prepend(4294967295, bytes),
+      lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % {vocab_size - count} + {count}
+    END AS token_id
+  FROM distinct_tokens, crc_table),
+flat AS (
+  SELECT {keys}, unnest(list_slice(pieces, 1, {max_length})) AS token,
+    generate_subscripts(list_slice(pieces, 1, {max_length}), 1) AS i FROM split),
+listed AS (
+  SELECT {keys}, list(CAST(token_id AS BIGINT) ORDER BY i) AS ids FROM flat JOIN coded USING (token) GROUP BY ALL),
+encoded AS (
+  SELECT {keys}, coalesce(ids, []::BIGINT[]) AS ids FROM split LEFT JOIN listed USING ({keys}))"""
 
 
 def _labels(vocab_size: int, max_length: int) -> str:
-    return f"""cut AS (
-  SELECT conv_id, turn, list_slice({_encoded("chat", vocab_size)}, 1, {max_length}) AS ids FROM chats),
+    return f"""{_encoding("chats", "conv_id, turn", "chat", vocab_size, max_length)},
 labels AS (
   SELECT conv_id, turn, list_concat(
     list_resize([]::BIGINT[], {max_length} - len(ids) + coalesce(list_position(ids, 3), 0), -100),
-    list_slice(ids, coalesce(list_position(ids, 3), 0) + 1, len(ids))) AS labels FROM cut)"""
+    list_slice(ids, coalesce(list_position(ids, 3), 0) + 1, len(ids))) AS labels FROM encoded)"""
 
 
 _BATCHES = f"""SELECT doc_id, row_index, row_index // {SIMILARITY_BATCH} AS batch_id,
@@ -371,14 +388,13 @@ FROM (SELECT id, correct_image, md5(prompt) AS h FROM prompted)"""
 FROM (SELECT doc_id, {user} AS u, {assistant} AS a FROM parts)"""
     sql["chat_messages"] = _with(_EXCHANGES) + """SELECT conv_id, turn, false AS generation, md5(chat) AS chat_md5 FROM chats
 UNION ALL SELECT conv_id, turn, true AS generation, md5(open_chat) AS chat_md5 FROM chats"""
-    sql["tokenize_pad"] = f"""WITH cut AS (
-  SELECT doc_id, list_slice({_encoded("text", TOKENIZER.vocab_size)}, 1, {PAIR_MAX_LENGTH}) AS ids FROM documents)
-SELECT doc_id,
+    sql["tokenize_pad"] = _with(
+        _encoding("documents", "doc_id", "text", TOKENIZER.vocab_size, PAIR_MAX_LENGTH)
+    ) + f"""SELECT doc_id,
   md5(array_to_string(list_concat(list_resize([]::BIGINT[], {PAIR_MAX_LENGTH} - len(ids), 1), ids), ' ')) AS input_ids_md5,
-  {PAIR_MAX_LENGTH} AS length,
-  md5(array_to_string(list_concat(list_resize([]::INTEGER[], {PAIR_MAX_LENGTH} - len(ids), 0),
-    list_resize([]::INTEGER[], len(ids), 1)), ' ')) AS attention_md5
-FROM cut"""
+  {PAIR_MAX_LENGTH} AS length, CAST(len(ids) AS INTEGER) AS n_tokens,
+  CASE WHEN len(ids) = 0 THEN 0 ELSE {PAIR_MAX_LENGTH} - len(ids) + 1 END AS first_token
+FROM encoded"""
     sql["mask_labels"] = _with(_EXCHANGES, _labels(TOKENIZER.vocab_size, PAIR_MAX_LENGTH)) + (
         "SELECT conv_id, turn, md5(array_to_string(labels, ' ')) AS labels_md5 FROM labels"
     )
@@ -387,9 +403,8 @@ FROM cut"""
         f"SELECT {i} AS token_id, {_quote(t)} AS token" for i, t in enumerate(SPECIAL_TOKENS)
     )
     sql["decode_tokens"] = _with(_EXCHANGES, _labels(small, SIMILARITY_MAX_LENGTH)) + f""", vocabulary AS (
-  SELECT {_token_id("token", small)} AS token_id, min(token) AS token
-  FROM (SELECT unnest({_pieces("chat")}) AS token FROM chats) GROUP BY 1
-  HAVING token_id >= {len(SPECIAL_TOKENS)} UNION ALL {specials}),
+  SELECT token_id, min(token) AS token FROM coded WHERE token_id >= {len(SPECIAL_TOKENS)} GROUP BY 1
+  UNION ALL {specials}),
 places AS (SELECT conv_id, turn, unnest(labels) AS token_id, generate_subscripts(labels, 1) AS i FROM labels)
 SELECT conv_id, turn,
   string_agg(CASE WHEN p.token_id = -100 THEN '</s>' ELSE v.token END, ' ' ORDER BY i) AS decoded

@@ -317,7 +317,8 @@ def tokenize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id",
         _array_md5("fixed.input_ids").alias("input_ids_md5"),
         F.size("fixed.input_ids").alias("length"),
-        _array_md5("fixed.attention_mask").alias("attention_md5"),
+        F.size(F.array_remove("fixed.attention_mask", 0)).alias("n_tokens"),
+        F.array_position("fixed.attention_mask", F.lit(1)).alias("first_token"),
     )
 
 

@@ -1,6 +1,6 @@
 from __future__ import annotations
 
-import hashlib
+import zlib
 
 import pytest
 from pyspark.sql import functions as F
@@ -56,7 +56,7 @@ def test_pieces_and_ids(spark):
     assert pieces == ["Ça", "va", ",", "ok_1", "!", "[INST]", "x", "[/INST]", "</s>", "y" * 32, "y" * 8, "😀"]
     ids = one(spark, text, "string", TOKENIZER.encode("x"))
     assert (ids[5], ids[7], ids[8]) == (2, 3, 1)
-    expected = int(hashlib.md5("Ça".encode()).hexdigest()[:8], 16) % 45 + 5
+    expected = zlib.crc32("Ça".encode()) % 45 + 5
     assert ids[0] == expected and all(5 <= i < 50 for i in ids[:5])
     assert one(spark, text, "string", TOKENIZER.encode("x", 3)) == ids[:3]
 
