@@ -134,3 +134,30 @@ def target_log_prob(
         return let(F.array_max(v), lambda top: F.log(F.greatest(prob(v, top), F.lit(floor))))
 
     return F.when(target != ignore_index, let(values, log_prob))
+
+
+def mean_log_prob(
+    logits: Column | str,
+    targets: Column | str,
+    shift: bool = False,
+    ignore_index: int = IGNORE_INDEX,
+    floor: float = 1e-9,
+) -> Column:
+    """Mean target log-probability of a sequence held in one row; NaN when all is padding.
+
+    ``logits`` has one array per position, ``targets`` one class per position. With
+    ``shift`` each position predicts the target of the next one. Rows stored this way
+    are scored where they are, without the shuffles the long form needs.
+    """
+    logits, targets = as_column(logits), as_column(targets)
+    if shift:
+        count = F.greatest(F.size(targets) - 1, F.lit(0))
+        logits, targets = F.slice(logits, 1, count), F.slice(targets, 2, count)
+
+    def one(row: Column, target: Column) -> Column:
+        return target_log_prob(row, target, ignore_index, floor)
+
+    def mean(scored: Column) -> Column:
+        return F.coalesce(F.try_divide(total(scored), F.size(scored)), F.lit(NAN))
+
+    return let(F.array_compact(F.zip_with(logits, targets, one)), mean)

@@ -9,6 +9,7 @@ from pentarank.operators import (
     images,
     mapping,
     metrics,
+    preparation,
     routing,
     runs,
 )
@@ -22,6 +23,7 @@ __all__ = [
     "images",
     "mapping",
     "metrics",
+    "preparation",
     "routing",
     "runs",
 ]

@@ -398,6 +398,43 @@ FROM encoded"""
     sql["mask_labels"] = _with(_EXCHANGES, _labels(TOKENIZER.vocab_size, PAIR_MAX_LENGTH)) + (
         "SELECT conv_id, turn, md5(array_to_string(labels, ' ')) AS labels_md5 FROM labels"
     )
+    filled = _replace_all(
+        _quote(prompts.TRAINING_TEMPLATE),
+        [(prompts.SENTENCE, "sentence")] + [(slot, "'[IMG]'") for slot in prompts.IMAGE_SLOTS],
+    )
+    texts = f"""answers AS (
+  SELECT id, sentence, '<reasoning>' || sentence || '</reasoning>' || chr(10) || chr(10)
+    || '<output>{{"Image": "' || s.correct_image || '"}}</output>' AS answer
+  FROM records JOIN shuffled s USING (id)),
+texts AS (
+  SELECT id, 'train' AS kind, '[INST]' || {filled} || '[/INST]' || answer || '</s>' AS body FROM answers
+  UNION ALL SELECT id, 'open', '[INST]' || {filled} || '[/INST]<reasoning>' FROM answers
+  UNION ALL SELECT id, 'answer', answer FROM answers)"""
+    padded = f"list_concat(list_resize([]::BIGINT[], {PAIR_MAX_LENGTH} - len({{0}}), 1), {{0}})"
+    sql["pair_rows"] = _with(
+        _RECORDS,
+        _PLACED,
+        _SHUFFLED,
+        texts,
+        _encoding("texts", "id, kind", "body", TOKENIZER.vocab_size, PAIR_MAX_LENGTH),
+    ) + f"""SELECT id, false AS generation, md5(array_to_string({padded.format("ids")}, ' ')) AS input_ids_md5,
+  CAST(len(ids) AS INTEGER) AS n_tokens,
+  md5(array_to_string(list_concat(
+    list_resize([]::BIGINT[], {PAIR_MAX_LENGTH} - len(ids) + coalesce(list_position(ids, 3), 0), -100),
+    list_slice(ids, coalesce(list_position(ids, 3), 0) + 1, len(ids))), ' ')) AS labels_md5
+FROM encoded WHERE kind = 'train'
+UNION ALL
+SELECT o.id, true, md5(array_to_string({padded.format("o.ids")}, ' ')), CAST(len(o.ids) AS INTEGER),
+  md5(array_to_string({padded.format("a.ids")}, ' '))
+FROM encoded o JOIN encoded a ON o.id = a.id WHERE o.kind = 'open' AND a.kind = 'answer'"""
+    sql["similarity_rows"] = _with(
+        _RECORDS,
+        _encoding("records", "id", "sentence", TOKENIZER.vocab_size, SIMILARITY_MAX_LENGTH),
+    ) + f"""SELECT id,
+  array_to_string(list_concat(ids, list_resize([]::BIGINT[], {SIMILARITY_MAX_LENGTH} - len(ids), 1)), ' ') AS input_ids,
+  array_to_string(list_concat(list_resize([]::BIGINT[], len(ids), 1),
+    list_resize([]::BIGINT[], {SIMILARITY_MAX_LENGTH} - len(ids), 0)), ' ') AS attention_mask
+FROM encoded"""
     small = SMALL_VOCABULARY.vocab_size
     specials = " UNION ALL ".join(
         f"SELECT {i} AS token_id, {_quote(t)} AS token" for i, t in enumerate(SPECIAL_TOKENS)

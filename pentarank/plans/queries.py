@@ -21,6 +21,7 @@ from pentarank.operators import (
     generation,
     mapping,
     metrics,
+    preparation,
     routing,
     runs,
 )
@@ -229,12 +230,17 @@ def retry_failed_only(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.select("doc_id", "lang", _md5("text").alias("text_md5"))
 
 
-def sft_dataset_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """German records form the test split; each answers with its right image."""
+def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shuffled records, each answered with its right image."""
     shuffled = candidates.shuffle_candidates(inputs.records(spark, sf_dir))
     answer = F.concat(F.lit('<output>{"Image": "'), F.col("correct_image"), F.lit('"}</output>'))
     reasoning = F.concat(F.lit("<reasoning>"), F.col("sentence"), F.lit(text.REASONING_CLOSER))
-    finished = shuffled.withColumns({"reasoning": reasoning, "output": answer})
+    return shuffled.withColumns({"reasoning": reasoning, "output": answer})
+
+
+def sft_dataset_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """German records form the test split."""
+    finished = _finished(spark, sf_dir)
     test = F.col("language") == "de"
     dataset = assembly.assemble_sft_dataset(finished.filter(~test), finished.filter(test))
     hashed = ["sentence", *PROMPT_COLUMNS, *IMAGE_COLUMNS, "reasoning"]
@@ -335,6 +341,33 @@ def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("conv_id", "turn", _array_md5("labels").alias("labels_md5"))
 
 
+def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished records as training rows and as generation rows."""
+    records = _finished(spark, sf_dir)
+    both = []
+    for mode, labels in ((False, "labels"), (True, "partial_labels")):
+        rows = preparation.pair_rows(records, for_generation=mode)
+        both.append(
+            rows.select(
+                "id",
+                F.lit(mode).alias("generation"),
+                _array_md5("input_ids").alias("input_ids_md5"),
+                F.size(F.array_remove("attention_mask", 0)).alias("n_tokens"),
+                _array_md5(labels).alias("labels_md5"),
+            )
+        )
+    return both[0].unionByName(both[1])
+
+
+def similarity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = preparation.similarity_rows(inputs.records(spark, sf_dir))
+    return rows.select(
+        "id",
+        F.array_join("input_ids", " ").alias("input_ids"),
+        F.array_join("attention_mask", " ").alias("attention_mask"),
+    )
+
+
 def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked labels back to text, through the vocabulary of the same conversations."""
     chats = _chats(spark, sf_dir)
@@ -476,6 +509,8 @@ def registry() -> dict[str, Query]:
         "chat_messages": chat_messages,
         "tokenize_pad": tokenize_pad,
         "mask_labels": mask_labels,
+        "pair_rows": pair_rows,
+        "similarity_rows": similarity_rows,
         "decode_tokens": decode_tokens,
         "token_length_profile": token_length_profile,
         "assign_batches": assign_batches,

@@ -175,3 +175,17 @@ def test_shift_takes_the_next_target(logit_rows):
     shifted = metrics.shift_targets(logit_rows)
     got = {(r.seq_id, r.pos): r.target for r in shifted.collect()}
     assert got == {(1, 0): 1, (1, 1): -100, (2, 0): 0, (2, 1): 2}
+
+
+@pytest.mark.parametrize("shift", [False, True])
+def test_sequences_in_rows_score_like_long_form(logit_rows, shift):
+    rows = logit_rows.groupBy("seq_id").agg(
+        F.sort_array(F.collect_list(F.struct("pos", "logits", "target"))).alias("r")
+    )
+    whole = rows.select("seq_id", vectors.mean_log_prob("r.logits", "r.target", shift))
+    long = metrics.shift_targets(logit_rows) if shift else logit_rows
+    expected = dict(metrics.sequence_log_probs(long).collect())
+    got = dict(whole.collect())
+    assert got.keys() - expected.keys() == ({3} if shift else set())
+    assert {k: got[k] for k in expected} == pytest.approx(expected, nan_ok=True)
+    assert not shift or math.isnan(got[3])
