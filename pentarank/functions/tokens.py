@@ -112,19 +112,30 @@ def mask_labels(
     """Labels with padding, and everything up to the first marker, set to ``ignore_index``.
 
     The marker is looked up among unpadded tokens; without one only padding is masked.
+    Padding at the ends, the usual case, is cut off and put back as whole slices; only a
+    mask with gaps is gone through token by token.
     """
-    unpadded = F.zip_with(
-        as_column(input_ids),
-        as_column(attention_mask),
-        lambda token, seen: F.when(seen == 0, F.lit(ignore_index)).otherwise(token),
+    ids, seen = as_column(input_ids), as_column(attention_mask)
+
+    def ignored(count: Column) -> Column:
+        return F.array_repeat(F.lit(ignore_index), count)
+
+    def answer_only(tokens: Column) -> Column:
+        prompt = F.array_position(tokens, F.lit(marker_id)).cast("int")
+        return F.concat(ignored(prompt), F.slice(tokens, prompt + 1, F.size(tokens) - prompt))
+
+    first = F.array_position(seen, F.lit(1)).cast("int")
+    count = F.size(F.array_remove(seen, 0))
+    before = F.greatest(first - 1, F.lit(0))
+    kept = F.slice(ids, before + 1, count)
+    whole = F.size(F.array_remove(F.slice(seen, before + 1, count), 0)) == count
+    blanked = F.zip_with(
+        ids, seen, lambda t, s: F.when(s == 0, F.lit(ignore_index)).otherwise(t)
     )
-
-    def mask(labels: Column) -> Column:
-        prompt = F.array_position(labels, F.lit(marker_id)).cast("int")
-        answer = F.slice(labels, prompt + 1, F.size(labels) - prompt)
-        return F.concat(F.array_repeat(F.lit(ignore_index), prompt), answer)
-
-    return let(unpadded, mask)
+    by_slices = F.concat(
+        ignored(before), let(kept, answer_only), ignored(F.size(ids) - before - count)
+    )
+    return F.when(whole, by_slices).otherwise(let(blanked, answer_only))
 
 
 def with_vocabulary(

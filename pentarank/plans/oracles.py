@@ -246,12 +246,30 @@ encoded AS (
   SELECT {keys}, coalesce(ids, []::BIGINT[]) AS ids FROM split LEFT JOIN listed USING ({keys}))"""
 
 
+def _padded_ids(alias: str) -> str:
+    ids = f"{alias}ids"
+    return f"""md5(array_to_string({ids}, ' ')) AS tokens_md5, CAST(len({ids}) AS INTEGER) AS n_tokens,
+  CASE WHEN len({ids}) = 0 THEN 0 ELSE {PAIR_MAX_LENGTH} - len({ids}) + 1 END AS first_token,
+  CASE WHEN len({ids}) < {PAIR_MAX_LENGTH} THEN '1' ELSE '' END AS padding, {PAIR_MAX_LENGTH} AS length"""
+
+
+def _label_columns(labels: str) -> str:
+    kept = f"list_filter({labels}, lambda t: t <> -100)"
+    return f"""md5(array_to_string({kept}, ' ')) AS labels_md5, CAST(len({kept}) AS INTEGER) AS n_labels,
+  CAST(len({labels}) AS INTEGER) AS labels_length"""
+
+
+def _masked(max_length: int) -> str:
+    prompt = "coalesce(list_position(ids, 3), 0)"
+    return (
+        f"list_concat(list_resize([]::BIGINT[], {max_length} - len(ids) + {prompt}, -100),"
+        f" list_slice(ids, {prompt} + 1, len(ids)))"
+    )
+
+
 def _labels(vocab_size: int, max_length: int) -> str:
     return f"""{_encoding("chats", "conv_id, turn", "chat", vocab_size, max_length)},
-labels AS (
-  SELECT conv_id, turn, list_concat(
-    list_resize([]::BIGINT[], {max_length} - len(ids) + coalesce(list_position(ids, 3), 0), -100),
-    list_slice(ids, coalesce(list_position(ids, 3), 0) + 1, len(ids))) AS labels FROM encoded)"""
+labels AS (SELECT conv_id, turn, {_masked(max_length)} AS labels FROM encoded)"""
 
 
 _BATCHES = f"""SELECT doc_id, row_index, row_index // {SIMILARITY_BATCH} AS batch_id,
@@ -390,13 +408,9 @@ FROM (SELECT doc_id, {user} AS u, {assistant} AS a FROM parts)"""
 UNION ALL SELECT conv_id, turn, true AS generation, md5(open_chat) AS chat_md5 FROM chats"""
     sql["tokenize_pad"] = _with(
         _encoding("documents", "doc_id", "text", TOKENIZER.vocab_size, PAIR_MAX_LENGTH)
-    ) + f"""SELECT doc_id,
-  md5(array_to_string(list_concat(list_resize([]::BIGINT[], {PAIR_MAX_LENGTH} - len(ids), 1), ids), ' ')) AS input_ids_md5,
-  {PAIR_MAX_LENGTH} AS length, CAST(len(ids) AS INTEGER) AS n_tokens,
-  CASE WHEN len(ids) = 0 THEN 0 ELSE {PAIR_MAX_LENGTH} - len(ids) + 1 END AS first_token
-FROM encoded"""
+    ) + f"SELECT doc_id, {_padded_ids('')} FROM encoded"
     sql["mask_labels"] = _with(_EXCHANGES, _labels(TOKENIZER.vocab_size, PAIR_MAX_LENGTH)) + (
-        "SELECT conv_id, turn, md5(array_to_string(labels, ' ')) AS labels_md5 FROM labels"
+        f"SELECT conv_id, turn, {_label_columns('labels')} FROM labels"
     )
     filled = _replace_all(
         _quote(prompts.TRAINING_TEMPLATE),
@@ -410,23 +424,20 @@ texts AS (
   SELECT id, 'train' AS kind, '[INST]' || {filled} || '[/INST]' || answer || '</s>' AS body FROM answers
   UNION ALL SELECT id, 'open', '[INST]' || {filled} || '[/INST]<reasoning>' FROM answers
   UNION ALL SELECT id, 'answer', answer FROM answers)"""
-    padded = f"list_concat(list_resize([]::BIGINT[], {PAIR_MAX_LENGTH} - len({{0}}), 1), {{0}})"
     sql["pair_rows"] = _with(
         _RECORDS,
         _PLACED,
         _SHUFFLED,
         texts,
         _encoding("texts", "id, kind", "body", TOKENIZER.vocab_size, PAIR_MAX_LENGTH),
-    ) + f"""SELECT id, false AS generation, md5(array_to_string({padded.format("ids")}, ' ')) AS input_ids_md5,
-  CAST(len(ids) AS INTEGER) AS n_tokens,
-  md5(array_to_string(list_concat(
-    list_resize([]::BIGINT[], {PAIR_MAX_LENGTH} - len(ids) + coalesce(list_position(ids, 3), 0), -100),
-    list_slice(ids, coalesce(list_position(ids, 3), 0) + 1, len(ids))), ' ')) AS labels_md5
-FROM encoded WHERE kind = 'train'
+    ) + f"""SELECT id, false AS generation, {_padded_ids("")}, {_label_columns("labels")}
+FROM (SELECT id, ids, {_masked(PAIR_MAX_LENGTH)} AS labels FROM encoded WHERE kind = 'train')
 UNION ALL
-SELECT o.id, true, md5(array_to_string({padded.format("o.ids")}, ' ')), CAST(len(o.ids) AS INTEGER),
-  md5(array_to_string({padded.format("a.ids")}, ' '))
-FROM encoded o JOIN encoded a ON o.id = a.id WHERE o.kind = 'open' AND a.kind = 'answer'"""
+SELECT o.id, true AS generation, {_padded_ids("o.")}, {_label_columns("labels")}
+FROM encoded o JOIN (
+  SELECT id, list_concat(list_resize([]::BIGINT[], {PAIR_MAX_LENGTH} - len(ids), 1), ids) AS labels
+  FROM encoded WHERE kind = 'answer') a USING (id)
+WHERE o.kind = 'open'"""
     sql["similarity_rows"] = _with(
         _RECORDS,
         _encoding("records", "id", "sentence", TOKENIZER.vocab_size, SIMILARITY_MAX_LENGTH),

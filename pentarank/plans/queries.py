@@ -27,6 +27,7 @@ from pentarank.operators import (
 )
 from pentarank.plans import inputs
 from pentarank.schemas import (
+    IGNORE_INDEX,
     IMAGE_COLUMNS,
     MAP_BATCH,
     PAIR_MAX_LENGTH,
@@ -50,6 +51,30 @@ def _array_md5(value: Column | str) -> Column:
     return F.md5(F.array_join(value, " "))
 
 
+def _padded_ids(fixed: str) -> list[Column]:
+    """What a left-padded row holds: its tokens, how many, where they start, the padding."""
+    ids, mask = F.col(f"{fixed}input_ids"), F.col(f"{fixed}attention_mask")
+    count = F.size(F.array_remove(mask, 0))
+    start = F.size(ids) - count
+    padding = F.array_distinct(F.slice(ids, 1, start))
+    return [
+        _array_md5(F.slice(ids, start + 1, count)).alias("tokens_md5"),
+        count.alias("n_tokens"),
+        F.array_position(mask, F.lit(1)).alias("first_token"),
+        F.array_join(padding, " ").alias("padding"),
+        F.size(ids).alias("length"),
+    ]
+
+
+def _label_columns(labels: str) -> list[Column]:
+    kept = F.array_remove(labels, IGNORE_INDEX)
+    return [
+        _array_md5(kept).alias("labels_md5"),
+        F.size(kept).alias("n_labels"),
+        F.size(labels).alias("labels_length"),
+    ]
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -319,13 +344,8 @@ def tokenize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = inputs.documents(spark, sf_dir)
     ids = TOKENIZER.encode("text", PAIR_MAX_LENGTH)
     fixed = tokens.fixed_length(ids, TOKENIZER.pad_id, PAIR_MAX_LENGTH)
-    return documents.select("doc_id", fixed.alias("fixed")).select(
-        "doc_id",
-        _array_md5("fixed.input_ids").alias("input_ids_md5"),
-        F.size("fixed.input_ids").alias("length"),
-        F.size(F.array_remove("fixed.attention_mask", 0)).alias("n_tokens"),
-        F.array_position("fixed.attention_mask", F.lit(1)).alias("first_token"),
-    )
+    rows = documents.select("doc_id", fixed.alias("fixed"))
+    return rows.select("doc_id", *_padded_ids("fixed."))
 
 
 def _labels(chats: DataFrame, tokenizer: tokens.HashTokenizer, max_length: int) -> DataFrame:
@@ -338,7 +358,7 @@ def _labels(chats: DataFrame, tokenizer: tokens.HashTokenizer, max_length: int)
 
 def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _labels(_chats(spark, sf_dir), TOKENIZER, PAIR_MAX_LENGTH)
-    return rows.select("conv_id", "turn", _array_md5("labels").alias("labels_md5"))
+    return rows.select("conv_id", "turn", *_label_columns("labels"))
 
 
 def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -349,11 +369,7 @@ def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         rows = preparation.pair_rows(records, for_generation=mode)
         both.append(
             rows.select(
-                "id",
-                F.lit(mode).alias("generation"),
-                _array_md5("input_ids").alias("input_ids_md5"),
-                F.size(F.array_remove("attention_mask", 0)).alias("n_tokens"),
-                _array_md5(labels).alias("labels_md5"),
+                "id", F.lit(mode).alias("generation"), *_padded_ids(""), *_label_columns(labels)
             )
         )
     return both[0].unionByName(both[1])

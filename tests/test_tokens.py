@@ -23,6 +23,9 @@ def test_label_mask(spark):
             ([99, 99, 5, 6, 7, 8], [0, 0, 1, 1, 1, 1]),
             ([5, 99, 6, 99, 7, 0], [1, 1, 1, 1, 1, 0]),
             ([0, 0, 5, 6, 7, 99], [0, 0, 1, 1, 1, 1]),
+            ([5, 99, 7, 99, 6, 8], [1, 0, 1, 1, 0, 1]),
+            ([99, 99], [0, 0]),
+            ([], []),
         ],
         "ids array<int>, seen array<int>",
     )
@@ -33,6 +36,9 @@ def test_label_mask(spark):
         [-100, -100, 5, 6, 7, 8],
         [-100, -100, 6, 99, 7, -100],
         [-100] * 6,
+        [-100, -100, -100, -100, -100, 8],
+        [-100, -100],
+        [],
     ]
 
 
