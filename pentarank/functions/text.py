@@ -76,8 +76,8 @@ def is_json(text: Column | str) -> Column:
 def image_choice(output: Column | str, key: str = "Image") -> Column:
     """The image number of a JSON answer as double; -1 when there is no usable one.
 
-    A JSON number is kept as it is, a string must hold a whole number; the last of
-    repeated keys wins.
+    A JSON number is kept as it is, true and false are 1 and 0, a string must hold a
+    whole number; the last of repeated keys wins.
     """
     output = as_column(output)
     listed = _in_list(output, f"struct<`{key}`:string>")
@@ -93,9 +93,13 @@ def image_choice(output: Column | str, key: str = "Image") -> Column:
     is_number = F.when(finite, text.try_cast("double") == value).otherwise(
         text.startswith('"')
     )
+    # Rare enough to be worth a third reading only for these two words.
+    truth = F.when(
+        text.isin("true", "false"), _in_object(output, f"struct<`{key}`:boolean>")[key]
+    ).cast("double")
     single = (F.size(listed) == 1) & number.isNotNull()
     return (
         F.when(~F.coalesce(single, F.lit(False)), float(NO_IMAGE))
         .when(value.isNotNull() & is_number, value)
-        .otherwise(F.coalesce(from_string, F.lit(float(NO_IMAGE))))
+        .otherwise(F.coalesce(from_string, truth, F.lit(float(NO_IMAGE))))
     )

@@ -47,7 +47,6 @@ def generate_replies(
     def ask(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         generate = make_generator()
         for texts in batches:
-            results: list[tuple[str | None, str | None]] = []
             asked = [(i, t) for i, t in enumerate(texts) if t is not None]
             answers: dict[int, tuple[str | None, str | None]] = {}
             for start in range(0, len(asked), batch_size):
@@ -57,7 +56,6 @@ def generate_replies(
             results = [answers.get(i, (None, "no prompt")) for i in range(len(texts))]
             yield pd.DataFrame(results, columns=["reply", "error"])
 
-    ask.__annotations__ = {"batches": Iterator[pd.Series], "return": Iterator[pd.DataFrame]}
     call = F.pandas_udf(ask, _REPLY).asNondeterministic()
     spread = df if num_partitions is None else df.repartition(num_partitions)
     asked = spread.withColumn("_reply", call(prompt_col))

@@ -45,10 +45,6 @@ def batched_map(
             else:
                 yield pd.DataFrame({f.name: [] for f in schema})
 
-    apply.__annotations__ = {
-        "frames": Iterator[pd.DataFrame],
-        "return": Iterator[pd.DataFrame],
-    }
     call = F.pandas_udf(apply, schema).asNondeterministic()
     spread = df if num_partitions is None else df.repartition(num_partitions)
     mapped = spread.withColumn("_made", call(F.struct(*names)))

@@ -68,6 +68,9 @@ MORE_JSON = [
     "nul",
     "tru",
     '{"image": 3}',
+    '{"Image": true}',
+    '{"Image": false}',
+    '{"Image": "true"}',
 ]
 
 
@@ -123,7 +126,7 @@ def test_is_json_agrees_with_a_strict_parser(spark):
 
 def test_fuzzed_json(spark):
     rng = random.Random(11)
-    pieces = ['{"Image": ', "3", '"3"', "}", "{", "]", "[", ",", " ", '"', "null", '"Image"', ":", "1.5", "x"]
+    pieces = ['{"Image": ', "3", '"3"', "}", "{", "]", "[", ",", " ", '"', "null", '"Image"', ":", "1.5", "x", "true"]
     values = ["".join(rng.choice(pieces) for _ in range(rng.randint(1, 7))) for _ in range(2000)]
     values += ['{"Image": %s}%s' % (rng.choice(pieces), rng.choice(pieces + [""])) for _ in range(500)]
     got = column(spark, values, text.image_choice("t"))
