@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pentarank.llm import simhash, url_filter
-from pentarank.llm.common import table
+from pentarank.llm import packing, simhash, token_counts, url_filter
+from pentarank.llm.common import fresh_folder, table
 
 # The rules of the url query.
 URL_RULES = (
@@ -29,6 +30,19 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = public_tokenizers.path("word_bpe_49k.json")
+    return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, room=4096, end_id=2)
+
+
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Starts from an empty cache, so every distinct text is encoded."""
+    cache = fresh_folder(spark, "token-cache")
+    return token_counts.count_tokens(
+        table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"), cache, limit=4096
+    )
+
+
 def _url_sql() -> str:
     def hits(terms) -> str:
         return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::int" for t in terms)
@@ -59,7 +73,7 @@ def _url_sql() -> str:
 
 
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_url_filters": op1_url_filters, "op5_simhash": op5_simhash}
+    return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
 
 def statements() -> dict[str, str]:
