@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pentarank.llm import packing, simhash, token_counts, url_filter
+from pentarank.llm import cover_tree, packing, quality, simhash, token_counts, url_filter
 from pentarank.llm.common import fresh_folder, table
 
 # The rules of the url query.
@@ -30,6 +30,24 @@ def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3, distance=3)
 
 
+def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``(text, label)`` of labelled documents outside the held-out fold."""
+    fold = F.crc32(F.col("doc_id").cast("string")) % 4
+    marks = labels.select("doc_id", F.col("quality").alias("label"))
+    return docs.filter(fold != 2).select("doc_id", "text").join(marks, "doc_id").select("text", "label")
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = quality.classify(docs, training_rows(docs, table(spark, sf_dir, "labels")), threshold=0.7)
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == 2, F.lit(False))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+def op3_cover_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cover_tree.link_vectors(table(spark, sf_dir, "embeddings"), cosine=0.93)
+
+
 def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = public_tokenizers.path("word_bpe_49k.json")
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, room=4096, end_id=2)

@@ -146,7 +146,7 @@ def _cell(distance: int):
         values = _turn(rows["fp"].to_numpy(np.int64).view(np.uint64), order)
         second = rows["second"].to_numpy(bool)
         first = np.sort(values[~second])
-        other = np.sort(values[second]) if second.any() else None
+        other = np.sort(values[second]) if rows["two"].iloc[0] else None
         both = first if other is None else np.concatenate([first, other])
         offset = 0 if other is None else len(first)
         root = np.arange(len(both))
@@ -191,9 +191,9 @@ def fingerprint_links(fps: DataFrame, count: int, distance: int = 3, block: int
     )
     mine, theirs = F.struct("prefix", "slot"), F.struct(F.col("near").alias("prefix"), F.col("other").alias("slot"))
     cells = reach.select(
-        "ord", "fp", F.least(mine, theirs).alias("x"), F.greatest(mine, theirs).alias("y"), (mine > theirs).alias("second")
+        "ord", "fp", F.least(mine, theirs).alias("x"), F.greatest(mine, theirs).alias("y"), (mine > theirs).alias("second"),
+        (mine != theirs).alias("two"),
     )
-    # Cells with rows on one side only cannot exist: a near prefix was found in ``sizes``.
     return spread(cells, "ord", "x", "y").groupBy("ord", "x", "y").applyInPandas(_cell(distance), "a long, b long")
 
 
