@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pentarank.llm import cover_tree, packing, quality, simhash, token_counts, url_filter
+from pentarank.llm import cover_tree, decontaminate, packing, quality, secrets, simhash, token_counts, url_filter
 from pentarank.llm.common import fresh_folder, table
 
 # The rules of the url query.
@@ -53,6 +53,18 @@ def op4_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), vocabulary, room=4096, end_id=2)
 
 
+def op6_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = secrets.scan(docs, secrets.train(secrets.corpus_samples(docs)))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", "spans")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, items = table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    held = decontaminate.containments(docs, items)
+    return held.select("doc_id", "item_id", "n_shared", "n_item", "containment")
+
+
 def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Starts from an empty cache, so every distinct text is encoded."""
     cache = fresh_folder(spark, "token-cache")
@@ -90,9 +102,24 @@ def _url_sql() -> str:
     from ruled"""
 
 
+def _containment_sql() -> str:
+    def shingles(source: str, key: str) -> str:
+        low = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+        return f"""select distinct {key}, array_to_string(w[i:i+4], ' ') s
+                   from (select {key}, w, unnest(generate_series(1, len(w) - 4)) i
+                         from (select {key}, regexp_extract_all({low}, '[^\\x20\\x09-\\x0D]+') w from {source}))"""
+
+    return f"""
+    with d as ({shingles("documents", "doc_id")}), b as ({shingles("benchmark", "item_id")}),
+    sizes as (select item_id, count(*) n_item from b group by item_id),
+    hits as (select doc_id, item_id, count(*) n_shared from d join b using (s) group by doc_id, item_id)
+    select doc_id, item_id, n_shared::int n_shared, n_item::int n_item, n_shared / n_item containment
+    from hits join sizes using (item_id) where n_shared >= 0.8 * n_item"""
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
 
 def statements() -> dict[str, str]:
-    return {"op1_url_filters": _url_sql()}
+    return {"op1_url_filters": _url_sql(), "op7_decontamination": _containment_sql()}
