@@ -8,7 +8,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pentarank.llm import cover_tree, decontaminate, packing, quality, secrets, simhash, token_counts, url_filter
+from pentarank.llm import (
+    cover_tree,
+    decontaminate,
+    html_extract,
+    packing,
+    quality,
+    secrets,
+    simhash,
+    substrings,
+    token_counts,
+    url_filter,
+)
 from pentarank.llm.common import fresh_folder, table
 
 # The rules of the url query.
@@ -73,6 +84,17 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = html_extract.extract_text(pages, html_extract.train(pages))
+    return found.select("page_id", "url", "text", "n_chars")
+
+
+def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = substrings.remove_repeats(table(spark, sf_dir, "documents"), window=35)
+    return left.select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def _url_sql() -> str:
     def hits(terms) -> str:
         return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::int" for t in terms)
