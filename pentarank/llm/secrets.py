@@ -136,7 +136,7 @@ def scan(docs: DataFrame, model: Model, margin: float = 12.0, per_pair: float =
     )
     found = found.withColumn("found", F.array_sort(F.concat("base", kind(random, 3))))
     for k, name in enumerate(BASE_KINDS):
-        found = found.withColumn(f"n_{name}", F.size(F.filter("base", lambda s, k=k: s["kind"] == k)).cast("long"))
+        found = found.withColumn(f"n_{name}", F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as bigint)"))
     found = found.withColumn("base_sha256", F.sha2(_digest(F.col("base")), 256)).withColumn("spans", _digest(F.col("found")))
     return found.drop(*[c for c in found.columns if c in ("_t", "_v", "_r") or c[:3] in ("_m_", "_p_", "_s_")])
 
@@ -147,8 +147,7 @@ def redact(docs: DataFrame, model: Model, mask: str = MASK, text_col: str = "tex
     Columns are kept; a text without spans, or NULL, stays as it is.
     """
     names = docs.columns
-    work = docs.withColumn("_text", F.col(text_col))
-    found = scan(work.select("*"), model, text_col="_text", **options)
+    found = scan(docs.select(F.struct("*").alias("_row"), F.col(text_col).alias("_text")), model, text_col="_text", **options)
     cleaned = F.expr(f"""
         aggregate(found, struct(0 as pos, cast('' as string) as done),
             (acc, s) -> struct(
@@ -158,4 +157,4 @@ def redact(docs: DataFrame, model: Model, mask: str = MASK, text_col: str = "tex
                      else acc.done end as done),
             acc -> concat(acc.done, substring(_text, acc.pos + 1)))""")
     kept = found.withColumn("_text", F.when(F.size("found") > 0, cleaned).otherwise(F.col("_text")))
-    return kept.select(*[F.col("_text").alias(c) if c == text_col else F.col(c) for c in names])
+    return kept.select(*[F.col("_text").alias(c) if c == text_col else F.col("_row")[c].alias(c) for c in names])

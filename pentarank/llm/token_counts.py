@@ -64,10 +64,17 @@ def count_tokens(
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        count = counter(tokenizer_path).counts
+        count, seen = counter(tokenizer_path).counts, set()
         for batch in batches:
-            counts = count(x.as_py() for x in batch.column(1))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
+            # Rows that repeat both id and text meet in this partition.
+            fresh = []
+            for k, digest in enumerate(batch.column(0).to_pylist()):
+                if digest not in seen:
+                    seen.add(digest)
+                    fresh.append(k)
+            once = batch.take(pa.array(fresh, pa.int64()))
+            counts = count(x.as_py() for x in once.column(1))
+            yield pa.RecordBatch.from_arrays([once.column(0), pa.array(counts, pa.int64())], ["digest", "n_tokens"])
 
     counted = texts.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
