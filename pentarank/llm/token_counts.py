@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
+from pentarank.llm.common import cut
 from pentarank.llm.vocabulary import counter, file_digest
 
 CACHE_SCHEMA = "digest binary, n_tokens long, tokenizer string"
@@ -79,7 +80,8 @@ def count_tokens(
     counted = texts.select("digest", "text").mapInArrow(encode, "digest binary, n_tokens long")
     counted.withColumn("tokenizer", F.lit(version)).write.mode("append").partitionBy("tokenizer").parquet(cache_path)
 
-    stored = read_cache(spark, cache_path, version)
+    # Written out, so that the last join reads plain exchanges, which can be split at a hot digest.
+    stored = cut(read_cache(spark, cache_path, version))
     return rows.select("id", "n_bytes", "digest").join(stored, "digest").select(
         F.col("id").alias(id_col), "n_bytes", "n_tokens", (F.col("n_tokens") > limit).alias("over_limit")
     )
