@@ -83,19 +83,33 @@ def candidates_shuffled(
 def candidates_wide(long: DataFrame, id_col: str = "id", pos_col: str = "pos") -> DataFrame:
     """Long candidates back to numbered columns in ``pos`` order.
 
-    A pivot by hand: each place keeps one value, so partial aggregation holds at most
-    five candidates per record however many rows an id has.
+    A pivot by hand: each place keeps one whole candidate, so partial aggregation holds at
+    most five per record. Two candidates at one place raise; an empty place is NULL.
     """
-    at_place = [
-        expr
-        for i, p, m in zip(CANDIDATE_NUMBERS, PROMPT_COLUMNS, IMAGE_COLUMNS)
-        for expr in (
-            F.max(F.when(F.col(pos_col) == i, F.col("prompt"))).alias(p),
-            F.max(F.when(F.col(pos_col) == i, F.col("image"))).alias(m),
-        )
-    ]
-    correct = F.max(F.when(F.col("idx") == 1, F.col(pos_col))).cast("int")
-    return long.groupBy(id_col).agg(correct.alias("correct_image"), *at_place)
+    candidate = F.struct("prompt", "image", "idx")
+    slots = _places(pos_col, candidate, len(CANDIDATE_NUMBERS), first=1)
+    placed = long.groupBy(id_col).agg(*[s.alias(f"_{i}") for i, s in enumerate(slots, 1)])
+    correct = F.coalesce(*[F.when(F.col(f"_{i}.idx") == 1, F.lit(i)) for i in CANDIDATE_NUMBERS])
+    return placed.select(
+        id_col,
+        correct.cast("int").alias("correct_image"),
+        *[F.col(f"_{i}.prompt").alias(p) for i, p in zip(CANDIDATE_NUMBERS, PROMPT_COLUMNS)],
+        *[F.col(f"_{i}.image").alias(m) for i, m in zip(CANDIDATE_NUMBERS, IMAGE_COLUMNS)],
+    )
+
+
+def _places(pos_col: str, value: Column, count: int, first: int) -> list[Column]:
+    """One aggregate per place: its only value. A place outside the range, or taken twice, raises."""
+    pos = F.col(pos_col)
+    known = F.count_if(~F.coalesce(pos.between(first, first + count - 1), F.lit(False))) == 0
+    outside = F.raise_error(F.lit("candidate position out of range"))
+    twice = F.raise_error(F.lit("two candidates at one position"))
+    slots = []
+    for i in range(first, first + count):
+        here = pos == i
+        only = F.when(F.count_if(here) > 1, twice).otherwise(F.max(F.when(here, value)))
+        slots.append(F.when(known, only).otherwise(outside))
+    return slots
 
 
 def stack_candidates(
@@ -108,11 +122,9 @@ def stack_candidates(
 ) -> DataFrame:
     """Long ``(group, pos, value)`` rows to one array per group, ``pos`` from 0.
 
-    ``count`` bounds the array; a position outside it raises. Missing places are left out.
+    ``count`` bounds the array; a position outside it, or taken twice, raises. A missing
+    place is NULL, so values keep their positions; places after the last are cut off.
     """
-    place = F.when(
-        F.col(pos_col).between(0, count - 1), F.col(pos_col)
-    ).otherwise(F.raise_error(F.lit("candidate position out of range")).cast("int"))
-    slots = [F.max(F.when(F.col("_place") == i, F.col(value_col))) for i in range(count)]
-    stacked = long.withColumn("_place", place).groupBy(group_col)
-    return stacked.agg(F.array_compact(F.array(*slots)).alias(alias))
+    slots = F.array(*_places(pos_col, F.col(value_col), count, first=0))
+    stacked = long.groupBy(group_col).agg(slots.alias("_slots"), F.max(pos_col).alias("_last"))
+    return stacked.select(group_col, F.slice("_slots", F.lit(1), F.col("_last") + 1).alias(alias))

@@ -67,12 +67,25 @@ def test_shuffling_needs_no_exchange(records):
 
 
 def test_stacking_is_bounded_under_a_hot_group(spark):
-    hot = spark.range(3000).select(F.lit(1).alias("g"), (F.col("id") % 3).alias("p"), (F.col("id") % 3).alias("v"))
-    cold = spark.createDataFrame([(2, 1, 8), (2, 0, 9)], hot.schema)
-    stacked = candidates.stack_candidates(hot.unionByName(cold), "g", "p", "v", 3)
-    assert dict(stacked.collect()) == {1: [0, 1, 2], 2: [9, 8]}
+    rows = [(1, 1, 7), (2, 1, 8), (2, 0, 9), (3, 0, 1), (3, 2, 3)]
+    long = spark.createDataFrame(rows, "g int, p int, v int")
+    stacked = candidates.stack_candidates(long, "g", "p", "v", 3)
+    assert dict(stacked.collect()) == {1: [None, 7], 2: [9, 8], 3: [1, None, 3]}
     with pytest.raises(Exception, match="out of range"):
-        candidates.stack_candidates(hot, "g", "p", "v", 2).collect()
+        candidates.stack_candidates(long, "g", "p", "v", 2).collect()
+    hot = spark.range(3000).select(F.lit(1).alias("g"), (F.col("id") % 3).alias("p"), (F.col("id") % 3).alias("v"))
+    with pytest.raises(Exception, match="two candidates at one position"):
+        candidates.stack_candidates(hot, "g", "p", "v", 3).collect()
+
+
+def test_pivot_keeps_whole_candidates(spark):
+    schema = "id int, pos int, idx int, prompt string, image string"
+    gap = spark.createDataFrame([(1, 1, 2, "a2", "x"), (1, 3, 1, "b", "y")], schema)
+    row = candidates.candidates_wide(gap).first()
+    assert (row.correct_image, row.image_1_prompt, row.image_1, row.image_2_prompt, row.image_3) == (3, "a2", "x", None, "y")
+    twice = spark.createDataFrame([(1, 1, 2, "a2", "x"), (1, 1, 3, "zz", "a")], schema)
+    with pytest.raises(Exception, match="two candidates at one position"):
+        candidates.candidates_wide(twice).collect()
 
 
 def test_assembly_types_and_splits(spark, records):
