@@ -60,6 +60,29 @@ def _in_object(text: Column, element: str) -> Column:
     )["v"]
 
 
+def image_readings(output: Column | str, prefix: str, key: str = "Image") -> dict[str, Column]:
+    """The readings ``image_of`` takes apart, as columns to add, so that each is made once."""
+    output = as_column(output)
+    return {
+        f"{prefix}listed": _in_list(output, f"struct<`{key}`:string>"),
+        f"{prefix}number": _in_object(output, f"struct<`{key}`:double>"),
+    }
+
+
+def holds_fields(output: Column | str, key: str = "Image") -> Column:
+    """Whether ``key`` can be looked for in a JSON value without failing.
+
+    True for an object, for a list without the element ``key`` and for a string without that word.
+    """
+    text = strip(output)
+    elements = F.coalesce(_in_list(text, "array<string>")[0], F.array().cast("array<string>"))
+    string = F.coalesce(_in_object(text, "string"), F.lit(""))
+    return (
+        F.when(text.startswith("{"), F.lit(True))
+        .when(text.startswith("["), ~F.array_contains(elements, key))
+        .when(text.startswith('"'), ~F.contains(string, F.lit(key)))
+        .otherwise(F.lit(False))
+    )
 def is_json(text: Column | str) -> Column:
     """Whether the text is exactly one JSON value.
 
@@ -79,10 +102,14 @@ def image_choice(output: Column | str, key: str = "Image") -> Column:
     A JSON number is kept as it is, true and false are 1 and 0, a string must hold a
     whole number; the last of repeated keys wins.
     """
+    readings = image_readings(output, "", key)
+    return image_of(output, readings["listed"], readings["number"], key)
+
+
+def image_of(output: Column | str, listed: Column, number: Column, key: str = "Image") -> Column:
+    """``image_choice`` from readings that are made already."""
     output = as_column(output)
-    listed = _in_list(output, f"struct<`{key}`:string>")
     text = F.get(listed, F.lit(0))[key]
-    number = _in_object(output, f"struct<`{key}`:double>")
     value = number[key]
     whole = F.replace(strip(text), F.lit("_"), F.lit(""))
     from_string = F.when(

@@ -28,10 +28,21 @@ def image_pairs(
     output_tag: str = text.OUTPUT_TAG,
 ) -> DataFrame:
     """Adds ``pred_image`` and ``label_image`` (double, -1 when unreadable)."""
-    return generations.withColumns(
+    names = generations.columns
+    outputs = generations.withColumns(
+        {"_pred_output": text.extract_tag(prediction, output_tag), "_label_output": text.extract_tag(label, output_tag)}
+    )
+    return _with_images(outputs, "_").select(*names, "pred_image", "label_image")
+
+
+def _with_images(outputs: DataFrame, prefix: str) -> DataFrame:
+    """Adds the image of both sides; each answer is read once, in columns of its own."""
+    for side in ("pred", "label"):
+        outputs = outputs.withColumns(text.image_readings(f"{prefix}{side}_output", f"_{side}_"))
+    return outputs.withColumns(
         {
-            "pred_image": text.image_choice(text.extract_tag(prediction, output_tag)),
-            "label_image": text.image_choice(text.extract_tag(label, output_tag)),
+            f"{side}_image": text.image_of(f"{prefix}{side}_output", F.col(f"_{side}_listed"), F.col(f"_{side}_number"))
+            for side in ("pred", "label")
         }
     )
 
@@ -48,8 +59,10 @@ def analysis_table(
     """Everything read out of prediction and label, one row per generation.
 
     Tags are looked up in the raw text, the ignore token is removed from the full text
-    only. A label whose JSON cannot be read loses its output text and has no JSON; a
-    prediction keeps its text and shows ``{}``.
+    only. A label whose JSON cannot be read has no JSON. It loses its output text too, and so
+    does one in which looking for the image fails: a bare number, true, false or null, a
+    list with the element ``Image`` or a string with that word. A prediction keeps its text
+    and shows ``{}`` when it is unreadable.
     """
     sides = generations.select(
         *id_cols,
@@ -60,13 +73,14 @@ def analysis_table(
         text.extract_tag(prediction, output_tag).alias("pred_output"),
         text.extract_tag(label, output_tag).alias("label_output"),
     )
-    read = sides.withColumns(
+    read = sides.withColumns({"_pred_is": text.is_json("pred_output"), "_label_is": text.is_json("label_output")})
+    kept = F.col("_label_is") & text.holds_fields("label_output")
+    made = _with_images(read, "").withColumns(
         {
-            "pred_json": F.when(text.is_json("pred_output"), F.col("pred_output")).otherwise("{}"),
-            "label_json": F.when(text.is_json("label_output"), F.col("label_output")),
-            "pred_image": text.image_choice("pred_output"),
-            "label_image": text.image_choice("label_output"),
+            "pred_json": F.when(F.col("_pred_is"), F.col("pred_output")).otherwise("{}"),
+            "label_json": F.when(F.col("_label_is"), F.col("label_output")),
+            "_kept": kept,
         }
     )
-    blanked = F.when(F.col("label_json").isNull(), "").otherwise(F.col("label_output"))
-    return read.withColumn("label_output", blanked).select(*id_cols, *ANALYSIS_COLUMNS)
+    blanked = F.when(F.col("_kept"), F.col("label_output")).otherwise("")
+    return made.withColumn("label_output", blanked).select(*id_cols, *ANALYSIS_COLUMNS)

@@ -188,3 +188,15 @@ def test_analysis_table(spark):
     assert (second.pred_output, second.pred_json) == ("broken", "{}")
     assert (second.label_output, second.label_json) == ("", None)
     assert (second.pred_image, second.label_image) == (-1.0, -1.0)
+
+
+@pytest.mark.parametrize(
+    "label, output",
+    [
+        ("3", ""), ("null", ""), ("true", ""), ('["Image"]', ""), ('["image", 1]', '["image", 1]'), ('"An Image"', ""),
+        ('"none"', '"none"'), ('{"Image": "x"}', '{"Image": "x"}'), ("{}", "{}"), ("{", ""), ("[]", "[]"), ("", ""),
+    ],
+)
+def test_label_output_is_blanked_where_looking_for_the_image_fails(spark, label, output):
+    df = spark.createDataFrame([(1, "p", f"<output>{label}</output>")], "id int, prediction string, label string")
+    assert analysis.analysis_table(df).first().label_output == output
