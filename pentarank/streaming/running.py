@@ -7,14 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from pentarank.operators.metrics import (
-    Metric,
-    evaluate,
-    merge_partials,
-    partials,
-    perplexity,
-    sequence_log_probs,
-)
+from pentarank.functions import vectors
+from pentarank.operators.metrics import Metric, evaluate, perplexity
 
 
 def running_metrics(
@@ -32,17 +26,19 @@ def accumulate_perplexity(
     target: str,
     checkpoint: str,
     by: Sequence[str] = (),
-    skip_empty: bool = False,
+    seq_col: str = "seq_id",
 ) -> StreamingQuery:
-    """Store perplexity sums per micro-batch; a sequence arrives within one batch.
+    """Store each sequence's log-probability sum and count per micro-batch.
 
-    The two-level mean is taken inside the batch, and a replayed batch overwrites its
-    own sums.
+    A sequence may arrive in any number of batches; its sums meet when they are read. A
+    replayed batch overwrites its own sums.
     """
 
     def store(batch: DataFrame, batch_id: int) -> None:
-        means = sequence_log_probs(batch, by=by, skip_empty=skip_empty)
-        sums = partials(means, [perplexity()], by)
+        scored = batch.select(*by, seq_col, vectors.target_log_prob("logits", "target").alias("_log_prob"))
+        sums = scored.groupBy(*by, seq_col).agg(
+            F.coalesce(F.sum("_log_prob"), F.lit(0.0)).alias("total"), F.count("_log_prob").alias("n_tokens")
+        )
         sums.write.mode("overwrite").parquet(f"{target}/batch_id={batch_id}")
 
     return (
@@ -54,8 +50,20 @@ def accumulate_perplexity(
 
 
 def accumulated_perplexity(
-    spark: SparkSession, target: str, by: Sequence[str] = ()
+    spark: SparkSession,
+    target: str,
+    by: Sequence[str] = (),
+    seq_col: str = "seq_id",
+    skip_empty: bool = False,
 ) -> DataFrame:
-    """Perplexity over all stored batches."""
-    merged = merge_partials(spark.read.parquet(target), [perplexity()], by)
-    return merged.select(*by, F.col("value").alias("perplexity"))
+    """Perplexity over all stored batches: sums merge by sequence before the mean over sequences.
+
+    A fully padded sequence makes it NaN unless ``skip_empty``.
+    """
+    merged = spark.read.parquet(target).groupBy(*by, seq_col).agg(
+        F.sum("total").alias("total"), F.sum("n_tokens").alias("n_tokens")
+    )
+    if skip_empty:
+        merged = merged.filter("n_tokens > 0")
+    mean = F.coalesce(F.try_divide("total", "n_tokens"), F.lit(float("nan")))
+    return evaluate(merged.withColumn("mean_log_prob", mean), [perplexity()], by)

@@ -108,11 +108,12 @@ def test_accumulated_perplexity_equals_batch(spark, sf_dir, tmp_path):
         F.expr("if(vec_id div 8 % 2 = 0, 'a', 'b')").alias("run_id"),
     )
     path = str(tmp_path / "tokens")
-    rows.repartition(5, "seq_id").write.parquet(path)
+    rows.repartition(6).write.parquet(path)  # sequences are cut across the micro-batches
     stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 2).parquet(path)
     target = str(tmp_path / "sums")
     running.accumulate_perplexity(stream, target, str(tmp_path / "check"), ["run_id"]).awaitTermination()
-    assert len(list((tmp_path / "sums").glob("batch_id=*"))) > 1
+    assert len(list((tmp_path / "sums").glob("batch_id=*"))) == 3
+    assert spark.read.parquet(target).groupBy("seq_id").count().filter("count > 1").count() > 0
     got = dict(running.accumulated_perplexity(spark, target, ["run_id"]).collect())
     means = metrics.sequence_log_probs(rows, by=["run_id"])
     expected = dict(metrics.evaluate(means, [metrics.perplexity()], ["run_id"]).collect())
