@@ -39,6 +39,9 @@ def generate_replies(
 ) -> DataFrame:
     """Add ``reply`` and ``error``; a failing row never fails its batch or task.
 
+    A batch that fails is asked again prompt by prompt, those already answered included: a
+    generator that can tell which prompts fail should return None for them instead.
+
     ``make_generator`` is called once per task, so each task holds one client. Only the
     prompt travels to Python. A lost task asks again, so write the result out (see
     ``streaming.generation`` and ``routing.route_outcomes``) before using it twice.

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
-from pentarank.session import materialise
+_STATUS, _OK, _FAILED = "_status", "ok", "failed"
 
 
 def retry_failed_only(records: DataFrame, failed: DataFrame, id_col: str = "id") -> DataFrame:
@@ -21,13 +21,18 @@ def remaining_failed(previous: DataFrame, succeeded: DataFrame, id_col: str = "i
 
 
 def route_outcomes(
-    outcomes: DataFrame, error_col: str = "error", computed: bool = False
+    outcomes: DataFrame, folder: str, error_col: str = "error"
 ) -> tuple[DataFrame, DataFrame]:
-    """Split outcomes into ``(successes, failures)``.
+    """Split outcomes into ``(successes, failures)``, stored as Parquet under ``folder``.
 
-    Both sides read one stored copy, so an expensive generation behind ``outcomes`` runs
-    once. Pass ``computed=True`` when ``outcomes`` already comes from a table.
+    They are written in one pass, partitioned by status, so an expensive generation behind
+    ``outcomes`` runs once and each side reads only its own files and columns. ``folder`` is
+    an unused path that all executors share. Outcomes that come from a table need no copy:
+    filter them instead.
     """
-    stored = outcomes if computed else materialise(outcomes)
-    failed = F.col(error_col).isNotNull()
-    return stored.filter(~failed).drop(error_col), stored.filter(failed)
+    status = F.when(F.col(error_col).isNull(), _OK).otherwise(_FAILED)
+    outcomes.withColumn(_STATUS, status).write.partitionBy(_STATUS).parquet(folder)
+    schema = T.StructType([*outcomes.schema.fields, T.StructField(_STATUS, T.StringType())])
+    stored = outcomes.sparkSession.read.schema(schema).parquet(folder)
+    ok, failed = (stored.filter(F.col(_STATUS) == s).drop(_STATUS) for s in (_OK, _FAILED))
+    return ok.drop(error_col), failed

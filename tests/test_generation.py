@@ -86,14 +86,14 @@ def test_routing_runs_the_generator_once(spark, tmp_path):
         return generate
 
     outcomes = generation.generate_sft(records(spark, 20), counting, TEMPLATE)
-    ok, failed = routing.route_outcomes(outcomes)
+    ok, failed = routing.route_outcomes(outcomes, str(tmp_path / "out"))
     assert (ok.count(), failed.count(), ok.filter("id < 5").count()) == (20, 0, 5)
     assert {f.read_text() for f in calls.iterdir()} == {"x"}
 
 
-def test_ok_and_failed_cover_the_input(spark):
+def test_ok_and_failed_cover_the_input(spark, tmp_path):
     outcomes = generation.generate_sft(records(spark, 20), make_generator, TEMPLATE)
-    ok, failed = routing.route_outcomes(outcomes)
+    ok, failed = routing.route_outcomes(outcomes, str(tmp_path / "out"))
     assert sorted(r.id for r in ok.select("id").collect() + failed.select("id").collect()) == list(range(20))
     assert sorted(r.id for r in failed.collect()) == [3, 4, 5]
 
