@@ -6,7 +6,7 @@ inside the JVM; real tokenizers plug in through ``encode_with`` / ``decode_with`
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
@@ -86,21 +86,25 @@ def pad_right(ids: Column, max_length: int, pad_id: int) -> Column:
 
 
 def fixed_length(
-    ids: Column | str, pad_id: int, max_length: int = PAIR_MAX_LENGTH, side: str = "left"
+    ids: Column | str, pad_id: int, max_length: int | None = PAIR_MAX_LENGTH, side: str = "left", padding: bool = True
 ) -> Column:
-    """``struct<input_ids, attention_mask>`` cut on the right and padded on ``side``."""
+    """``struct<input_ids, attention_mask>`` cut on the right and padded on ``side``.
+
+    ``max_length`` of None neither cuts nor pads; without ``padding`` rows are only cut.
+    """
     if side not in ("left", "right"):
         raise ValueError("side must be 'left' or 'right'")
     pad = pad_left if side == "left" else pad_right
 
+    def filled(kept: Column, value: int) -> Column:
+        return pad(kept, max_length, value) if padding and max_length is not None else kept
+
     def build(kept: Column) -> Column:
         ones = F.array_repeat(F.lit(1), F.size(kept))
-        return F.struct(
-            pad(kept, max_length, pad_id).alias("input_ids"),
-            pad(ones, max_length, 0).alias("attention_mask"),
-        )
+        return F.struct(filled(kept, pad_id).alias("input_ids"), filled(ones, 0).alias("attention_mask"))
 
-    return let(truncate(as_column(ids), max_length), build)
+    ids = as_column(ids)
+    return let(ids if max_length is None else truncate(ids, max_length), build)
 
 
 def mask_labels(
@@ -138,13 +142,21 @@ def mask_labels(
     return F.when(whole, by_slices).otherwise(let(blanked, answer_only))
 
 
-def with_vocabulary(
-    df: DataFrame, vocabulary: DataFrame, vocab_size: int, alias: str = "vocabulary"
+def decode(
+    df: DataFrame,
+    ids: str,
+    vocabulary: DataFrame,
+    vocab_size: int,
+    alias: str = "decoded",
+    ignore_index: int = IGNORE_INDEX,
+    ignore_token: str = IGNORE_TOKEN,
+    unknown: str = "",
 ) -> DataFrame:
-    """Add the vocabulary as an array indexed by token id, from a scalar subquery.
+    """Add token ids as text, ignored positions shown as the ignore token.
 
-    It holds at most ``vocab_size`` tokens, whatever the size of the corpus; an id
-    outside that range makes the query fail instead of growing the array.
+    The vocabulary is one array indexed by id, from a scalar subquery: it holds at most
+    ``vocab_size`` tokens, whatever the size of the corpus, and is no column of the
+    result. An id outside that range makes the query fail instead of growing the array.
     """
     in_range = F.col("token_id").between(0, vocab_size - 1)
     outside = F.raise_error(F.lit("token id outside the vocabulary")).cast("int")
@@ -157,25 +169,14 @@ def with_vocabulary(
     slots = seen.unionByName(empty).groupBy("token_id").agg(F.min("token").alias("token"))
     entries = F.sort_array(F.collect_list(F.struct("token_id", "token")))
     words = slots.agg(entries.alias("entries")).select(F.col("entries.token"))
-    return df.withColumn(alias, words.scalar())
-
-
-def decode(
-    ids: Column | str,
-    vocabulary: Column | str = "vocabulary",
-    ignore_index: int = IGNORE_INDEX,
-    ignore_token: str = IGNORE_TOKEN,
-    unknown: str = "",
-) -> Column:
-    """Token ids to text, ignored positions shown as the ignore token."""
-
-    words = as_column(vocabulary)
 
     def word(token: Column) -> Column:
-        known = F.coalesce(F.get(words, token), F.lit(unknown))
+        known = F.coalesce(F.get("_vocabulary", token), F.lit(unknown))
         return F.when(token == ignore_index, F.lit(ignore_token)).otherwise(known)
 
-    return F.array_join(F.transform(as_column(ids), word), " ")
+    # A subquery cannot stand inside a lambda, so it has a column for as long as this takes.
+    looked_up = df.withColumn("_vocabulary", words.scalar())
+    return looked_up.withColumn(alias, F.array_join(F.transform(as_column(ids), word), " ")).drop("_vocabulary")
 
 
 def greedy_ids(logits: Column | str) -> Column:
@@ -186,13 +187,15 @@ def greedy_ids(logits: Column | str) -> Column:
 
 
 def encode_with(make_encoder: Callable[[], Callable[[list[str]], list[list[int]]]]):
-    """Arrow-batched column function around a real tokenizer, built once per task."""
+    """Arrow-batched column function around a real tokenizer, built once per task; NULL stays NULL."""
 
     @F.pandas_udf("array<int>")
     def encode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         encoder = make_encoder()
         for texts in batches:
-            yield pd.Series(encoder(texts.fillna("").tolist()), index=texts.index)
+            known = texts.notna()
+            ids = iter(encoder(texts[known].tolist()))
+            yield pd.Series([next(ids) if k else None for k in known], index=texts.index, dtype=object)
 
     return encode
 
@@ -208,7 +211,36 @@ def decode_with(
     def decode(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         decoder = make_decoder()
         for rows in batches:
-            ids = [[ignore_id if t == ignore_index else int(t) for t in row] for row in rows]
-            yield pd.Series(decoder(ids), index=rows.index)
+            known = rows.notna()
+            ids = [[ignore_id if t == ignore_index else int(t) for t in row] for row in rows[known]]
+            texts = iter(decoder(ids))
+            yield pd.Series([next(texts) if k else None for k in known], index=rows.index, dtype=object)
 
     return decode
+
+
+@dataclass(frozen=True)
+class PluggedTokenizer:
+    """A real tokenizer in the place of ``HashTokenizer``: what the preparation steps ask of one.
+
+    ``make_encoder`` and ``make_decoder`` are called once per task. ``special_ids`` names the
+    ids of the special tokens in use.
+    """
+
+    make_encoder: Callable[[], Callable[[list[str]], list[list[int]]]]
+    pad_id: int
+    special_ids: Mapping[str, int]
+    make_decoder: Callable[[], Callable[[Sequence[Sequence[int]]], list[str]]] | None = None
+
+    def special_id(self, token: str) -> int:
+        return self.special_ids[token]
+
+    def encode(self, text: Column | str, max_length: int | None = None) -> Column:
+        ids = encode_with(self.make_encoder)(as_column(text))
+        return ids if max_length is None else truncate(ids, max_length)
+
+    def decode(self, ids: Column | str, ignore_index: int = IGNORE_INDEX) -> Column:
+        return decode_with(self.make_decoder, ignore_index, self.pad_id)(as_column(ids))
+
+
+Tokenizer = HashTokenizer | PluggedTokenizer

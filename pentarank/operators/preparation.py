@@ -4,54 +4,95 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from pentarank.functions import prompts, tokens
+from pentarank.operators.images import resize_images
 from pentarank.schemas import PAIR_MAX_LENGTH, SIMILARITY_MAX_LENGTH
 
+PIXEL_COLUMNS = ("pixel_values", "image_error")
+
+
+def _with_pixels(records: DataFrame, keep: Sequence[str], side: int | None) -> tuple[DataFrame, tuple[str, ...]]:
+    """The records, with their pictures resized where a side is given, and the columns that stay."""
+    if side is None:
+        return records, tuple(keep)
+    return resize_images(records, side=side), (*keep, *PIXEL_COLUMNS)
+
 
 def pair_rows(
     records: DataFrame,
-    tokenizer: tokens.HashTokenizer = tokens.HashTokenizer(),
+    tokenizer: tokens.Tokenizer = tokens.HashTokenizer(),
     template: str = prompts.TRAINING_TEMPLATE,
     for_generation: bool = False,
-    max_length: int = PAIR_MAX_LENGTH,
+    max_length: int | None = PAIR_MAX_LENGTH,
     keep: Sequence[str] = ("id",),
+    padding: bool = True,
+    pixels: int | None = None,
 ) -> DataFrame:
     """Prompt, answer and image markers as padded tokens.
 
     Training rows carry ``labels`` over the answer only. Generation rows end where the
     reasoning opens and carry the tokens of the whole answer as ``partial_labels``.
+    ``max_length`` of None keeps whole texts without padding; ``pixels``, the side of a
+    square such as 224, adds the record's pictures as ``pixel_values``.
     """
+    both = pair_row_modes(records, tokenizer, template, max_length, keep, padding, pixels, modes=(for_generation,))
+    unused = "labels" if for_generation else "partial_labels"
+    return both.drop("generation", unused)
+
+
+def pair_row_modes(
+    records: DataFrame,
+    tokenizer: tokens.Tokenizer = tokens.HashTokenizer(),
+    template: str = prompts.TRAINING_TEMPLATE,
+    max_length: int | None = PAIR_MAX_LENGTH,
+    keep: Sequence[str] = ("id",),
+    padding: bool = True,
+    pixels: int | None = None,
+    modes: Sequence[bool] = (False, True),
+) -> DataFrame:
+    """Training rows and generation rows, told apart by ``generation``, in one pass over the records."""
+    records, kept = _with_pixels(records, keep, pixels)
     answer = prompts.assistant_content()
-    messages = prompts.chat_messages(prompts.user_content(template), answer, for_generation)
-    texts = records.select(
-        *keep,
-        prompts.render_chat(messages, for_generation).alias("_chat"),
-        answer.alias("_answer"),
-    )
 
-    def fixed(column: str):
+    def chat(mode: bool) -> Column:
+        messages = prompts.chat_messages(prompts.user_content(template), F.col("_answer"), mode)
+        return F.struct(F.lit(mode).alias("generation"), prompts.render_chat(messages, mode).alias("_chat"))
+
+    answered = records.withColumn("_answer", answer)
+    texts = answered.select(*kept, "_answer", F.inline(F.array(*[chat(m) for m in modes])))
+
+    def fixed(column: Column | str) -> Column:
         ids = tokenizer.encode(column, max_length)
-        return tokens.fixed_length(ids, tokenizer.pad_id, max_length, side="left")
+        return tokens.fixed_length(ids, tokenizer.pad_id, max_length, side="left", padding=padding)
 
-    rows = texts.withColumn("_fixed", fixed("_chat"))
+    # A training row has no answer of its own to encode: its NULL stays NULL.
+    rows = texts.withColumns(
+        {"_fixed": fixed("_chat"), "_partial": fixed(F.when(F.col("generation"), F.col("_answer")))}
+    )
     ids, mask = F.col("_fixed.input_ids"), F.col("_fixed.attention_mask")
-    if for_generation:
-        labels = fixed("_answer")["input_ids"].alias("partial_labels")
-    else:
-        marker = tokenizer.special_id(prompts.INSTRUCTION_END)
-        labels = tokens.mask_labels(ids, mask, marker).alias("labels")
-    return rows.select(*keep, ids.alias("input_ids"), mask.alias("attention_mask"), labels)
+    marker = tokenizer.special_id(prompts.INSTRUCTION_END)
+    return rows.select(
+        *kept,
+        "generation",
+        ids.alias("input_ids"),
+        mask.alias("attention_mask"),
+        F.when(~F.col("generation"), tokens.mask_labels(ids, mask, marker)).alias("labels"),
+        F.when(F.col("generation"), F.col("_partial.input_ids")).alias("partial_labels"),
+    )
 
 
 def similarity_rows(
     records: DataFrame,
-    tokenizer: tokens.HashTokenizer = tokens.HashTokenizer(),
-    max_length: int = SIMILARITY_MAX_LENGTH,
+    tokenizer: tokens.Tokenizer = tokens.HashTokenizer(),
+    max_length: int | None = SIMILARITY_MAX_LENGTH,
     keep: Sequence[str] = ("id",),
+    padding: bool = True,
+    pixels: int | None = None,
 ) -> DataFrame:
-    """The sentence as tokens, padded on the right."""
+    """The sentence as tokens, padded on the right, with the pictures where ``pixels`` gives their side."""
+    records, kept = _with_pixels(records, keep, pixels)
     ids = tokenizer.encode("sentence", max_length)
-    fixed = tokens.fixed_length(ids, tokenizer.pad_id, max_length, side="right")
-    return records.select(*keep, fixed.alias("_fixed")).select(*keep, "_fixed.*")
+    fixed = tokens.fixed_length(ids, tokenizer.pad_id, max_length, side="right", padding=padding)
+    return records.select(*kept, fixed.alias("_fixed")).select(*kept, "_fixed.*")
