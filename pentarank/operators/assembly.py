@@ -16,12 +16,14 @@ def assemble_sft_dataset(
     train: DataFrame, test: DataFrame, image_type: T.DataType = T.BinaryType()
 ) -> DataFrame:
     """Both splits with the fixed record types and a ``split`` column."""
-    schema = sft_schema(image_type)
-    parts = [
-        conform(part, schema).withColumn("split", F.lit(name))
-        for name, part in (("train", train), ("test", test))
-    ]
-    return parts[0].unionByName(parts[1])
+    named = [part.withColumn("split", F.lit(name)) for name, part in (("train", train), ("test", test))]
+    return conform_splits(named[0].unionByName(named[1]), image_type)
+
+
+def conform_splits(records: DataFrame, image_type: T.DataType = T.BinaryType()) -> DataFrame:
+    """Records that name their ``split`` already, with the fixed types, in one pass."""
+    schema = T.StructType([*sft_schema(image_type).fields, T.StructField("split", T.StringType())])
+    return conform(records, schema)
 
 
 def select_split(dataset: DataFrame, split: str) -> DataFrame:

@@ -98,9 +98,12 @@ def pairwise_loss(
     weights: Sequence[float] | None = SIMILARITY_WEIGHTS,
     name: str = "pairwise_loss",
 ) -> Metric:
-    """Mean ranking loss over all neighbouring pairs of all rows."""
-    pairs = F.greatest(F.size(as_column(scores)) - 1, F.lit(0)).cast("double")
-    return Metric(name, total(vectors.pairwise_losses(scores, weights)), pairs)
+    """Mean ranking loss over the neighbouring pairs of all rows that have a loss.
+
+    A pair with a NULL score has none: it counts neither above nor below.
+    """
+    losses = F.array_compact(vectors.pairwise_losses(scores, weights))
+    return Metric(name, total(losses), F.size(losses).cast("double"))
 
 
 def perplexity(
@@ -145,15 +148,23 @@ def shift_targets(
 ) -> DataFrame:
     """Give each position the target of the next one; the last position goes.
 
-    Positions of a sequence are dense. The join is on ``(sequence, position)``, so one
-    very long sequence still spreads over all tasks, and the moved side is narrow.
+    Positions of a sequence count from 0; a gap raises, as no target would be right there.
+    The join is on ``(sequence, position)``, so one very long sequence still spreads over all
+    tasks, and the moved side is narrow. Sequences stored in one row each need no exchange
+    at all: ``vectors.mean_log_prob(shift=True)``.
     """
     following = tokens.select(
         F.col(seq_col),
         (F.col(pos_col) - 1).alias(pos_col),
         F.col(target_col).alias(target_col),
+        F.lit(True).alias("_next"),
     )
-    return tokens.drop(target_col).join(following, [seq_col, pos_col])
+    moved = tokens.drop(target_col).withColumn("_here", F.lit(True)).join(following, [seq_col, pos_col], "full")
+    # What follows no row is the first of its sequence, or stands after a gap.
+    gap = F.raise_error(F.lit("positions of a sequence are not dense")).cast("boolean")
+    first = F.when(F.col(pos_col) >= 0, gap).otherwise(F.lit(False))
+    paired = F.when(F.col("_here").isNull(), first).otherwise(F.col("_next").isNotNull())
+    return moved.filter(paired).drop("_next", "_here")
 
 
 def sequence_log_probs(

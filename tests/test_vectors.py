@@ -189,3 +189,21 @@ def test_sequences_in_rows_score_like_long_form(logit_rows, shift):
     assert got.keys() - expected.keys() == ({3} if shift else set())
     assert {k: got[k] for k in expected} == pytest.approx(expected, nan_ok=True)
     assert not shift or math.isnan(got[3])
+
+
+def test_gaps_in_a_sequence_raise(spark):
+    rows = [(1, p, [0.0, 1.0], 1) for p in (0, 1, 3)]
+    long = spark.createDataFrame(rows, "seq_id int, pos int, logits array<double>, target int")
+    with pytest.raises(Exception, match="not dense"):
+        metrics.shift_targets(long).collect()
+    assert metrics.shift_targets(long.filter("pos < 2")).count() == 1
+
+
+def test_pairs_with_a_null_score_count_nowhere(spark):
+    df = spark.createDataFrame([([0.9, 0.7, 0.1],), ([0.9, None, 0.1],), ([0.3, None],), (None,)], "scores array<double>")
+    both = [metrics.pairwise_loss(), metrics.pairwise_loss(weights=None, name="plain")]
+    good = df.filter("scores[1] is not null")
+    want = metrics.evaluate(good, both).first()
+    assert tuple(metrics.evaluate(df, both).first()) == pytest.approx(tuple(want))
+    parts = metrics.merge_partials(metrics.partials(df.withColumn("part", F.monotonically_increasing_id()), both, ["part"]), both)
+    assert dict(parts.collect()) == pytest.approx(want.asDict())
