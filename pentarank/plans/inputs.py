@@ -11,7 +11,7 @@ from pentarank.schemas import (
     NUM_CANDIDATES,
     PROMPT_COLUMNS,
 )
-from pentarank.session import spread_small
+from pentarank.session import input_partitions
 
 GROUP = NUM_CANDIDATES + 1  # one sentence (or text vector) and its candidates
 SEQUENCE = 8
@@ -30,9 +30,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(SCHEMAS[name]).parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Rows for work that is heavy per row, dealt out only where the session asks for it."""
+    count = input_partitions(df.sparkSession)
+    return df if count is None else df.repartition(count, *keys)
+
+
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents for work that is heavy per row."""
-    return spread_small(table(spark, sf_dir, "documents"), "doc_id")
+    return _spread(table(spark, sf_dir, "documents"), "doc_id")
 
 
 def _member(value: str, place: int) -> str:
@@ -40,8 +45,9 @@ def _member(value: str, place: int) -> str:
 
 
 def _members(value: str) -> str:
+    """Values by place; a missing one stays NULL, places after the last are cut off."""
     slots = ", ".join(_member(value, i) for i in CANDIDATE_NUMBERS)
-    return f"array_compact(array({slots}))"
+    return f"slice(array({slots}), 1, max(place))"
 
 
 def candidate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -60,6 +66,16 @@ def candidate_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def grouped_vectors(embedded: DataFrame) -> DataFrame:
+    """``(text_vec, image_vecs)`` of embedded documents ``(doc_id, vec)``, grouped as records are."""
+    return embedded.sparkSession.sql(
+        f"""SELECT group_id, {_member("vec", 0)} AS text_vec, {_members("vec")} AS image_vecs
+            FROM (SELECT doc_id div {GROUP} AS group_id, doc_id % {GROUP} AS place, vec FROM {{embedded}})
+            GROUP BY group_id""",
+        embedded=embedded,
+    )
+
+
 def records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base records from consecutive documents: one sentence, five descriptions.
 
@@ -100,7 +116,7 @@ def replies(spark: SparkSession, sf_dir: str) -> DataFrame:
 def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(id, source, prediction, label)``: whole documents as reasoning of tagged answers.
 
-    Predictions come in nine well and badly formed kinds, labels in two.
+    Predictions come in nine well and badly formed kinds, labels in seven.
     """
     parts = documents(spark, sf_dir).selectExpr(
         "doc_id",
@@ -125,7 +141,12 @@ def generations(spark: SparkSession, sf_dir: str) -> DataFrame:
               WHEN 6 THEN concat('Image ', guess)
               WHEN 7 THEN concat('<output>\n\n', opened, start, '"', guess, '"}', closed)
               ELSE concat(opened, start, '" ', guess, ' "}', closed) END) AS prediction""",
-        """concat(head, CASE WHEN doc_id % 11 = 0 THEN 'no answer'
+        """concat(head, CASE doc_id % 11 WHEN 0 THEN 'no answer'
+              WHEN 1 THEN concat(opened, '3', closed)
+              WHEN 2 THEN concat(opened, 'null', closed)
+              WHEN 3 THEN concat(opened, '["Image"]', closed)
+              WHEN 4 THEN concat(opened, '["image", 1]', closed)
+              WHEN 5 THEN concat(opened, '"An Image"', closed)
               ELSE concat(opened, start, '"', truth, '"}', closed) END) AS label""",
     )
 
@@ -140,12 +161,26 @@ def logits(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def logit_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(seq_id, logits, targets)``, a sequence per row: each embedding cut into 8 positions.
+
+    Targets count up from the label; every fifth of all positions is padding.
+    """
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id AS seq_id",
+        f"""transform(sequence(0, {SEQUENCE - 1}), i -> transform(
+              slice(CAST(embedding AS ARRAY<DOUBLE>), i * {SEQUENCE} + 1, {SEQUENCE}), x -> x * 10)) AS logits""",
+        f"""transform(sequence(0, {SEQUENCE - 1}), i -> CASE WHEN (vec_id + i) % 5 = 0 THEN {IGNORE_INDEX}
+              ELSE CAST((label + i) % {SEQUENCE} AS INT) END) AS targets""",
+    )
+
+
 def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``(conv_id, turn, user_text, assistant_text)``: user turns with the reply after them.
 
     Joined on conversation and turn, so a long conversation spreads over all tasks.
     """
-    turns = spread_small(table(spark, sf_dir, "conversations"), "conv_id", "turn")
+    turns = _spread(table(spark, sf_dir, "conversations"), "conv_id", "turn")
     return spark.sql(
         """SELECT asked.conv_id, asked.turn, asked.text AS user_text, answer.text AS assistant_text
            FROM {turns} AS asked

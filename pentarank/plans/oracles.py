@@ -8,7 +8,7 @@ from __future__ import annotations
 from pentarank.functions import prompts
 from pentarank.functions.text import WHITESPACE
 from pentarank.functions.tokens import SPECIAL_TOKENS
-from pentarank.plans.queries import SMALL_VOCABULARY, TOKENIZER
+from pentarank.plans.queries import TOKENIZER
 from pentarank.schemas import (
     CANDIDATE_NUMBERS,
     IMAGE_COLUMNS,
@@ -89,14 +89,14 @@ FROM (SELECT avg(lp) AS m FROM scored GROUP BY seq_id)"""
 # --- tagged answers --------------------------------------------------------
 
 _GENERATIONS = """base AS (
-  SELECT doc_id AS id, source, doc_id % 9 AS kind, doc_id % 11 = 0 AS unlabeled,
+  SELECT doc_id AS id, source, doc_id % 9 AS kind, doc_id % 11 AS said,
     CAST(doc_id // 5 % 5 + 1 AS VARCHAR) AS guess, CAST(doc_id % 5 + 1 AS VARCHAR) AS truth,
     '<reasoning> ' || text || ' </reasoning>' || chr(10) || chr(10) AS head,
     '<output>' || chr(10) AS opened, chr(10) || '</output></s>' AS closed,
     '{"Compound": "' || source || '", "Image": ' AS start
   FROM documents),
 generations AS (
-  SELECT id, source,
+  SELECT id, source, said,
     head || CASE kind
       WHEN 0 THEN opened || start || '"' || guess || '"}' || closed
       WHEN 1 THEN opened || start || guess || '}' || closed
@@ -107,7 +107,9 @@ generations AS (
       WHEN 6 THEN 'Image ' || guess
       WHEN 7 THEN '<output>' || chr(10) || chr(10) || opened || start || '"' || guess || '"}' || closed
       ELSE opened || start || '" ' || guess || ' "}' || closed END AS prediction,
-    head || CASE WHEN unlabeled THEN 'no answer'
+    head || CASE said WHEN 0 THEN 'no answer' WHEN 1 THEN opened || '3' || closed
+      WHEN 2 THEN opened || 'null' || closed WHEN 3 THEN opened || '["Image"]' || closed
+      WHEN 4 THEN opened || '["image", 1]' || closed WHEN 5 THEN opened || '"An Image"' || closed
       ELSE opened || start || '"' || truth || '"}' || closed END AS label
   FROM base)"""
 
@@ -314,6 +316,24 @@ def statements() -> dict[str, str]:
     )
     sql["perplexity"] = _with(_LOGITS, _log_probs("logits")) + _PERPLEXITY
     sql["perplexity_shifted"] = _with(_LOGITS, _SHIFTED, _log_probs("shifted")) + _PERPLEXITY
+    sql["perplexity_strict"] = _with(_LOGITS, _log_probs("logits")) + """SELECT
+  CASE WHEN count(*) FILTER (m IS NULL) > 0 THEN 'NaN'::DOUBLE ELSE round(exp(-avg(m)), 6) END AS perplexity_strict
+FROM (SELECT avg(lp) AS m FROM scored GROUP BY seq_id)"""
+    moved = """rows AS (
+  SELECT vec_id AS seq_id, unnest(range(8)) AS pos, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+plain AS (
+  SELECT seq_id, pos, list_transform(list_slice(e, pos * 8 + 1, pos * 8 + 8), lambda x: x * 10) AS l,
+    CASE WHEN (seq_id + pos) % 5 = 0 THEN -100 ELSE (label + pos) % 8 END AS target FROM rows),
+moved AS (
+  SELECT seq_id, pos, l, next AS target FROM (
+    SELECT *, lead(target) OVER (PARTITION BY seq_id ORDER BY pos) AS next FROM plain) WHERE pos < 7)"""
+    both = ", ".join(
+        f"(SELECT round(exp(-avg(m)), 6) FROM (SELECT avg(lp) AS m FROM {name} GROUP BY seq_id)) AS {alias}"
+        for name, alias in (("scored", "perplexity_rows"), ("scored_moved", "perplexity_rows_shifted"))
+    )
+    sql["perplexity_sequences"] = _with(
+        moved, _log_probs("plain"), _log_probs("moved").replace("scored AS", "scored_moved AS", 1)
+    ) + f"SELECT {both}"
     sql["greedy_decode"] = (
         _with(_LOGITS)
         + "SELECT seq_id, pos, CAST(list_position(l, list_max(l)) - 1 AS INTEGER) AS token_id FROM logits"
@@ -335,7 +355,7 @@ FROM images WHERE NOT (pred_image = -1 AND label_image = -1)"""
     sql["generation_analysis"] = _ANSWERS + f"""SELECT id,
   md5({full.format("prediction")}) AS full_prediction, md5({full.format("label")}) AS full_label,
   md5({_tag("prediction", "reasoning")}) AS pred_reasoning, md5({_tag("label", "reasoning")}) AS label_reasoning,
-  pred_output, CASE WHEN json_valid(label_output) THEN label_output ELSE '' END AS label_output,
+  pred_output, CASE WHEN json_valid(label_output) AND said NOT IN (1, 2, 3, 5) THEN label_output ELSE '' END AS label_output,
   CASE WHEN json_valid(pred_output) THEN pred_output ELSE '{{}}' END AS pred_json,
   CASE WHEN json_valid(label_output) THEN label_output END AS label_json,
   pred_image, label_image
@@ -354,6 +374,7 @@ FROM images"""
     sql["candidates_wide"] = _with(_RECORDS, _PLACED, _SHUFFLED) + (
         f"SELECT id, correct_image, {', '.join(hashed_prompts + hashed_images)} FROM shuffled"
     )
+    sql["candidates_reordered"] = sql["candidates_wide"]
     sql["correct_image"] = (
         _with(_RECORDS, _PLACED, _SHUFFLED)
         + "SELECT id, candidate_order, correct_image FROM shuffled"
@@ -381,6 +402,9 @@ FROM images"""
   '<output>{{"Image": "' || s.correct_image || '"}}</output>' AS output,
   CASE WHEN language = 'de' THEN 'test' ELSE 'train' END AS split
 FROM records JOIN shuffled s USING (id)"""
+    sql["training_view"] = _with(_RECORDS, _PLACED, _SHUFFLED) + """SELECT id, md5(sentence) AS sentence,
+  s.correct_image, '<output>{"Image": "' || s.correct_image || '"}</output>' AS output
+FROM records JOIN shuffled s USING (id) WHERE language IS DISTINCT FROM 'de'"""
     sql["generate_sft"] = _with(_RECORDS, _PLACED, _SHUFFLED, _PROMPTED) + """SELECT id, correct_image,
   CASE WHEN h[1] NOT IN ('0', '1') THEN '<reasoning>' || h || '</reasoning>' END AS reasoning,
   CASE WHEN h[1] NOT IN ('0', '1') THEN '<output>' || chr(10) || chr(10) || '<output>' || chr(10) || '{"Image": "'
@@ -446,17 +470,41 @@ WHERE o.kind = 'open'"""
   array_to_string(list_concat(list_resize([]::BIGINT[], len(ids), 1),
     list_resize([]::BIGINT[], {SIMILARITY_MAX_LENGTH} - len(ids), 0)), ' ') AS attention_mask
 FROM encoded"""
-    small = SMALL_VOCABULARY.vocab_size
     specials = " UNION ALL ".join(
         f"SELECT {i} AS token_id, {_quote(t)} AS token" for i, t in enumerate(SPECIAL_TOKENS)
     )
-    sql["decode_tokens"] = _with(_EXCHANGES, _labels(small, SIMILARITY_MAX_LENGTH)) + f""", vocabulary AS (
+    sql["decode_tokens"] = _with(_EXCHANGES, _labels(TOKENIZER.vocab_size, PAIR_MAX_LENGTH)) + f""", vocabulary AS (
   SELECT token_id, min(token) AS token FROM coded WHERE token_id >= {len(SPECIAL_TOKENS)} GROUP BY 1
   UNION ALL {specials}),
 places AS (SELECT conv_id, turn, unnest(labels) AS token_id, generate_subscripts(labels, 1) AS i FROM labels)
-SELECT conv_id, turn,
-  string_agg(CASE WHEN p.token_id = -100 THEN '</s>' ELSE v.token END, ' ' ORDER BY i) AS decoded
-FROM places p LEFT JOIN vocabulary v USING (token_id) GROUP BY 1, 2"""
+SELECT conv_id, turn, md5(decoded) AS decoded_md5, CAST(length(decoded) AS INTEGER) AS decoded_chars
+FROM (SELECT conv_id, turn,
+    string_agg(CASE WHEN p.token_id = -100 THEN '</s>' ELSE v.token END, ' ' ORDER BY i) AS decoded
+  FROM places p LEFT JOIN vocabulary v USING (token_id) GROUP BY 1, 2)"""
+    sql["answer_chain"] = sql["generation_accuracy"].replace("AS generation_accuracy", "AS answer_chain")
+    # The embedder's counts, word by word: 64 classes by the CRC-32 of lower-cased words.
+    sql["embed_similarity"] = _with(
+        _CRC_TABLE,
+        """spoken AS (
+  SELECT doc_id, word, count(*) AS n FROM (
+    SELECT doc_id, unnest(regexp_split_to_array(lower(text), '[\\s\\x{00a0}\\x{0085}\\x1c-\\x1f]+')) AS word FROM documents)
+  WHERE word <> '' GROUP BY ALL)""",
+        """distinct_words AS (
+  SELECT word, list_transform(range(octet_length(encode(word))),
+    lambda i: CAST('0x' || substr(hex(encode(word)), 2 * i + 1, 2) AS BIGINT)) AS bytes
+  FROM (SELECT DISTINCT word FROM spoken))""",
+        """classes AS (
+  SELECT word, xor(list_reduce(list_prepend(4294967295, bytes),
+    lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295) % 64 AS k FROM distinct_words, crc_table)""",
+        """counted AS (SELECT doc_id, k, CAST(sum(n) AS DOUBLE) AS n FROM spoken JOIN classes USING (word) GROUP BY ALL)""",
+        """lists AS (SELECT doc_id, list(k ORDER BY k) AS ks, list(n ORDER BY k) AS ns FROM counted GROUP BY 1)""",
+        """vectors AS (
+  SELECT doc_id // 6 AS group_id, doc_id % 6 AS place, NULL::INTEGER AS label, list_transform(range(64),
+    lambda i: CASE WHEN list_position(ks, i) IS NULL THEN 0.0 ELSE ns[list_position(ks, i)] END) AS v
+  FROM documents LEFT JOIN lists USING (doc_id))""",
+        _SIM, _RANKED, _TOP, _RHO, _LOSS,
+    ) + f"""SELECT (SELECT round({top1.format(0)}, 6) FROM top) AS top_image_accuracy,
+  (SELECT round(avg(plain), 6) FROM rho) AS spearman, (SELECT round(avg(weighted), 6) FROM loss) AS pairwise_loss"""
     sql["token_length_profile"] = f"""SELECT lang, count(*) AS n_rows, CAST(max(n) AS INTEGER) AS max_tokens,
   round(quantile_cont(n, 0.5), 6) AS p50_tokens, round(quantile_cont(n, 0.95), 6) AS p95_tokens
 FROM (SELECT lang, CAST(len({_pieces("text")}) AS DOUBLE) AS n FROM documents) GROUP BY lang"""
@@ -474,9 +522,26 @@ SELECT batch_id, CAST(count(*) AS INTEGER) AS batch_rows,
   string_agg(CAST(group_id AS VARCHAR), ',' ORDER BY slot) AS group_ids,
   array_to_string(flatten(list(gold ORDER BY slot)), ',') AS gold_labels,
   CAST(sum(len(sums)) AS INTEGER) AS n_vectors,
-  round((flatten(list(sums ORDER BY slot)))[1], 4) AS first_vector_sum,
-  round((flatten(list(sums ORDER BY slot)))[-1], 4) AS last_vector_sum
+  array_to_string(list_transform(flatten(list(sums ORDER BY slot)), lambda s: CAST(round(s * 10000) AS BIGINT)), ',') AS vector_sums
 FROM stacked GROUP BY batch_id"""
+    crc = "xor(list_reduce(list_prepend(4294967295, {}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
+    text_bytes = "list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))"
+    pixels = ", ".join(crc.format(text_bytes.format(f"coalesce({c}, '')")) for c in PROMPT_COLUMNS)
+    sql["collate_token_rows"] = _with(
+        _RECORDS,
+        _encoding("records", "id", "sentence", TOKENIZER.vocab_size, SIMILARITY_MAX_LENGTH),
+    ) + f""", ordered AS (
+  SELECT id, row_number() OVER (ORDER BY md5('{SHUFFLE_SEED}-' || id), id) - 1 AS i FROM records),
+padded AS (
+  SELECT i // {MAP_BATCH} AS batch_id, i, id, [{pixels}] AS pixels,
+    list_concat(ids, list_resize([]::BIGINT[], {SIMILARITY_MAX_LENGTH} - len(ids), 1)) AS input_ids,
+    list_concat(list_resize([]::BIGINT[], len(ids), 1), list_resize([]::BIGINT[], {SIMILARITY_MAX_LENGTH} - len(ids), 0)) AS attention_mask
+  FROM ordered JOIN records USING (id) JOIN encoded USING (id), crc_table)
+SELECT batch_id, CAST(count(*) AS INTEGER) AS batch_rows, string_agg(CAST(id AS VARCHAR), ',' ORDER BY i) AS ids,
+  md5(array_to_string(flatten(list(input_ids ORDER BY i)), ' ')) AS input_ids_md5,
+  md5(array_to_string(flatten(list(attention_mask ORDER BY i)), ' ')) AS attention_mask_md5,
+  md5(array_to_string(flatten(list(pixels ORDER BY i)), ' ')) AS pixels_md5
+FROM padded GROUP BY batch_id"""
 
     sql["metric_log"] = """WITH epochs AS (
   SELECT event_type AS run_id, CAST(day(ts) AS INTEGER) AS epoch, avg(value) AS loss, count(value) AS steps
@@ -522,4 +587,12 @@ FROM sides b JOIN sides a USING (metric) WHERE b.run_id = 'before' AND a.run_id
         )
     )
     sql["metric_partials"] = _with(_VECTORS, _SIM, _RANKED, _TOP, _RHO, _LOSS, in_order) + sums
+    sql["merged_metrics"] = _SIMILARITY + " UNION ALL ".join(
+        f"SELECT '{metric}' AS metric, round({value}, 6) AS value FROM {source}"
+        for metric, value, source in (
+            ("top_image_accuracy", top1.format(0), "top"),
+            ("spearman", "avg(plain)", "rho"),
+            ("pairwise_loss", "avg(weighted)", "loss"),
+        )
+    )
     return sql

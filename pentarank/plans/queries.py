@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
@@ -35,12 +36,13 @@ from pentarank.schemas import (
     SIMILARITY_BATCH,
     SIMILARITY_MAX_LENGTH,
 )
+from pentarank.session import shared_folder
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = tokens.HashTokenizer()
-SMALL_VOCABULARY = tokens.HashTokenizer(vocab_size=2048)
 SCORES = "scores"
+BYTE_CLASSES = 128
 
 
 def _md5(value: Column | str) -> Column:
@@ -144,6 +146,24 @@ def perplexity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _perplexity(inputs.logits(spark, sf_dir))
 
 
+def perplexity_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """With the default rule: one fully padded sequence makes the whole NaN."""
+    means = metrics.sequence_log_probs(inputs.logits(spark, sf_dir))
+    result = metrics.evaluate(means, [metrics.perplexity(name="perplexity_strict")])
+    return _rounded(result, "perplexity_strict")
+
+
+def perplexity_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sequences held in one row each, as they are and shifted: no exchange of logits."""
+    rows = inputs.logit_sequences(spark, sf_dir)
+    scored_rows = rows.select(
+        vectors.mean_log_prob("logits", "targets").alias("plain"),
+        vectors.mean_log_prob("logits", "targets", shift=True).alias("moved"),
+    )
+    wanted = [metrics.perplexity("plain", "perplexity_rows"), metrics.perplexity("moved", "perplexity_rows_shifted")]
+    return _rounded(metrics.evaluate(scored_rows, wanted), *[m.name for m in wanted])
+
+
 def perplexity_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _perplexity(metrics.shift_targets(inputs.logits(spark, sf_dir)))
 
@@ -205,12 +225,19 @@ def candidates_shuffled(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = candidates.shuffle_candidates(inputs.records(spark, sf_dir))
-    return wide.select(
-        "id",
-        "correct_image",
-        *[_md5(c).alias(f"{c}_md5") for c in PROMPT_COLUMNS + IMAGE_COLUMNS],
-    )
+    """The shuffled long form turned wide again."""
+    long = candidates.candidates_shuffled(inputs.records(spark, sf_dir))
+    return _wide_md5(candidates.candidates_wide(long))
+
+
+def candidates_reordered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same within the row, without an exchange."""
+    return _wide_md5(candidates.shuffle_candidates(inputs.records(spark, sf_dir)))
+
+
+def _wide_md5(wide: DataFrame) -> DataFrame:
+    hashed = [_md5(c).alias(f"{c}_md5") for c in PROMPT_COLUMNS + IMAGE_COLUMNS]
+    return wide.select("id", "correct_image", *hashed)
 
 
 def correct_image(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,7 +268,8 @@ def split_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = inputs.replies(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
-    ok, failed = routing.route_outcomes(generation.split_replies(replies))
+    folder = f"{shared_folder(spark)}/outcomes-{uuid.uuid4().hex}"
+    ok, failed = routing.route_outcomes(generation.split_replies(replies), folder)
     columns = ["doc_id", _md5("reasoning").alias("reasoning_md5"), _md5("output").alias("output_md5")]
     good = ok.select(*columns, F.lit("ok").alias("route"))
     return good.unionByName(failed.select(*columns, F.col("error").alias("route")))
@@ -264,14 +292,25 @@ def _finished(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def sft_dataset_assemble(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """German records form the test split."""
-    finished = _finished(spark, sf_dir)
-    test = F.col("language") == "de"
-    dataset = assembly.assemble_sft_dataset(finished.filter(~test), finished.filter(test))
+    """German records form the test split; those without a language are for training."""
+    dataset = assembly.conform_splits(_split_records(spark, sf_dir))
     hashed = ["sentence", *PROMPT_COLUMNS, *IMAGE_COLUMNS, "reasoning"]
     return dataset.withColumns({c: _md5(c) for c in hashed})
 
 
+def _split_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    german = F.coalesce(F.col("language") == "de", F.lit(False))
+    split = F.when(german, "test").otherwise("train")
+    return _finished(spark, sf_dir).withColumn("split", split)
+
+
+def training_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The training split, with the columns training reads."""
+    dataset = assembly.select_split(assembly.conform_splits(_split_records(spark, sf_dir)), "train")
+    view = assembly.training_view(dataset, ["id", "sentence", "correct_image", "output"])
+    return view.withColumn("sentence", _md5("sentence"))
+
+
 def _example_generator() -> generation.Generator:
     """Stand-in generator: the prompt's md5 decides on refusal, bad or good reply."""
 
@@ -324,20 +363,19 @@ def format_training_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _chats(spark: SparkSession, sf_dir: str, for_generation: bool = False) -> DataFrame:
-    pairs = inputs.exchanges(spark, sf_dir)
+def _chat(for_generation: bool = False) -> Column:
     messages = prompts.chat_messages("user_text", "assistant_text", for_generation)
-    return pairs.select(
-        "conv_id", "turn", prompts.render_chat(messages, for_generation).alias("chat")
-    )
+    return prompts.render_chat(messages, for_generation)
+
+
+def _chats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return inputs.exchanges(spark, sf_dir).select("conv_id", "turn", _chat().alias("chat"))
 
 
 def chat_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    both = []
-    for mode in (False, True):
-        chats = _chats(spark, sf_dir, mode)
-        both.append(chats.select("conv_id", "turn", F.lit(mode).alias("generation"), _md5("chat").alias("chat_md5")))
-    return both[0].unionByName(both[1])
+    """Both forms of each exchange in one pass."""
+    forms = [F.struct(F.lit(m).alias("generation"), _md5(_chat(m)).alias("chat_md5")) for m in (False, True)]
+    return inputs.exchanges(spark, sf_dir).select("conv_id", "turn", F.inline(F.array(*forms)))
 
 
 def tokenize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -362,17 +400,11 @@ def mask_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pair_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Finished records as training rows and as generation rows."""
-    records = _finished(spark, sf_dir)
-    both = []
-    for mode, labels in ((False, "labels"), (True, "partial_labels")):
-        rows = preparation.pair_rows(records, for_generation=mode)
-        both.append(
-            rows.select(
-                "id", F.lit(mode).alias("generation"), *_padded_ids(""), *_label_columns(labels)
-            )
-        )
-    return both[0].unionByName(both[1])
+    """Finished records as training rows and as generation rows, in one pass."""
+    rows = preparation.pair_row_modes(_finished(spark, sf_dir))
+    labels = F.coalesce("labels", "partial_labels").alias("labels")
+    rows = rows.select("id", "generation", "input_ids", "attention_mask", labels)
+    return rows.select("id", "generation", *_padded_ids(""), *_label_columns("labels"))
 
 
 def similarity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,13 +419,46 @@ def similarity_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Masked labels back to text, through the vocabulary of the same conversations."""
     chats = _chats(spark, sf_dir)
-    vocabulary = SMALL_VOCABULARY.vocabulary(chats, "chat")
-    rows = tokens.with_vocabulary(
-        _labels(chats, SMALL_VOCABULARY, SIMILARITY_MAX_LENGTH),
-        vocabulary,
-        SMALL_VOCABULARY.vocab_size,
+    vocabulary = TOKENIZER.vocabulary(chats, "chat")
+    rows = _labels(chats, TOKENIZER, PAIR_MAX_LENGTH)
+    decoded = tokens.decode(rows, "labels", vocabulary, TOKENIZER.vocab_size)
+    return decoded.select("conv_id", "turn", _md5("decoded").alias("decoded_md5"), F.length("decoded").alias("decoded_chars"))
+
+
+def answer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Logits to accuracy: greedy decoding, text, tags, JSON and the share of right images.
+
+    Each answer comes as one row of logits per token, highest at its token's id; the right
+    image is the record's. Token ids are bytes, so the vocabulary is that of all of them.
+    """
+    made = inputs.generations(spark, sf_dir).select(
+        "id", *[text.extract_tag(c, text.OUTPUT_TAG).alias(c) for c in ("prediction", "label")]
+    )
+
+    def token_ids(column: str) -> Column:
+        opened = F.concat(F.lit("<output>"), F.col(column), F.lit("</output>"))
+        return F.transform(F.split(opened, ""), lambda c: F.least(F.ascii(c), F.lit(BYTE_CLASSES - 1)))
+
+    def spoken(ids: Column) -> Column:
+        peaks = F.transform(ids, lambda t: F.transform(F.sequence(F.lit(0), F.lit(BYTE_CLASSES - 1)), lambda k: (k == t).cast("double")))
+        return F.array_join(F.transform(tokens.greedy_ids(peaks), lambda t: F.char(t)), "")
+
+    texts = made.select("id", *[spoken(token_ids(c)).alias(c) for c in ("prediction", "label")])
+    pairs = analysis.image_pairs(texts)
+    result = metrics.evaluate(pairs, [metrics.generation_accuracy(name="answer_chain")])
+    return _rounded(result, "answer_chain")
+
+
+def embed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents embedded, scored against the documents of their record, and measured."""
+    embedded = mapping.embed_column(
+        inputs.documents(spark, sf_dir).select("doc_id", "text"), "text", mapping.hashing_embedder(64), "vec"
     )
-    return rows.select("conv_id", "turn", tokens.decode("labels").alias("decoded"))
+    groups = inputs.grouped_vectors(embedded.select("doc_id", "vec"))
+    scores = groups.select(vectors.cosine_scores("text_vec", "image_vecs").alias(SCORES))
+    wanted = [metrics.top_image_accuracy(label=0), metrics.spearman(), metrics.pairwise_loss()]
+    result = metrics.evaluate(scores.filter(F.size(SCORES) > 0), wanted)
+    return _rounded(result, *result.columns)
 
 
 def token_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -416,15 +481,33 @@ def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     order = batching.assign_batches(groups, "group_id", MAP_BATCH)
     rows = groups.join(order, "group_id")
     collated = batching.collate_batches(rows, ["group_id", "gold"], ["image_vecs"])
-    sums = F.transform("image_vecs", lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x), 4))
+    scaled = F.transform("image_vecs", lambda v: F.round(F.aggregate(v, F.lit(0.0), lambda a, x: a + x) * 10_000).cast("bigint"))
     return collated.select(
         "batch_id",
         "batch_rows",
         F.array_join("group_id", ",").alias("group_ids"),
         F.array_join(F.flatten("gold"), ",").alias("gold_labels"),
         F.size("image_vecs").alias("n_vectors"),
-        F.round(F.get(sums, F.lit(0)), 4).alias("first_vector_sum"),
-        F.round(F.element_at(sums, -1), 4).alias("last_vector_sum"),
+        F.array_join(scaled, ",").alias("vector_sums"),
+    )
+
+
+def collate_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token rows with their pictures' bytes as pixels, collated by 30."""
+    records = inputs.records(spark, sf_dir)
+    pixels = F.array(*[F.crc32(F.coalesce(c, F.lit("").cast("binary"))) for c in IMAGE_COLUMNS])
+    rows = preparation.similarity_rows(records.withColumn("pixels", pixels), keep=("id", "pixels"))
+    order = batching.assign_batches(rows.select("id"), "id", MAP_BATCH)
+    collated = batching.collate_batches(
+        rows.join(order, "id"), ["id", "input_ids", "attention_mask"], ["pixels"]
+    )
+    joined = {c: F.array_join(F.flatten(c), " ") for c in ("input_ids", "attention_mask")}
+    return collated.select(
+        "batch_id",
+        "batch_rows",
+        F.array_join("id", ",").alias("ids"),
+        *[F.md5(v).alias(f"{c}_md5") for c, v in joined.items()],
+        _array_md5("pixels").alias("pixels_md5"),
     )
 
 
@@ -483,6 +566,14 @@ def metric_partials(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.partials(batches, wanted, ["batch_id"]), "total", "weight")
 
 
+def merged_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Final metrics from partial sums per batch; any split gives the same."""
+    wanted = [metrics.top_image_accuracy(label=0), metrics.spearman(), metrics.pairwise_loss()]
+    batches = scored(spark, sf_dir).withColumn("batch_id", F.expr(f"group_id div {MAP_BATCH}"))
+    parts = metrics.partials(batches, wanted, ["batch_id"])
+    return _rounded(metrics.merge_partials(parts, wanted), "value")
+
+
 def registry() -> dict[str, Query]:
     return {
         "similarity_evaluation": similarity_evaluation,
@@ -503,7 +594,9 @@ def registry() -> dict[str, Query]:
         ),
         "target_logprob": target_logprob,
         "perplexity": perplexity,
+        "perplexity_strict": perplexity_strict,
         "perplexity_shifted": perplexity_shifted,
+        "perplexity_sequences": perplexity_sequences,
         "greedy_decode": greedy_decode,
         "extract_tags": extract_tags,
         "extract_image_choice": extract_image_choice,
@@ -513,12 +606,14 @@ def registry() -> dict[str, Query]:
         "candidates_long": candidates_long,
         "candidates_shuffled": candidates_shuffled,
         "candidates_wide": candidates_wide,
+        "candidates_reordered": candidates_reordered,
         "correct_image": correct_image,
         "render_generation_prompt": render_generation_prompt,
         "split_reply": split_reply,
         "route_outcomes": route_outcomes,
         "retry_failed_only": retry_failed_only,
         "sft_dataset_assemble": sft_dataset_assemble,
+        "training_view": training_view,
         "generate_sft": generate_sft,
         "batched_map": batched_map,
         "format_training_pair": format_training_pair,
@@ -528,11 +623,15 @@ def registry() -> dict[str, Query]:
         "pair_rows": pair_rows,
         "similarity_rows": similarity_rows,
         "decode_tokens": decode_tokens,
+        "answer_chain": answer_chain,
+        "embed_similarity": embed_similarity,
         "token_length_profile": token_length_profile,
         "assign_batches": assign_batches,
         "limit_batches": limit_batches,
         "collate_batches": collate_batches,
+        "collate_token_rows": collate_token_rows,
         "metric_log": metric_log,
         "compare_runs": compare_runs,
         "metric_partials": metric_partials,
+        "merged_metrics": merged_metrics,
     }

@@ -40,21 +40,15 @@ def shared_folder(spark: SparkSession) -> str:
     return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints").rstrip("/")
 
 
+def input_partitions(spark: SparkSession) -> int | None:
+    """Tasks the caller wants inputs of heavy rows spread over; unset leaves them as scanned."""
+    wanted = spark.conf.get("pentarank.inputPartitions", None)
+    return int(wanted) if wanted else None
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Compute ``df`` once into the shared checkpoint folder and cut its lineage."""
     spark = df.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
-
-
-def spread_small(df: DataFrame, *keys: str) -> DataFrame:
-    """Give an input of few file splits one task per core, hashed on unique ``keys``.
-
-    Meant for work that is heavy per row. Inputs with enough splits, which is any large
-    table, are returned as they are, so nothing is shuffled for them.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() > cores // 2:
-        return df
-    return df.repartition(cores, *keys)

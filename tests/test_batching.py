@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from pentarank.operators import batching
-from pentarank.session import spread_small
+from pentarank.plans import inputs
 
 
 def expected_order(ids, seed=42):
@@ -67,8 +67,11 @@ def test_no_stage_sorts_everything_in_one_task(spark):
     assert "BroadcastHashJoin" in plan and "Sort [id" not in plan
 
 
-def test_spread_small_leaves_large_inputs_alone(spark):
-    cores = spark.sparkContext.defaultParallelism
-    wide = spark.range(0, 100, 1, cores)
-    assert spread_small(wide, "id") is wide
-    assert spread_small(spark.range(0, 100, 1, 1), "id").rdd.getNumPartitions() == cores
+def test_inputs_are_spread_only_when_the_session_says_so(spark, sf_dir):
+    as_scanned = inputs.documents(spark, sf_dir).rdd.getNumPartitions()
+    assert as_scanned == inputs.table(spark, sf_dir, "documents").rdd.getNumPartitions()
+    spark.conf.set("pentarank.inputPartitions", "5")
+    try:
+        assert inputs.documents(spark, sf_dir).rdd.getNumPartitions() == 5
+    finally:
+        spark.conf.unset("pentarank.inputPartitions")
