@@ -2,6 +2,7 @@ from __future__ import annotations
 
 import os
 import sys
+import tempfile
 from pathlib import Path
 
 import pytest
@@ -23,6 +24,7 @@ def spark():
         "local[8]",
         {
             "spark.sql.shuffle.partitions": "8",
+            "spark.checkpoint.dir": tempfile.mkdtemp(prefix="pentarank-tests-"),
             "spark.ui.enabled": "false",
             "spark.ui.showConsoleProgress": "false",
             "spark.driver.memory": "4g",
