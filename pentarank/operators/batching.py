@@ -53,7 +53,8 @@ def assign_batches(
     """``(id, row_index, batch_id, slot)`` for each row, ids being unique.
 
     Training order is a seeded shuffle, test order is by id. All batches but the last
-    hold exactly ``batch_size`` rows. Join the result on the id to batch wide rows.
+    hold exactly ``batch_size`` rows. Join the result on the id to batch wide rows. Runs a
+    job at once: the sorted keys are stored before they are numbered.
     """
     if shuffle:
         keys = df.select(id_col, shuffle_key(seed, F.col(id_col)).alias("_key"))
@@ -83,7 +84,9 @@ def collate_batches(
     """One row per batch: columns of ``stack`` as arrays in slot order, columns of
     ``flatten`` (arrays themselves) joined end to end.
 
-    Batches come from ``assign_batches``, so a collated row holds at most one batch.
+    Batches come from ``assign_batches``, so a collated row holds at most one batch; with
+    pictures that may still be hundreds of megabytes, so choose the batch size by it. Wide
+    rows move once, by batch: join them to the narrow batch numbers where they are.
     """
     fields = F.struct(slot_col, *stack, *flatten)
     batches = rows.groupBy(batch_col).agg(F.sort_array(F.collect_list(fields)).alias("_rows"))
