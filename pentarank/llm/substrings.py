@@ -123,35 +123,36 @@ def _id(rows: DataFrame) -> str:
     return f"id {rows.schema['id'].dataType.simpleString()}"
 
 
-def _stretches(joined: DataFrame, window: int) -> DataFrame:
-    """``(id, mark, start, v, hot, words)`` of the stretches of each row's followed minimisers."""
+def _stretches(joined: DataFrame, window: int, keys_col: str) -> DataFrame:
+    """``(id, mark, start, v, words)`` of the stretches of the minimisers listed in ``keys_col``.
+
+    Texts without any are not even split.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         schema = None
         for batch in batches:
             rows = []
-            schema = schema or pa.schema([("id", batch.schema.field(0).type), ("mark", pa.int64()), ("start", pa.int32()), ("v", pa.int64()), ("hot", pa.bool_()), ("words", pa.string())])
-            for key, mark, text, cold, warm in zip(*batch.columns):
-                if not cold.is_valid:
+            schema = schema or pa.schema([("id", batch.schema.field(0).type), ("mark", pa.int64()), ("start", pa.int32()), ("v", pa.int64()), ("words", pa.string())])
+            for key, mark, text, listed in zip(*batch.columns):
+                if not listed.is_valid or not len(listed):
                     continue
-                cold, warm = cold.as_py(), warm.as_py()
                 words = text.as_py().encode().split()
                 starts, keys, _ = minimisers(words, window)
                 keys = keys.view(np.int64)
                 ends = np.append(starts[1:], len(words) - window + 1)
-                follow = np.isin(keys, np.array(cold + warm, np.int64))
-                hot = np.isin(keys, np.array(warm, np.int64))
+                follow = np.isin(keys, listed.values.to_numpy())
                 for k in np.flatnonzero(follow).tolist():
                     s = int(starts[k])
-                    rows.append((key.as_py(), mark.as_py(), s, int(keys[k]), bool(hot[k]), b" ".join(words[s : int(ends[k]) + window - 1]).decode()))
+                    rows.append((key.as_py(), mark.as_py(), s, int(keys[k]), b" ".join(words[s : int(ends[k]) + window - 1]).decode()))
                 if len(rows) > BATCH:
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
                     rows = []
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), schema.types)], schema=schema)
 
-    return joined.select("id", "mark", "text", "cold", "warm").mapInArrow(
-        run, f"{_id(joined)}, mark long, start int, v long, hot boolean, words string"
+    return joined.select("id", "mark", "text", keys_col).mapInArrow(
+        run, f"{_id(joined)}, mark long, start int, v long, words string"
     )
 
 
@@ -261,8 +262,10 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col
         )
     )
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))
-    stretches = _stretches(rows.join(followed.hint("shuffle_hash"), same, "left"), window)
-    masks = _tree_masks(stretches.filter("not hot"), window).unionByName(_counted_masks(stretches.filter("hot"), window))
+    joined = rows.join(followed.hint("shuffle_hash"), same, "left")
+    masks = _tree_masks(_stretches(joined, window, "cold"), window).unionByName(
+        _counted_masks(_stretches(joined, window, "warm"), window)
+    )
     repeated = masks.groupBy(F.col("id").alias("i"), F.col("mark").alias("m")).agg(
         F.collect_list(F.struct("start", "mask")).alias("repeated")
     )
