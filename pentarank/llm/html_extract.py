@@ -260,11 +260,11 @@ def composed(count: int, seed: int = 11) -> tuple[tuple[list[Block], list[int]],
 def train(pages: DataFrame, max_train: int = 100, composed_pages: int = 500, html_col: str = "html") -> Model:
     """Fit on composed pages and on about ``max_train`` pages of the table that name their article.
 
-    The sample is drawn by a hash of the page; only its blocks' paths and texts reach the driver.
+    The sample is drawn by a hash of the page and counts copies once, so the driver gets no more.
     """
     rows = pages.select(F.col(html_col).alias("html")).filter("html is not null")
     share = F.pmod(F.xxhash64(F.lit(3), "html"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = rows.filter(share < max_train / max(rows.count(), 1)).toArrow()["html"].to_pylist()
+    drawn = rows.filter(share < max_train / max(rows.count(), 1)).distinct().toArrow()["html"].to_pylist()
     own = [got for page in sorted(drawn) if (got := silver(page))]
     return fit([*composed(composed_pages), *own])
 

@@ -165,13 +165,14 @@ def fit(bags: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings:
 def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     """Fit on ``(text, label)`` rows with label 0 or 1; other labels and NULL texts are left out.
 
-    At most about ``max_train`` rows, drawn by a hash of the text, become bags in the executors;
-    only these bags reach the driver. Their number does not grow with the table.
+    At most about ``max_train`` texts, drawn by a hash of the text, become bags in the executors;
+    only these bags reach the driver. A drawn text counts once however many copies it has, so
+    their number grows neither with the table nor with its copies.
     """
     rows = labelled.filter("label in (0, 1) and text is not null").select("text", "label")
     count = rows.count()
     share = F.pmod(F.xxhash64(F.lit(settings.seed), "text"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = rows.filter(share < settings.max_train / max(count, 1))
+    drawn = rows.filter(share < settings.max_train / max(count, 1)).groupBy("text").agg(F.min("label").alias("label"))
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -37,7 +37,7 @@ class Model:
 
 
 def corpus_samples(docs: DataFrame, text_col: str = "text", max_docs: int = 2000, seed: int = 42) -> DataFrame:
-    """Labelled samples ``(sample, random)`` from about ``max_docs`` documents, drawn by a text hash.
+    """Labelled samples ``(sample, random)`` from about ``max_docs`` distinct texts, drawn by a hash.
 
     Ordinary: their words of letters, with inner hyphens or underscores and a short number
     at the end. Random: digests of their texts in the alphabets secrets are written in.
@@ -45,7 +45,7 @@ def corpus_samples(docs: DataFrame, text_col: str = "text", max_docs: int = 2000
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
     count = texts.count()
     share = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = texts.filter(share < max_docs / max(count, 1))
+    drawn = texts.filter(share < max_docs / max(count, 1)).distinct()
     plain = drawn.select(
         F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{3,}(?:[_-][A-Za-z]+)*[0-9]{0,3}\b"), F.lit(0))).alias("sample")
     )

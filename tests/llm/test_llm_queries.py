@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import collections
+import re
+import zlib
+
 import duckdb
 import numpy as np
 import pytest
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from compare import TABLES, rows_of
-from pentarank.llm import queries
+from pentarank.llm import quality, queries, secrets
+from test_operators import WORDS, brute_components, brute_fingerprint, brute_spans, shingles
 
 
 @pytest.mark.parametrize("name", sorted(queries.statements()))
@@ -72,3 +78,40 @@ def test_pipeline_on_empty_and_odd_documents(spark, sf_dir):
             made = stage(spark, frame, sf_dir)
             assert made.count() <= frame.count() if name != "packing" else True
             assert name == "packing" or made.columns == docs.columns
+
+
+def brute_masked(text, model):
+    spans = [(a, b) for a, _, b in brute_spans(text)]
+    for m in re.finditer(secrets.CANDIDATE, text):
+        codes = [ord(c) - secrets.FIRST for c in m[0]]
+        ratio = sum(model.ratios[x * secrets.SYMBOLS + y] for x, y in zip(codes, codes[1:]))
+        if ratio >= 12.0 and ratio >= 0.4 * (len(codes) - 1) and not any(a < m.end() and m.start() < b for a, b in spans[:]):
+            spans.append((m.start(), m.end()))
+    done, at = "", 0
+    for a, b in sorted(spans):
+        if a >= at:
+            done += text[at:a] + secrets.MASK
+        at = max(at, b)
+    return done + text[at:]
+
+
+def test_pipeline_matches_brute_force(spark, sf_dir):
+    def table(name):
+        return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+    docs = table("documents")
+    judge = quality.train(queries.training_rows(docs, table("labels")))
+    left = {r.doc_id: r.text for r in docs.collect() if judge.score(r.text) >= 0.7}
+    fps = {d: brute_fingerprint(t, 3) for d, t in left.items()}
+    roots = brute_components([(a, b) for a in fps for b in fps if a < b and (fps[a] ^ fps[b]).bit_count() <= 3])
+    left = {d: t for d, t in left.items() if roots.get(d, d) == d}
+    items = [s for r in table("benchmark").collect() if (s := shingles(r.text))]
+    left = {d: t for d, t in left.items() if not any(len(s & shingles(t)) >= 0.8 * len(s) for s in items)}
+    kept = spark.createDataFrame(list(left.items()), "doc_id long, text string")
+    model = secrets.train(secrets.corpus_samples(kept))
+    tokenizer, want = Tokenizer.from_file(WORDS), collections.Counter()
+    for d, t in left.items():
+        ids = np.array(tokenizer.encode(brute_masked(t, model), add_special_tokens=False).ids + [2], "<u4")
+        want.update((d, s, len(ids[s : s + 4096]), zlib.crc32(ids[s : s + 4096].tobytes()), len(ids)) for s in range(0, len(ids), 4096))
+    got = corpus_pipeline.run(spark, sf_dir).collect()
+    assert collections.Counter((r.doc_id, r.start, r.length, r.ids_crc32, r.doc_tokens) for r in got) == want
