@@ -30,6 +30,7 @@ GRAM = 8
 STRETCH = 32
 HOT = 256
 BATCH = 16_384
+SALTS = 16
 MIX = np.uint64(0x9E3779B97F4A7C15)
 STEP = np.uint64(0xD6E8FEB86659FD93)
 
@@ -199,8 +200,20 @@ def _counted_masks(hot: DataFrame, window: int) -> DataFrame:
         F.posexplode(F.transform(F.sequence(F.lit(0), F.size("w") - window), lambda i: F.unhex(F.md5(F.array_join(F.slice("w", i + 1, window), " "))))).alias("at", "leaf"),
     )
     nodes = windows.groupBy("leaf").agg(F.sum("n").alias("n")).filter("n > 1").select("leaf")
-    masks = windows.select("key", "at", "leaf").join(nodes, "leaf").groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
-    return keyed.select("id", "mark", "start", "key").join(masks, "key").select("id", "mark", "start", "mask")
+    found = _salted_join(windows.select("key", "at", "leaf"), nodes, "leaf", ["key", "at"])
+    masks = found.groupBy("key").agg(F.bit_or(F.expr("shiftleft(1L, at)")).alias("mask"))
+    placed = _salted_join(keyed.select("id", "mark", "start", "key"), masks, "key", ["id", "mark", "start"])
+    return placed.select("id", "mark", "start", "mask")
+
+
+def _salted_join(many: DataFrame, one: DataFrame, key: str, spread_by: list[str]) -> DataFrame:
+    """Join on ``key``, which one value may have in a third of ``many``'s rows but once in ``one``.
+
+    Such rows are dealt to ``SALTS`` tasks, to each of which the row of ``one`` goes.
+    """
+    left = many.withColumn("salt", F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int"))
+    right = one.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return left.join(right, [key, "salt"]).drop("salt")
 
 
 def _kept(joined: DataFrame, window: int) -> DataFrame:
