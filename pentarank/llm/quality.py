@@ -176,22 +176,22 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
 
     def bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, marks = batch.column(0), batch.column(1)
-            for lo in range(0, len(texts), 64):
-                made = [_bag(t.as_py(), settings) for t in texts[lo : lo + 64]]
-                columns = [[m[0].tobytes() for m in made], [m[1].tobytes() for m in made], marks[lo : lo + 64]]
+            for lo in range(0, len(batch), 64):
+                part = batch.slice(lo, 64)
+                made = [_bag(t.as_py(), settings) for t in part.column(0)]
+                ids, weights = ([m[k].tobytes() for m in made] for k in (0, 1))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(columns[0], pa.binary()), pa.array(columns[1], pa.binary()), columns[2]],
-                    ["ids", "weights", "label"],
+                    [pa.array(ids, pa.binary()), pa.array(weights, pa.binary()), part.column(1), part.column(2)],
+                    ["ids", "weights", "label", "place"],
                 )
 
-    got = drawn.select("text", F.col("label").cast("int")).mapInArrow(bags, "ids binary, weights binary, label int").toArrow()
-    made = [
-        (np.frombuffer(i, np.int32), np.frombuffer(w, np.float32)) for i, w in zip(got["ids"].to_pylist(), got["weights"].to_pylist())
-    ]
-    labels = np.array(got["label"].to_pylist(), dtype=np.int64)
-    order = sorted(range(len(made)), key=lambda k: (made[k][0].tobytes(), int(labels[k])))
-    return fit([made[k] for k in order], labels[order] if len(order) else labels, settings)
+    rows = drawn.select("text", F.col("label").cast("int"), F.xxhash64("text").alias("place"))
+    got = rows.mapInArrow(bags, "ids binary, weights binary, label int, place long").toArrow()
+    # Views of what has arrived, in an order that does not depend on Spark's partitions.
+    order = np.argsort(got["place"].to_numpy(), kind="stable")
+    ids, weights = ([x.as_buffer() for x in got[c]] for c in ("ids", "weights"))
+    made = [(np.frombuffer(ids[k], np.int32), np.frombuffer(weights[k], np.float32)) for k in order]
+    return fit(made, got["label"].to_numpy().astype(np.int64)[order], settings)
 
 
 def score_texts(model: Model, text: Column) -> Column:
