@@ -44,6 +44,11 @@ class Settings:
     rate: float = 0.4
     seed: int = 42
 
+    @property
+    def id_type(self) -> type:
+        """The narrowest type of a bucket's number: bags are what training sends to the driver."""
+        return np.uint16 if self.bits <= 16 else np.uint32
+
 
 def _powers(base: np.uint64, size: int) -> np.ndarray:
     powers = np.full(size, base, dtype=np.uint64)
@@ -111,7 +116,7 @@ def _bag(text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
         if total := family.sum():
             weights += family / (total * FAMILIES)
     ids = np.flatnonzero(weights)
-    return ids.astype(np.int32), weights[ids]
+    return ids.astype(settings.id_type), weights[ids]
 
 
 @dataclass
@@ -190,7 +195,7 @@ def train(labelled: DataFrame, settings: Settings = Settings()) -> Model:
     # Views of what has arrived, in an order that does not depend on Spark's partitions.
     order = np.argsort(got["place"].to_numpy(), kind="stable")
     ids, weights = ([x.as_buffer() for x in got[c]] for c in ("ids", "weights"))
-    made = [(np.frombuffer(ids[k], np.int32), np.frombuffer(weights[k], np.float32)) for k in order]
+    made = [(np.frombuffer(ids[k], settings.id_type), np.frombuffer(weights[k], np.float32)) for k in order]
     return fit(made, got["label"].to_numpy().astype(np.int64)[order], settings)
 
 
