@@ -139,9 +139,28 @@ def _containment_sql() -> str:
     from hits join sizes using (item_id) where n_shared >= 0.8 * n_item"""
 
 
+def _repeats_sql() -> str:
+    return """
+    with split as (
+        select doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') w from documents),
+    placed as (select doc_id, unnest(w) word, generate_subscripts(w, 1) pos from split),
+    windows as (
+        select doc_id, pos, count(*) over next n,
+               string_agg(word, ' ') over next said
+        from placed window next as (partition by doc_id order by pos rows between current row and 34 following)),
+    repeated as (
+        select doc_id, pos from (select *, count(*) over (partition by said) times from windows where n = 35) where times > 1),
+    covered as (select distinct doc_id, pos + k pos from repeated, range(35) t(k)),
+    kept as (
+        select doc_id, string_agg(word, ' ' order by pos) said, count(*) n
+        from placed anti join covered using (doc_id, pos) group by doc_id)
+    select doc_id, len(w)::bigint n_words, (len(w) - coalesce(n, 0))::bigint n_removed, sha256(coalesce(said, '')) kept_sha256
+    from split left join kept using (doc_id)"""
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
 
 def statements() -> dict[str, str]:
-    return {"op1_url_filters": _url_sql(), "op7_decontamination": _containment_sql()}
+    return {"op1_url_filters": _url_sql(), "op7_decontamination": _containment_sql(), "op10_substrings": _repeats_sql()}
