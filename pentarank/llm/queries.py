@@ -158,9 +158,32 @@ def _repeats_sql() -> str:
     from split left join kept using (doc_id)"""
 
 
+def _links_sql() -> str:
+    return """
+    with recursive sound as (
+        select vec_id, label, embedding::double[] v from embeddings
+        where label is not null and isfinite(list_sum(list_transform(embedding::double[], lambda x: x * x)))
+          and list_sum(list_transform(embedding::double[], lambda x: x * x)) > 0
+          and len(list_filter(embedding, lambda x: x is null)) = 0),
+    links as (
+        select a.vec_id x, b.vec_id y from sound a join sound b on a.label = b.label and a.vec_id <> b.vec_id
+        where list_cosine_similarity(a.v, b.v) >= 0.93),
+    reach(vec_id, root) as (
+        select vec_id, vec_id from embeddings
+        union select reach.vec_id, links.y from reach join links on reach.root = links.x),
+    counts as (select x vec_id, count(*) n from links group by x)
+    select vec_id, coalesce(any_value(n), 0) n_links, min(root) component_id, vec_id = min(root) kept
+    from reach left join counts using (vec_id) group by vec_id"""
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
 
 def statements() -> dict[str, str]:
-    return {"op1_url_filters": _url_sql(), "op7_decontamination": _containment_sql(), "op10_substrings": _repeats_sql()}
+    return {
+        "op1_url_filters": _url_sql(),
+        "op3_cover_tree": _links_sql(),
+        "op7_decontamination": _containment_sql(),
+        "op10_substrings": _repeats_sql(),
+    }
