@@ -24,7 +24,8 @@ ASSIGN_LEAST = 6
 BASE_KINDS = ("assign", "access", "hex")
 
 RANDOM_KIND = "random"
-CANDIDATE = r"[A-Za-z0-9+_=-]{20,}"
+CANDIDATE = r"[A-Za-z0-9+/_=-]{20,}"
+LEAST = 20
 FIRST, SYMBOLS = 32, 96
 MASK = "[SECRET]"
 
@@ -40,18 +41,20 @@ def corpus_samples(docs: DataFrame, text_col: str = "text", max_docs: int = 2000
     """Labelled samples ``(sample, random)`` from about ``max_docs`` distinct texts, drawn by a hash.
 
     Ordinary: their words of letters, with inner hyphens or underscores and a short number
-    at the end. Random: digests of their texts in the alphabets secrets are written in.
+    at the end, as they are and as parts of a path; numbers of up to four digits as parts of a
+    path only. Random: digests of their texts in the alphabets secrets are written in.
     """
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
     count = texts.count()
     share = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) / float(1 << 20)
     drawn = texts.filter(share < max_docs / max(count, 1)).distinct()
-    plain = drawn.select(
-        F.explode(F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{3,}(?:[_-][A-Za-z]+)*[0-9]{0,3}\b"), F.lit(0))).alias("sample")
-    )
+    words = F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{3,}(?:[_-][A-Za-z]+)*[0-9]{0,3}\b"), F.lit(0))
+    numbers = F.regexp_extract_all("text", F.lit(r"\b[0-9]{1,4}\b"), F.lit(0))
+    parts = F.transform(F.concat(words, numbers), lambda p: F.concat(F.lit("/"), p, F.lit("/")))
+    plain = drawn.select(F.explode(F.concat(words, parts)).alias("sample"))
     raw = F.unhex(F.sha2("text", 256))
-    coded = F.regexp_replace(F.base64(raw), "[/=]", "")
-    kinds = [coded, F.upper(F.base64(F.unhex(F.md5("text")))), F.lower(F.hex(raw)), F.hex(raw), F.translate(coded, "+", "_")]
+    coded = F.regexp_replace(F.base64(raw), "=", "")
+    kinds = [coded, F.upper(F.base64(F.unhex(F.md5("text")))), F.lower(F.hex(raw)), F.hex(raw), F.translate(coded, "+/", "-_")]
     made = drawn.select(F.explode(F.array(*kinds)).alias("sample"))
     return plain.select("sample", F.lit(0).alias("random")).unionByName(made.select("sample", F.lit(1).alias("random")))
 
@@ -98,6 +101,45 @@ def _located(matches: str, parts: str) -> Column:
         else cast(array() as array<struct<start: int, end: int>>) end""")
 
 
+def _runs(word: Column, model: Model, margin: float, per_pair: float) -> Column:
+    """``(runs, pieces)`` of a candidate with slashes: spans in it that may be random, cut at slashes.
+
+    A run is parts in a row that add up to the most in favour of random; it ends where the sum
+    falls to nothing or by ``margin``. A piece is one part. Both are ``LEAST`` long at least.
+    """
+    spans = F.expr("cast(array() as array<struct<start: int, end: int>>)")
+    parts = F.transform(
+        F.split(word, "/"),
+        lambda p: F.struct(F.length(p).alias("n"), (log_ratio(F.concat(p, F.lit("/")), model) - per_pair * F.length(p)).alias("gain")),
+    )
+
+    def kept(done: Column, start: Column, end: Column) -> Column:
+        span = F.struct(start.alias("start"), end.alias("end"))
+        return F.when(end - start >= LEAST, F.array_append(done, span)).otherwise(done)
+
+    def step(acc: Column, part: Column) -> Column:
+        end, total = acc["pos"] + part["n"], acc["total"] + part["gain"]
+        grows = total > acc["best"]
+        ends = ~grows & ((total <= 0) | (total < acc["best"] - margin))
+        return F.struct(
+            (end + 1).alias("pos"),
+            F.when(ends, end + 1).otherwise(acc["first"]).alias("first"),
+            F.when(ends, end + 1).when(grows, end).otherwise(acc["last"]).alias("last"),
+            F.when(ends, 0.0).otherwise(total).alias("total"),
+            F.when(ends, 0.0).when(grows, total).otherwise(acc["best"]).alias("best"),
+            F.when(ends, kept(acc["runs"], acc["first"], acc["last"])).otherwise(acc["runs"]).alias("runs"),
+            kept(acc["pieces"], acc["pos"], end).alias("pieces"),
+        )
+
+    none = [F.lit(0).alias(c) for c in ("pos", "first", "last")] + [F.lit(0.0).alias(c) for c in ("total", "best")]
+    return F.aggregate(
+        parts,
+        F.struct(*none, spans.alias("runs"), spans.alias("pieces")),
+        step,
+        lambda acc: F.struct(kept(acc["runs"], acc["first"], acc["last"]).alias("runs"), acc["pieces"].alias("pieces")),
+    )
+
+
 def _digest(spans: Column) -> Column:
     names = F.array(*map(F.lit, (*BASE_KINDS, RANDOM_KIND)))
     return F.array_join(
@@ -110,7 +152,8 @@ def scan(docs: DataFrame, model: Model, margin: float = 12.0, per_pair: float =
 
     Added: ``n_assign, n_access, n_hex, base_sha256, spans``. ``base`` holds the patterns' spans,
     ``found`` these and the strings that look random: at least ``margin`` in favour of random and ``per_pair``
-    for each character pair, outside every span of ``base``. Positions count code points, ends are
+    for each character pair, outside every span of ``base``. A slash may be part of them; where a candidate with
+    slashes is not random as a whole, runs of its parts and single parts are judged by the same rule. Positions count code points, ends are
     exclusive. NULL texts are scanned as empty and give no spans. Columns of the added names
     are replaced; repeated rows are all returned. No shuffle.
     """
@@ -128,17 +171,39 @@ def scan(docs: DataFrame, model: Model, margin: float = 12.0, per_pair: float =
 
     assign = F.expr(f"filter(_s_assign, (s, i) -> length(_v[i]) >= {ASSIGN_LEAST})")
     found = found.withColumn("base", F.array_sort(F.concat(kind(assign, 0), kind(F.col("_s_access"), 1), kind(F.col("_s_hex"), 2))))
-    ratios = F.when(F.size("_m_word") > 0, F.transform("_m_word", lambda w: log_ratio(w, model)))
-    found = found.withColumn("_r", ratios)
-    random = F.expr(
-        f"filter(_s_word, (s, i) -> _r[i] >= {margin!r}D and _r[i] >= {per_pair!r}D * (s.end - s.start - 1)"
-        " and not exists(base, b -> b.start < s.end and s.start < b.end))"
-    )
+
+    def judged(word: Column, start: Column, end: Column) -> Column:
+        free = ~F.exists("base", lambda b: (b["start"] < end) & (start < b["end"]))
+        return free & (log_ratio(word, model) >= F.greatest(F.lit(margin), per_pair * (F.length(word) - 1)))
+
+    def inner(cand: Column) -> Column:
+        """Random spans in a candidate that is not random as a whole."""
+        at, word = cand["start"], cand["word"]
+
+        def fits(span: Column) -> Column:
+            return judged(F.substring(word, span["start"] + 1, span["end"] - span["start"]), at + span["start"], at + span["end"])
+
+        def spans(cuts: Column) -> Column:
+            runs = F.filter(cuts["runs"], fits)
+            apart = lambda p: ~F.exists(runs, lambda r: (r["start"] < p["end"]) & (p["start"] < r["end"]))
+            return F.concat(runs, F.filter(cuts["pieces"], lambda p: apart(p) & fits(p)))
+
+        found = F.flatten(F.transform(F.array(_runs(word, model, margin, per_pair)), spans))
+        return F.transform(found, lambda s: F.struct((at + s["start"]).alias("start"), (at + s["end"]).alias("end")))
+
+    cands = F.zip_with(
+        "_m_word", "_s_word",
+        lambda w, s: F.struct(w.alias("word"), s["start"].alias("start"), s["end"].alias("end"), judged(w, s["start"], s["end"]).alias("whole")),
+    )
+    found = found.withColumn("_w", F.when(F.size("_m_word") > 0, cands).otherwise(F.slice(cands, 1, 0)))
+    found = found.withColumn("_x", F.filter("_w", lambda c: ~c["whole"] & F.contains(c["word"], F.lit("/"))))
+    pieces = F.when(F.size("_x") > 0, F.flatten(F.transform("_x", inner))).otherwise(F.slice("_s_word", 1, 0))
+    random = F.concat(F.expr("transform(filter(_w, c -> c.whole), c -> named_struct('start', c.start, 'end', c.end))"), pieces)
     found = found.withColumn("found", F.array_sort(F.concat("base", kind(random, 3))))
     for k, name in enumerate(BASE_KINDS):
         found = found.withColumn(f"n_{name}", F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as bigint)"))
     found = found.withColumn("base_sha256", F.sha2(_digest(F.col("base")), 256)).withColumn("spans", _digest(F.col("found")))
-    return found.drop(*[c for c in found.columns if c in ("_t", "_v", "_r") or c[:3] in ("_m_", "_p_", "_s_")])
+    return found.drop(*[c for c in found.columns if c in ("_t", "_v", "_w", "_x") or c[:3] in ("_m_", "_p_", "_s_")])
 
 
 def redact(docs: DataFrame, model: Model, mask: str = MASK, text_col: str = "text", **options) -> DataFrame:

@@ -3,6 +3,7 @@ extra columns whose names clash with those used inside."""
 
 from __future__ import annotations
 
+import base64
 import collections
 import hashlib
 import random
@@ -391,6 +392,31 @@ def test_redaction_masks_whole_spans(spark, odd):
     assert secrets.redact(odd, model).columns == odd.columns
 
 
+def test_random_strings_with_slashes_are_found_whole(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = secrets.train(secrets.corpus_samples(docs))
+    rng = random.Random(4)
+    keys = [k for k in (base64.b64encode(rng.randbytes(30)).decode() for _ in range(800)) if "/" in k]
+    keys.append("wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY")
+    words = [r.w for r in docs.selectExpr("explode(split(text, ' ')) as w").filter("w rlike '^[A-Za-z]{3,}$'").limit(2000).collect()]
+    paths = ["/".join(rng.choices(words, k=rng.randint(4, 9))) for _ in range(300)] + ["blog/2024/01/15/" + "-".join(rng.choices(words, k=4)) for _ in range(100)]
+    rows = spark.createDataFrame([(f"key: {s} é", k < len(keys)) for k, s in enumerate(keys + paths)], "text string, random boolean")
+    got = secrets.redact(rows, model).collect()
+    whole = [r.text == f"key: {secrets.MASK} é" for r in got if r.random]
+    assert len(whole) > 350 and sum(whole) >= 0.98 * len(whole) and whole[-1]
+    assert sum(secrets.MASK in r.text for r in got if not r.random) <= 8
+
+
+def test_keys_inside_long_paths_are_found(spark, sf_dir):
+    model = secrets.train(secrets.corpus_samples(spark.read.parquet(f"{sf_dir}/documents.parquet")))
+    key, other, way = "wJalrXUtnFEMI/K7MDENG/bPxRfiCYzQ7pLtEKQY", "T0aB3xQ9Zk4Vw8Lm2Rj7Yp5Hn6", "station/morning/another/station/morning/another/station/morning"
+    texts = [f"{way}/{key}/{way} and {way}/{other}/{way}/{way}/{other}", f"{way}/{other}/{'0f' * 12}", way, way + "/a" * 20_000]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    got = [r.text for r in secrets.redact(rows, model).orderBy("doc_id").collect()]
+    mask = secrets.MASK
+    assert got == [f"{way}/{mask}/{way} and {way}/{mask}/{way}/{way}/{mask}", f"{way}/{mask}/{mask}", *texts[2:]]
+
+
 # --- 7, decontamination ----------------------------------------------------
 
 
