@@ -8,12 +8,16 @@ from dataclasses import dataclass, field
 
 # Element classes of HTML.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea iframe noembed noframes xmp".split())
-UNSEEN = frozenset("head script style title template svg math iframe object noscript select datalist textarea audio video canvas".split())
+RAW = frozenset("script style title textarea xmp".split())
+UNSEEN = frozenset("script style title".split())
+# What may stand in a head; any other start tag, or text, ends it.
+HEAD = frozenset("base basefont bgsound head link meta noframes noscript script style template title".split())
+IN_HEAD = frozenset("head noframes noscript".split())
 BLOCK = frozenset(
-    "address article aside blockquote body button caption center dd details dialog dir div dl dt fieldset figcaption figure "
-    "footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol option p pre section select summary "
-    "table tbody td template textarea tfoot th thead title tr ul".split()
+    "address article aside audio blockquote body button canvas caption center datalist dd details dialog dir div dl dt fieldset "
+    "figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html iframe legend li main menu nav noembed noframes "
+    "noscript object ol option p pre section select summary svg table tbody td template textarea tfoot th thead title tr ul "
+    "video xmp".split()
 )
 # A start tag closes these open elements, looking no further out than the named bounds.
 CLOSES_P = frozenset(
@@ -27,7 +31,7 @@ SIBLINGS = {
     "tr": ({"tr", "td", "th"}, {"table"}),
     "td": ({"td", "th"}, {"tr", "table"}),
     "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
+    "option": ({"option"}, {"select", "datalist"}),
 }
 P_BOUNDS = frozenset("table td th caption button object body html".split())
 
@@ -68,7 +72,8 @@ def blocks(page: str) -> list[Block]:
     """Blocks in page order; white space is collapsed and references are decoded, empty ones are left out.
 
     Broken markup never fails: end tags without a start are ignored, open elements end with
-    what holds them, and what is no tag is text. Scripts, styles, head and comments have no blocks.
+    what holds them, and what is no tag is text. Scripts, styles, head and comments have no blocks;
+    a head without an end tag ends at the first tag or text that cannot be part of it.
     """
     stack: list[tuple[str, ...]] = []
     out: list[Block] = []
@@ -84,9 +89,11 @@ def blocks(page: str) -> list[Block]:
                 out.append(Block(tuple(stack), text, now.linked))
             now = _Open()
 
-    def add(raw: str) -> None:
+    def add(raw: str, references: bool = True) -> None:
+        if hidden and stack[-1][0] in IN_HEAD and raw.strip():
+            close({"head"}, ())
         if not hidden and raw:
-            text = html.unescape(raw) if "&" in raw else raw
+            text = html.unescape(raw) if references and "&" in raw else raw
             now.text.append(text)
             if links:
                 now.linked += len(text.strip())
@@ -96,7 +103,7 @@ def blocks(page: str) -> list[Block]:
         if any(e[0] in BLOCK for e in stack[depth:]):
             flush()
         for entry in stack[depth:]:
-            hidden -= entry[0] in UNSEEN
+            hidden -= entry[0] == "head"
             links -= entry[0] == "a"
         del stack[depth:]
 
@@ -129,7 +136,7 @@ def blocks(page: str) -> list[Block]:
                     break
             continue
         attributes = match[3] or match[6] or ""
-        if tag == "body" and any(e[0] == "head" for e in stack):
+        if hidden and (tag == "body" or tag not in HEAD and stack[-1][0] in IN_HEAD):
             close({"head"}, ())
         if tag in CLOSES_P:
             close({"p"}, P_BOUNDS)
@@ -141,12 +148,16 @@ def blocks(page: str) -> list[Block]:
             add("\n")
         if tag in VOID:
             continue
-        if tag in RAW:
+        if tag in RAW and not (tag == "title" and any(e[0] == "svg" for e in stack)):
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
+            if tag not in UNSEEN:
+                stack.append((tag, *_names(attributes)))
+                add(page[at : end.start() if end else size], references=tag != "xmp")
+                pop_to(len(stack) - 1)
             at = end.end() if end else size
             continue
         stack.append((tag, *_names(attributes)))
-        hidden += tag in UNSEEN
+        hidden += tag == "head"
         links += tag == "a"
     flush()
     return out

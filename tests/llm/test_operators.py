@@ -494,6 +494,28 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in blocks("<p a='" * 2000 + "end")] != []
 
 
+def test_only_scripts_styles_head_and_comments_have_no_blocks():
+    def texts(page):
+        return [b.text for b in blocks(page)]
+
+    start = "<html><head><meta charset=utf-8><title>T</title>"
+    for rest in ("<p>Text", "\n<p>Text</p>", "Text", "<link href=x><script>s</script>Text", "<noscript><style>s</style></noscript><p>Text"):
+        assert texts(start + rest) == ["Text"], rest
+    assert texts(start + "<noscript><p>Text") == texts("<head><body>Text") == texts("<head></head>Text") == ["Text"]
+    assert texts(start + "<template><p>no</p></template>\n<style>s</style></head><p>Text") == ["Text"]
+    assert all(e[0] != "head" for b in blocks(start + "<p>a<div>b") for e in b.path)
+    assert texts("<p>so <math><mi>E</mi><mo>=</mo><mi>m</mi></math> holds") == ["so E=m holds"]
+    assert texts("<p>a<object data=x>b</object>c<noscript>d<script>no</script></noscript>e") == ["a", "b", "c", "d", "e"]
+    assert texts("<svg><title>a</title><text>b</text></svg><select><option>c<option>d</select><textarea>e&amp;<b></textarea>") == ["a", "b", "c", "d", "e&<b>"]
+    assert texts("<xmp>a&amp;</xmp><video>b</video><iframe>c</iframe><canvas>d</canvas><template>e</template>") == ["a&amp;", "b", "c", "d", "e"]
+
+
+def test_crf_keeps_formulas_and_pages_without_head_end(crf):
+    said = "The energy of a body at rest, as was shown long ago, is <math><mi>E</mi><mo>=</mo><mi>m</mi></math> in these units."
+    page = f"<html><head><meta charset=utf-8><title>T</title><article><h1>Energy at rest</h1><p>{said}<p>It was a long way to this law, and many took part.</article>"
+    assert "is E=m in these units. It was a long way" in html_extract.extract(page, crf, {})
+
+
 def test_crf_on_held_out_pages(crf):
     right = total = 0
     for page, labels in html_extract.composed(200, seed=77):
