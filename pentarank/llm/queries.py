@@ -12,6 +12,7 @@ from pentarank.llm import (
     cover_tree,
     decontaminate,
     html_extract,
+    merkle,
     packing,
     quality,
     secrets,
@@ -95,6 +96,10 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _url_sql() -> str:
     def hits(terms) -> str:
         return " + ".join(f"regexp_matches(u, '(^|[^a-z0-9]){t}([^a-z0-9]|$)')::int" for t in terms)
@@ -176,6 +181,39 @@ def _links_sql() -> str:
     from reach left join counts using (vec_id) group by vec_id"""
 
 
+def _merkle_sql() -> str:
+    order = "order by doc_id nulls first, sha256(t)"
+    return f"""
+    with placed as (
+        select doc_id, t, length(t) n, coalesce(lead(t) over ({order}), first_value(t) over ({order})) follows
+        from (select doc_id, coalesce(text, '') t from documents)),
+    changed as (
+        select *, left(t, n - n // 4) || left(follows, n // 4) edited from placed),
+    texts as (select t from changed union select edited from changed),
+    pieces as (
+        select t, unnest(p) piece, generate_subscripts(p, 1) pos
+        from (select t, regexp_extract_all(t, '{merkle.PARAGRAPH}') p from texts)),
+    marked as (
+        select t, pos, sha256(piece) digest,
+               coalesce(sum((starts_with(sha256(piece), '0') or regexp_matches(piece, '{merkle.BLANK_LINE}'))::int)
+                   over (partition by t order by pos rows between unbounded preceding and 1 preceding), 0) section
+        from pieces),
+    sections as (
+        select t, section, sha256('s' || string_agg(digest, '' order by pos)) digest,
+               string_agg(left(digest, {merkle.BRANCH_DIGITS}), ':' order by pos) under
+        from marked group by t, section),
+    prints as (
+        select t, sha256('r' || string_agg(digest, '' order by section))
+               || string_agg('/' || left(digest, {merkle.BRANCH_DIGITS}) || ':' || under, '' order by section) print
+        from sections group by t
+        union all select '', sha256('r')),
+    branches as (select t, print, list_distinct(regexp_extract_all(print, ':([0-9a-f]{{{merkle.BRANCH_DIGITS}}})', 1)) b from prints)
+    select doc_id, n::bigint n_chars, sha256(edited) edited_sha256, own.print fingerprint, new.print edited_fingerprint,
+           case when t = edited then 1.0 else 2 * len(list_intersect(own.b, new.b)) / (len(own.b) + len(new.b)) end::double near_edited,
+           case when t = follows then 1.0 else 2 * len(list_intersect(own.b, nxt.b)) / (len(own.b) + len(nxt.b)) end::double near_next
+    from changed join branches own using (t) join branches new on new.t = edited join branches nxt on nxt.t = follows"""
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {name: query for name, query in globals().items() if name.startswith("op") and callable(query)}
 
@@ -186,4 +224,5 @@ def statements() -> dict[str, str]:
         "op3_cover_tree": _links_sql(),
         "op7_decontamination": _containment_sql(),
         "op10_substrings": _repeats_sql(),
+        "op13_merkle": _merkle_sql(),
     }
