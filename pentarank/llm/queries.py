@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pentarank.llm import (
     cover_tree,
     decontaminate,
+    gnat,
     html_extract,
     merkle,
     packing,
@@ -96,6 +97,12 @@ def op10_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return left.select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    moved = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", moved)
+    return gnat.mine_negatives(rows, F.col("vec_id") % 100 == 0)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -181,6 +188,28 @@ def _links_sql() -> str:
     from reach left join counts using (vec_id) group by vec_id"""
 
 
+def _negatives_sql() -> str:
+    return """
+    with rows as materialized (
+        select row_number() over () k, vec_id, case when vec_id % 7 = 0 then (label + 1) % 10 else label end as l,
+               list_transform(embedding, lambda x: floor(256 * x::double)) v
+        from embeddings
+        where vec_id is not null and label is not null and embedding is not null
+          and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0),
+    scores as (
+        select a.k, a.vec_id anchor_id, a.l = b.l as same, b.k other, b.vec_id, list_inner_product(a.v, b.v)::bigint score
+        from rows a join rows b on a.k <> b.k where a.vec_id % 100 = 0),
+    positives as (
+        select * from scores where same
+        qualify row_number() over (partition by k order by score desc, vec_id) <= 5),
+    fits as (
+        select p.anchor_id, p.vec_id positive_id, n.vec_id negative_id, p.score positive_score, n.score negative_score,
+               row_number() over (partition by p.k, p.other order by n.score desc, n.vec_id) rank
+        from positives p join scores n on p.k = n.k
+        where not n.same and 30 * p.score <= 100 * n.score and 100 * n.score <= 90 * p.score)
+    select anchor_id, positive_id, rank::int rank, negative_id, positive_score, negative_score from fits where rank <= 10"""
+
+
 def _merkle_sql() -> str:
     order = "order by doc_id nulls first, sha256(t)"
     return f"""
@@ -224,5 +253,6 @@ def statements() -> dict[str, str]:
         "op3_cover_tree": _links_sql(),
         "op7_decontamination": _containment_sql(),
         "op10_substrings": _repeats_sql(),
+        "op11_hard_negatives": _negatives_sql(),
         "op13_merkle": _merkle_sql(),
     }
