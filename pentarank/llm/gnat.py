@@ -291,7 +291,7 @@ class Index:
         planned = asked.select(*names).mapInArrow(_plan(self.tree, self.sample, self.dim, same, count), schema)
         ends = F.sequence(F.get(F.lit(self.first[:-1].tolist()), F.col("leaf")), F.get(F.lit(self.first[1:].tolist()), F.col("leaf")) - 1)
         queries = planned.select(*names, F.explode("leaves").alias("leaf")).filter(F.get(F.lit(np.diff(self.first).tolist()), F.col("leaf")) > 0)
-        queries = queries.select(*names, F.explode(ends).cast("int").alias("cell"), F.lit(1).alias("kind"))
+        queries = queries.select(*names, F.explode(ends.cast("array<int>")).alias("cell"), F.lit(1).alias("kind"))
         none = F.lit(None).cast("array<long>")
         stored = self.rows.select("key", "id", "label", "v", none.alias("lows"), none.alias("highs"), "cell", F.lit(0).alias("kind"))
         width = int(asked.sparkSession.conf.get("spark.sql.shuffle.partitions"))
