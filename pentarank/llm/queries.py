@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pentarank.llm import (
+    conversations,
     cover_tree,
     decontaminate,
     gnat,
@@ -103,6 +104,11 @@ def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return gnat.mine_negatives(rows, F.col("vec_id") % 100 == 0)
 
 
+def op12_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return conversations.repair(conversations.damage(rows), rows)
+
+
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.compare_edited(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
