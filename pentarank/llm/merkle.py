@@ -154,7 +154,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     rows = rows.withColumn("key", F.concat(F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("digest")))
     slim = rows.select("key", "id", "digest", F.length("text").alias("n"))
     ring = _ring(slim.groupBy("key", "id", "digest").agg(F.any_value("n").alias("n")))
-    whole = rows.groupBy("key").agg(F.any_value("id").alias("id"), F.any_value("text").alias("text"), F.count("*").alias("copies"))
+    # Both sides of the join below need the same columns of it, so that the texts are shuffled once for both.
+    whole = rows.groupBy("key").agg(F.any_value("text").alias("text"), F.count("*").alias("copies")).filter("copies > 0")
     placed = whole.join(ring, "key")
 
     def quarter(n: str) -> Column:
@@ -164,7 +165,8 @@ def compare_edited(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         F.col("prev_key").alias("key"), F.substring("text", F.lit(1), quarter("prev_n")).alias("begins"),
         fingerprint("text").alias("next_print"),
     )
-    kept = placed.select("key", "id", "text", "n", "copies").join(sent, "key")
+    own_id = F.nullif(F.substring_index("key", ":", 1), F.lit("")).cast(docs.schema[id_col].dataType)
+    kept = placed.select("key", own_id.alias("id"), "text", "n", "copies").join(sent, "key")
     # What stands for the copies before the last, which have themselves as successor, and for the last.
     itself = F.struct(F.substring("text", F.lit(1), quarter("n")).alias("begins"), F.lit(True).alias("same"), (F.col("copies") - 1).alias("times"))
     other = F.struct(F.col("begins"), F.lit(False).alias("same"), F.lit(1).cast("long").alias("times"))
