@@ -316,6 +316,7 @@ def statements() -> dict[str, str]:
     )
     sql["perplexity"] = _with(_LOGITS, _log_probs("logits")) + _PERPLEXITY
     sql["perplexity_shifted"] = _with(_LOGITS, _SHIFTED, _log_probs("shifted")) + _PERPLEXITY
+    sql["perplexity_streamed"] = sql["perplexity"].replace("AS perplexity", "AS perplexity_streamed")
     sql["perplexity_strict"] = _with(_LOGITS, _log_probs("logits")) + """SELECT
   CASE WHEN count(*) FILTER (m IS NULL) > 0 THEN 'NaN'::DOUBLE ELSE round(exp(-avg(m)), 6) END AS perplexity_strict
 FROM (SELECT avg(lp) AS m FROM scored GROUP BY seq_id)"""
@@ -411,6 +412,7 @@ FROM records JOIN shuffled s USING (id) WHERE language IS DISTINCT FROM 'de'"""
     || CAST(CAST('0x' || h[2] AS BIGINT) % 5 + 1 AS VARCHAR) || '"}' || chr(10) || '</output>' END AS output,
   CASE h[1] WHEN '0' THEN 'ValueError: refused' WHEN '1' THEN 'malformed reply' END AS error
 FROM (SELECT id, correct_image, md5(prompt) AS h FROM prompted)"""
+    sql["generate_resumed"] = sql["generate_sft"]
     sql["batched_map"] = """SELECT doc_id, lang,
   CAST(len(regexp_extract_all(text, '[aeiou]')) AS INTEGER) AS n_vowels,
   CAST(len(regexp_extract_all(text, '[0-9]')) AS INTEGER) AS n_digits FROM documents"""

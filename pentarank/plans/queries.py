@@ -11,6 +11,7 @@ import re
 import uuid
 from collections.abc import Callable
 
+from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pentarank.functions import prompts, text, tokens, vectors
@@ -37,12 +38,14 @@ from pentarank.schemas import (
     SIMILARITY_MAX_LENGTH,
 )
 from pentarank.session import shared_folder
+from pentarank.streaming import generation as resumable, running, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = tokens.HashTokenizer()
 SCORES = "scores"
 BYTE_CLASSES = 128
+STREAM_START = 1_700_000_000
 
 
 def _md5(value: Column | str) -> Column:
@@ -77,6 +80,10 @@ def _label_columns(labels: str) -> list[Column]:
     ]
 
 
+def _fresh(spark: SparkSession, name: str) -> str:
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 def _rounded(df: DataFrame, *columns: str) -> DataFrame:
     return df.withColumns({c: F.round(c, 6) for c in columns})
 
@@ -164,6 +171,27 @@ def perplexity_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(metrics.evaluate(scored_rows, wanted), *[m.name for m in wanted])
 
 
+def perplexity_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens that arrive in three pieces a sequence, one of them twice; state is kept by sequence.
+
+    Each piece is written after the one before and read as batches of its own; a mark at the end
+    moves the time past everything, which closes what is open.
+    """
+    folder = _fresh(spark, "token-pieces")
+    rows = inputs.logits(spark, sf_dir).withColumn("ts", F.timestamp_seconds(F.lit(STREAM_START) + F.col("pos") % 3 * 60))
+    files = len(rows.inputFiles())
+    for piece in (0, 1, 2, 1):
+        part = rows.filter(F.col("pos") % 3 == piece).repartition(files, "seq_id")
+        part.write.mode("append").parquet(f"{folder}/in")
+    ddl = "seq_id long, pos int, logits array<double>, target int, ts timestamp"
+    end = spark.range(1).selectExpr("cast(null as long) seq_id", "0 pos", "cast(null as array<double>) logits", "0 target", f"timestamp_seconds({STREAM_START} + 86400) ts")
+    end.write.mode("append").parquet(f"{folder}/in")
+    sums = sequences.sequence_sums(sequences.token_stream(spark, f"{folder}/in", ddl, files))
+    sequences.store_sequence_sums(sums, f"{folder}/out", f"{folder}/state").awaitTermination()
+    result = running.accumulated_perplexity(spark, f"{folder}/out", skip_empty=True)
+    return _rounded(result.withColumnRenamed("perplexity", "perplexity_streamed"), "perplexity_streamed")
+
+
 def perplexity_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _perplexity(metrics.shift_targets(inputs.logits(spark, sf_dir)))
 
@@ -268,7 +296,7 @@ def split_reply(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def route_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     replies = inputs.replies(spark, sf_dir).withColumn("error", F.lit(None).cast("string"))
-    folder = f"{shared_folder(spark)}/outcomes-{uuid.uuid4().hex}"
+    folder = _fresh(spark, "outcomes")
     ok, failed = routing.route_outcomes(generation.split_replies(replies), folder)
     columns = ["doc_id", _md5("reasoning").alias("reasoning_md5"), _md5("output").alias("output_md5")]
     good = ok.select(*columns, F.lit("ok").alias("route"))
@@ -331,6 +359,29 @@ def generate_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.select("id", "correct_image", "reasoning", "output", "error")
 
 
+def generate_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Generation over record files that fails after its second snapshot and is taken up again."""
+    folder = _fresh(spark, "generation")
+    records = inputs.records(spark, sf_dir)
+    records.repartition(4 * len(records.inputFiles()), "id").write.parquet(f"{folder}/in")
+
+    def stop(batch_id: int) -> None:
+        if batch_id == 1:
+            raise RuntimeError("the run ends here")
+
+    def run(on_snapshot=None) -> None:
+        resumable.run_generation(
+            spark, f"{folder}/in", f"{folder}/out", f"{folder}/progress", _example_generator,
+            files_per_snapshot=len(records.inputFiles()), on_snapshot=on_snapshot, schema=records.schema,
+        ).awaitTermination()
+
+    try:
+        run(stop)
+    except StreamingQueryException:
+        run()
+    return resumable.all_outcomes(spark, f"{folder}/out").select("id", "correct_image", "reasoning", "output", "error")
+
+
 def batched_map(spark: SparkSession, sf_dir: str) -> DataFrame:
     vowels, digits = re.compile("[aeiou]"), re.compile("[0-9]")
 
@@ -597,6 +648,7 @@ def registry() -> dict[str, Query]:
         "perplexity_strict": perplexity_strict,
         "perplexity_shifted": perplexity_shifted,
         "perplexity_sequences": perplexity_sequences,
+        "perplexity_streamed": perplexity_streamed,
         "greedy_decode": greedy_decode,
         "extract_tags": extract_tags,
         "extract_image_choice": extract_image_choice,
@@ -615,6 +667,7 @@ def registry() -> dict[str, Query]:
         "sft_dataset_assemble": sft_dataset_assemble,
         "training_view": training_view,
         "generate_sft": generate_sft,
+        "generate_resumed": generate_resumed,
         "batched_map": batched_map,
         "format_training_pair": format_training_pair,
         "chat_messages": chat_messages,

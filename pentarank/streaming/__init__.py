@@ -1,5 +1,5 @@
 """Generation and metrics over arriving files."""
 
-from pentarank.streaming import generation, running
+from pentarank.streaming import generation, running, sequences
 
-__all__ = ["generation", "running"]
+__all__ = ["generation", "running", "sequences"]

@@ -27,17 +27,21 @@ def run_generation(
     files_per_snapshot: int = 10,
     num_partitions: int | None = None,
     retry: DataFrame | None = None,
+    pattern: str = "*.parquet",
+    on_snapshot: Callable[[int], None] | None = None,
 ) -> StreamingQuery:
     """Generate answers for record files that have arrived since the last run, then stop.
 
     Each micro-batch is one snapshot. It is written in one pass into the folder of its
     batch number, so a replayed batch replaces its own output and nothing is written
     twice; what earlier batches stored survives any later failure. With ``retry`` only
-    records on that list are sent to the generator.
+    records on that list are sent to the generator. ``pattern`` names the files that count;
+    ``on_snapshot`` is told the number of each batch that has been stored.
     """
     records = (
         spark.readStream.schema(schema or base_schema())
         .option("maxFilesPerTrigger", files_per_snapshot)
+        .option("pathGlobFilter", pattern)
         .parquet(source)
     )
 
@@ -53,6 +57,8 @@ def run_generation(
             .partitionBy("status")
             .parquet(f"{target}/batch_id={batch_id}")
         )
+        if on_snapshot is not None:
+            on_snapshot(batch_id)
 
     return (
         records.writeStream.foreachBatch(snapshot)
@@ -67,6 +73,11 @@ def _outcomes(spark: SparkSession, target: str, status: str) -> DataFrame:
     return stored.drop("status", "batch_id")
 
 
+def all_outcomes(spark: SparkSession, target: str) -> DataFrame:
+    """Successes and failures of all snapshots, with ``error`` telling them apart."""
+    return spark.read.parquet(target).drop("status", "batch_id")
+
+
 def generated_records(spark: SparkSession, target: str) -> DataFrame:
     """Successes of all snapshots; only their folders are read."""
     return _outcomes(spark, target, _OK).drop("error")
