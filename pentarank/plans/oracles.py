@@ -483,7 +483,16 @@ SELECT conv_id, turn, md5(decoded) AS decoded_md5, CAST(length(decoded) AS INTEG
 FROM (SELECT conv_id, turn,
     string_agg(CASE WHEN p.token_id = -100 THEN '</s>' ELSE v.token END, ' ' ORDER BY i) AS decoded
   FROM places p LEFT JOIN vocabulary v USING (token_id) GROUP BY 1, 2)"""
-    sql["answer_chain"] = sql["generation_accuracy"].replace("AS generation_accuracy", "AS answer_chain")
+    sql["answer_chain"] = _ANSWERS + """SELECT round(coalesce(
+  count(*) FILTER (pred_image = label_image AND NOT (pred_image = -1 AND label_image = -1))
+    / nullif(count(*) FILTER (NOT (pred_image = -1 AND label_image = -1)), 0), 0.0), 6) AS answer_chain,
+  CAST(sum(length(prediction)) AS BIGINT) AS spoken_chars,
+  bit_xor(CAST('0x' || md5(prediction)[:15] AS BIGINT)) AS spoken_digest
+FROM images"""
+    sql["subword_round_trip"] = "SELECT doc_id, md5(text) AS text_md5, CAST(length(text) AS INTEGER) AS chars FROM documents"
+    answer = _strip("replace(assistant_text, '</s>', '')")
+    sql["subword_answers"] = _with(_EXCHANGES) + f"""SELECT conv_id, turn,
+  md5({answer}) AS answer_md5, CAST(length({answer}) AS INTEGER) AS answer_chars FROM exchanges"""
     # The embedder's counts, word by word: 64 classes by the CRC-32 of lower-cased words.
     sql["embed_similarity"] = _with(
         _CRC_TABLE,

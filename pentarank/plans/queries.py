@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.errors import StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pentarank.functions import prompts, text, tokens, vectors
+from pentarank.functions import prompts, subwords, text, tokens, vectors
 from pentarank.operators import (
     analysis,
     assembly,
@@ -44,7 +44,8 @@ Query = Callable[[SparkSession, str], DataFrame]
 
 TOKENIZER = tokens.HashTokenizer()
 SCORES = "scores"
-BYTE_CLASSES = 128
+HEX_TOKENIZER = subwords.HexTokenizer()
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 STREAM_START = 1_700_000_000
 
 
@@ -437,7 +438,7 @@ def tokenize_pad(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", *_padded_ids("fixed."))
 
 
-def _labels(chats: DataFrame, tokenizer: tokens.HashTokenizer, max_length: int) -> DataFrame:
+def _labels(chats: DataFrame, tokenizer: tokens.Tokenizer, max_length: int | None) -> DataFrame:
     ids = tokenizer.encode("chat", max_length)
     fixed = tokens.fixed_length(ids, tokenizer.pad_id, max_length)
     marker = tokenizer.special_id(prompts.INSTRUCTION_END)
@@ -479,25 +480,45 @@ def decode_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Logits to accuracy: greedy decoding, text, tags, JSON and the share of right images.
 
-    Each answer comes as one row of logits per token, highest at its token's id; the right
-    image is the record's. Token ids are bytes, so the vocabulary is that of all of them.
+    The whole generation goes through: every digit of its bytes becomes a row of logits, highest at the
+    digit, and the text is put together from the most likely ids; labels come as ids. Tags are
+    looked for in decoded text alone, whose length and digest are part of the result.
     """
-    made = inputs.generations(spark, sf_dir).select(
-        "id", *[text.extract_tag(c, text.OUTPUT_TAG).alias(c) for c in ("prediction", "label")]
+    made = inputs.generations(spark, sf_dir)
+    heard = HEX_TOKENIZER.spoken(HEX_TOKENIZER.encode("prediction"))
+    texts = made.select(
+        "id", HEX_TOKENIZER.decode(heard).alias("prediction"), HEX_TOKENIZER.decode(HEX_TOKENIZER.encode("label")).alias("label")
     )
+    accuracy = metrics.generation_accuracy(name="answer_chain")
+    digest = F.conv(F.substring(_md5("prediction"), 1, 15), 16, 10).cast("long")
+    result = analysis.image_pairs(texts).agg(
+        accuracy.value(F.sum(accuracy.term), F.sum(accuracy.weight)).alias("answer_chain"),
+        F.sum(F.length("prediction")).alias("spoken_chars"),
+        F.bit_xor(digest).alias("spoken_digest"),
+    )
+    return _rounded(result, "answer_chain")
 
-    def token_ids(column: str) -> Column:
-        opened = F.concat(F.lit("<output>"), F.col(column), F.lit("</output>"))
-        return F.transform(F.split(opened, ""), lambda c: F.least(F.ascii(c), F.lit(BYTE_CLASSES - 1)))
 
-    def spoken(ids: Column) -> Column:
-        peaks = F.transform(ids, lambda t: F.transform(F.sequence(F.lit(0), F.lit(BYTE_CLASSES - 1)), lambda k: (k == t).cast("double")))
-        return F.array_join(F.transform(tokens.greedy_ids(peaks), lambda t: F.char(t)), "")
+def _ranks(spark: SparkSession) -> str:
+    """File of a byte-level vocabulary: the session may name another one."""
+    return spark.conf.get("pentarank.ranks", RANKS)
 
-    texts = made.select("id", *[spoken(token_ids(c)).alias(c) for c in ("prediction", "label")])
-    pairs = analysis.image_pairs(texts)
-    result = metrics.evaluate(pairs, [metrics.generation_accuracy(name="answer_chain")])
-    return _rounded(result, "answer_chain")
+
+def subword_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole documents to subword ids and back."""
+    tokenizer = subwords.byte_pair_tokenizer(_ranks(spark))
+    coded = inputs.documents(spark, sf_dir).select("doc_id", tokenizer.encode("text").alias("ids"))
+    told = coded.select("doc_id", tokenizer.decode("ids").alias("text"))
+    return told.select("doc_id", _md5("text").alias("text_md5"), F.length("text").alias("chars"))
+
+
+def subword_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole chats as subword rows with masked labels; the answers, decoded and stripped, come out again."""
+    tokenizer = subwords.byte_pair_tokenizer(_ranks(spark))
+    rows = _labels(_chats(spark, sf_dir), tokenizer, None)
+    answer = text.strip_ignore_token("decoded")
+    told = rows.select("conv_id", "turn", tokenizer.decode("labels").alias("decoded"))
+    return told.select("conv_id", "turn", _md5(answer).alias("answer_md5"), F.length(answer).alias("answer_chars"))
 
 
 def embed_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -677,6 +698,8 @@ def registry() -> dict[str, Query]:
         "similarity_rows": similarity_rows,
         "decode_tokens": decode_tokens,
         "answer_chain": answer_chain,
+        "subword_round_trip": subword_round_trip,
+        "subword_answers": subword_answers,
         "embed_similarity": embed_similarity,
         "token_length_profile": token_length_profile,
         "assign_batches": assign_batches,
