@@ -413,6 +413,17 @@ FROM records JOIN shuffled s USING (id) WHERE language IS DISTINCT FROM 'de'"""
   CASE h[1] WHEN '0' THEN 'ValueError: refused' WHEN '1' THEN 'malformed reply' END AS error
 FROM (SELECT id, correct_image, md5(prompt) AS h FROM prompted)"""
     sql["generate_resumed"] = sql["generate_sft"]
+    sql["generate_with_retries"] = sql["generate_sft"].replace(
+        "AS error\nFROM", "AS error,\n  CASE h[1] WHEN '0' THEN 3 WHEN '2' THEN 2 ELSE 1 END AS attempts\nFROM"
+    )
+    sql["snapshot_records"] = _with(_RECORDS, _PLACED, _SHUFFLED) + """SELECT id, s.correct_image, md5(sentence) AS sentence,
+  '<output>{"Image": "' || s.correct_image || '"}</output>' AS output, CAST(2 AS INTEGER) AS version
+FROM records JOIN shuffled s USING (id)"""
+    sql["failed_ledger"] = """WITH tried AS (
+  SELECT user_id AS id, event_id AS attempt, CASE WHEN event_type = 'error' THEN 'timeout' END AS error FROM events
+  UNION ALL SELECT doc_id, -1, 'failed before' FROM labels WHERE quality = 0)
+SELECT id, error FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY attempt DESC) AS k FROM tried)
+WHERE k = 1 AND error IS NOT NULL"""
     sql["batched_map"] = """SELECT doc_id, lang,
   CAST(len(regexp_extract_all(text, '[aeiou]')) AS INTEGER) AS n_vowels,
   CAST(len(regexp_extract_all(text, '[0-9]')) AS INTEGER) AS n_digits FROM documents"""

@@ -8,10 +8,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+import threading
 import uuid
 from collections.abc import Callable
 
-from pyspark.errors import StreamingQueryException
+from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from pentarank.functions import prompts, subwords, text, tokens, vectors
@@ -38,6 +39,7 @@ from pentarank.schemas import (
     SIMILARITY_MAX_LENGTH,
 )
 from pentarank.session import shared_folder
+from pentarank.sources import ledger, snapshots
 from pentarank.streaming import generation as resumable, running, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -46,6 +48,7 @@ TOKENIZER = tokens.HashTokenizer()
 SCORES = "scores"
 HEX_TOKENIZER = subwords.HexTokenizer()
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+FAILED_EVENT = "error"
 STREAM_START = 1_700_000_000
 
 
@@ -360,6 +363,59 @@ def generate_sft(spark: SparkSession, sf_dir: str) -> DataFrame:
     return outcomes.select("id", "correct_image", "reasoning", "output", "error")
 
 
+def _example_client() -> generation.Client:
+    """Stand-in client of single prompts: some are always refused, some only the first time."""
+    waiting, answer = threading.local(), _example_generator()
+
+    def ask(prompt: str) -> str:
+        if hashlib.md5(prompt.encode()).hexdigest()[0] == "2" and getattr(waiting, "prompt", None) != prompt:
+            waiting.prompt = prompt
+            raise TimeoutError("busy")
+        waiting.prompt = None
+        return answer([prompt])[0]
+
+    return ask
+
+
+def generate_with_retries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight requests at a time, and only failed prompts again."""
+    outcomes = generation.generate_sft_one_by_one(inputs.records(spark, sf_dir), _example_client, backoff=0.0)
+    return outcomes.select("id", "correct_image", "reasoning", "output", "error", "attempts")
+
+
+def snapshot_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Finished records published in two snapshots; a third write breaks off halfway and leaves no trace."""
+    path = _fresh(spark, "snapshots")
+    records = _finished(spark, sf_dir).select("id", "correct_image", "sentence", "output")
+    snapshots.write_snapshot(records.filter("id % 3 <> 0"), path)
+    snapshots.write_snapshot(records.filter("id % 3 = 0"), path)
+    broken = F.when(F.col("id") % 2 == 0, F.raise_error(F.lit("the write ends here")).cast("string")).otherwise(F.col("output"))
+    try:
+        snapshots.write_snapshot(records.withColumn("output", broken), path, mode="replace")
+    except PySparkException as broke:
+        if "the write ends here" not in str(broke):
+            raise
+    stored = snapshots.read_snapshot(spark, path)
+    return stored.withColumn("sentence", _md5("sentence")).withColumn("version", F.lit(max(snapshots.versions(spark, path))))
+
+
+def failed_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left to do: an old list of failed ids and the log of all later attempts, folded by id.
+
+    Documents of low quality are on the old list, one array to a file. Every event is an attempt at the user's number;
+    those of one kind failed.
+    """
+    folder = _fresh(spark, "ledger")
+    bad = inputs.table(spark, sf_dir, "labels").filter("quality = 0").groupBy((F.col("doc_id") % 8).alias("slot"))
+    lists = bad.agg(F.concat(F.lit("["), F.array_join(F.collect_list(F.col("doc_id").cast("string")), ", "), F.lit("]")).alias("value"))
+    lists.select("value", "slot").write.partitionBy("slot").text(f"{folder}/old")
+    tried = inputs.table(spark, sf_dir, "events").select(
+        F.col("user_id").alias("id"), F.col("event_id").alias("attempt"), F.when(F.col("event_type") == FAILED_EVENT, F.lit("timeout")).alias("error")
+    )
+    ledger.append_events(tried, f"{folder}/log", F.col("attempt"))
+    return ledger.remaining(ledger.read_events(spark, f"{folder}/log"), ledger.read_id_array(spark, f"{folder}/old").select("id"))
+
+
 def generate_resumed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Generation over record files that fails after its second snapshot and is taken up again."""
     folder = _fresh(spark, "generation")
@@ -689,6 +745,9 @@ def registry() -> dict[str, Query]:
         "training_view": training_view,
         "generate_sft": generate_sft,
         "generate_resumed": generate_resumed,
+        "generate_with_retries": generate_with_retries,
+        "snapshot_records": snapshot_records,
+        "failed_ledger": failed_ledger,
         "batched_map": batched_map,
         "format_training_pair": format_training_pair,
         "chat_messages": chat_messages,
