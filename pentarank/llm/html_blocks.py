@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 # Element classes of HTML.
@@ -42,15 +44,53 @@ TOKEN = re.compile(
     r"|<(/?)([A-Za-z][^\s/>]*+)([^>]*+)>",
     re.S,
 )
+OPENER = re.compile(r"<[!?]")
 NAMES = re.compile(r"""(?:^|\s)(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
 
-@dataclass
-class Block:
-    """``path``: the open elements, outermost first, each its tag and the words of its names."""
+class Path:
+    """An open element and, through ``parent``, all that hold it; the root holds none.
 
-    path: tuple[tuple[str, ...], ...]
+    ``entry`` is its tag and the words of its names. Blocks share paths, so a page takes room for its elements, not
+    for each block's ancestors; ``traits`` is for what a caller derives from a path.
+    """
+
+    __slots__ = ("parent", "entry", "depth", "traits", "_children")
+    SHARED_DEPTH = 64
+
+    def __init__(self, parent: Path | None = None, entry: tuple[str, ...] = ()):
+        self.parent, self.entry = parent, entry
+        self.depth: int = 0 if parent is None else parent.depth + 1
+        self.traits = None
+        self._children: dict | None = None
+
+    def child(self, entry: tuple[str, ...]) -> Path:
+        """The path one element further in; the same one for the same element, but for very deep ones."""
+        if self.depth >= self.SHARED_DEPTH:
+            return Path(self, entry)
+        if self._children is None:
+            self._children = {}
+        found = self._children.get(entry)
+        if found is None:
+            found = self._children[entry] = Path(self, entry)
+        return found
+
+    def __len__(self) -> int:
+        return self.depth
+
+    def __iter__(self) -> Iterator[tuple[str, ...]]:
+        """Entries, outermost first."""
+        entries, node = [], self
+        while node.parent is not None:
+            entries.append(node.entry)
+            node = node.parent
+        return reversed(entries)
+
+
+@dataclass(slots=True)
+class Block:
+    path: Path
     text: str
     linked: int = 0
 
@@ -68,14 +108,27 @@ def _names(attributes: str) -> tuple[str, ...]:
     return tuple(found)
 
 
-def blocks(page: str) -> list[Block]:
+def _nearest(stack: list[Path], tag: str) -> int:
+    """Place of the innermost open ``tag``, which is there."""
+    k = len(stack) - 1
+    while stack[k].entry[0] != tag:
+        k -= 1
+    return k
+
+
+def blocks(page: str, root: Path | None = None) -> list[Block]:
     """Blocks in page order; white space is collapsed and references are decoded, empty ones are left out.
 
     Broken markup never fails: end tags without a start are ignored, open elements end with
     what holds them, and what is no tag is text. Scripts, styles, head and comments have no blocks;
-    a head without an end tag ends at the first tag or text that cannot be part of it.
+    a head without an end tag ends at the first tag or text that cannot be part of it. Pages that share a
+    ``root`` share their paths. Time and room grow with the page's length, also of nested and unclosed tags.
     """
-    stack: list[tuple[str, ...]] = []
+    root = Path() if root is None else root
+    stack: list[Path] = []
+    # Open elements by tag, so that nothing is looked for that is not there; the place of the p in scope.
+    opened: Counter[str] = Counter()
+    p_at: list[int] = []
     out: list[Block] = []
     now = _Open()
     hidden = links = 0
@@ -86,11 +139,11 @@ def blocks(page: str) -> list[Block]:
         if now.text:
             text = " ".join("".join(now.text).split())
             if text:
-                out.append(Block(tuple(stack), text, now.linked))
+                out.append(Block(stack[-1] if stack else root, text, now.linked))
             now = _Open()
 
     def add(raw: str, references: bool = True) -> None:
-        if hidden and stack[-1][0] in IN_HEAD and raw.strip():
+        if hidden and stack[-1].entry[0] in IN_HEAD and raw.strip():
             close({"head"}, ())
         if not hidden and raw:
             text = html.unescape(raw) if references and "&" in raw else raw
@@ -98,31 +151,46 @@ def blocks(page: str) -> list[Block]:
             if links:
                 now.linked += len(text.strip())
 
+    def push(entry: tuple[str, ...]) -> None:
+        stack.append((stack[-1] if stack else root).child(entry))
+        opened[entry[0]] += 1
+        p_at.append(len(p_at) if entry[0] == "p" else -1 if entry[0] in P_BOUNDS or not p_at else p_at[-1])
+
     def pop_to(depth: int) -> None:
         nonlocal hidden, links
-        if any(e[0] in BLOCK for e in stack[depth:]):
+        gone = [e.entry[0] for e in stack[depth:]]
+        if any(tag in BLOCK for tag in gone):
             flush()
-        for entry in stack[depth:]:
-            hidden -= entry[0] == "head"
-            links -= entry[0] == "a"
-        del stack[depth:]
+        for tag in gone:
+            hidden -= tag == "head"
+            links -= tag == "a"
+            opened[tag] -= 1
+        del stack[depth:], p_at[depth:]
 
     def close(names, bounds) -> None:
         """Close the outermost open element of ``names`` above the nearest of ``bounds``."""
+        if not any(opened[name] for name in names):
+            return
         found = None
         for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] in bounds:
+            tag = stack[k].entry[0]
+            if tag in bounds:
                 break
-            if stack[k][0] in names:
+            if tag in names:
                 found = k
         if found is not None:
             pop_to(found)
 
+    # Past the last ">" no tag can end; only what is left out up to the end may still begin.
+    last = page.rfind(">")
     while at < size:
-        match = TOKEN.search(page, at)
+        match = (TOKEN if at <= last else OPENER).search(page, at)
         if match is None:
             add(page[at:])
             break
+        if at > last:
+            add(page[at : match.start()])
+            break
         add(page[at : match.start()])
         at = match.end()
         name = match[2] or match[5]
@@ -130,16 +198,15 @@ def blocks(page: str) -> list[Block]:
             continue
         tag = name.lower()
         if match[1] or match[4]:
-            for k in range(len(stack) - 1, -1, -1):
-                if stack[k][0] == tag:
-                    pop_to(k)
-                    break
+            if opened[tag]:
+                pop_to(_nearest(stack, tag))
             continue
         attributes = match[3] or match[6] or ""
-        if hidden and (tag == "body" or tag not in HEAD and stack[-1][0] in IN_HEAD):
+        if hidden and (tag == "body" or tag not in HEAD and stack[-1].entry[0] in IN_HEAD):
             close({"head"}, ())
         if tag in CLOSES_P:
-            close({"p"}, P_BOUNDS)
+            if p_at and p_at[-1] >= 0:
+                pop_to(p_at[-1])
         if tag in SIBLINGS:
             close(*SIBLINGS[tag])
         if tag in BLOCK:
@@ -148,15 +215,15 @@ def blocks(page: str) -> list[Block]:
             add("\n")
         if tag in VOID:
             continue
-        if tag in RAW and not (tag == "title" and any(e[0] == "svg" for e in stack)):
+        if tag in RAW and not (tag == "title" and opened["svg"]):
             end = re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I).search(page, at)
             if tag not in UNSEEN:
-                stack.append((tag, *_names(attributes)))
+                push((tag, *_names(attributes)))
                 add(page[at : end.start() if end else size], references=tag != "xmp")
                 pop_to(len(stack) - 1)
             at = end.end() if end else size
             continue
-        stack.append((tag, *_names(attributes)))
+        push((tag, *_names(attributes)))
         hidden += tag == "head"
         links += tag == "a"
     flush()

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from pentarank.llm.html_blocks import Block, blocks
+from pentarank.llm.html_blocks import Block, Path, blocks
 
 MARK = ""
 #: Words in class, id and role names, by what they say of an element.
@@ -40,27 +40,58 @@ ROLES = {
     "text": "article content post entry story main body text prose blog page",
 }
 ROLE_OF = {word: role for role, listed in ROLES.items() for word in listed.split()}
+# Elements that tell what they hold, and those that matter inside an article.
+TELLING = frozenset("article main nav aside footer header form".split())
+INNER_TAGS = frozenset("header footer aside nav form section ul article".split())
 BOILER_TAGS = frozenset("nav footer aside form".split())
 BOILER_ROLES = frozenset("ad menu foot side notice form comment share".split())
 CUES = re.compile(r"©|copyright|cookie|subscribe|sign up|log in|all rights|share this|read more|repl(?:y|ies)|comment|advert|sponsor|privacy", re.I)
 
 
-def _path_features(path: tuple[tuple[str, ...], ...]) -> list[str]:
-    tags = [e[0] for e in path]
-    roles = {ROLE_OF[n] for e in path for n in e[1:] if n in ROLE_OF}
-    found = [f"tag:{t}" for t in set(tags)] + [f"role:{r}" for r in roles]
-    found.append(f"leaf:{tags[-1] if tags else ''}")
-    # What the nearest telling ancestor says, and what lies inside an article.
-    for entry in reversed(path):
-        said = next((ROLE_OF[n] for n in entry[1:] if n in ROLE_OF), None)
-        if said or entry[0] in ("article", "main", "nav", "aside", "footer", "header", "form"):
-            found.append(f"near:{said or entry[0]}")
-            break
-    if "article" in tags:
-        inner = path[tags.index("article") + 1 :]
-        found += [f"in:{e[0]}" for e in inner if e[0] in ("header", "footer", "aside", "nav", "form", "section", "ul", "article")]
-        found += [f"in:{ROLE_OF[n]}" for e in inner for n in e[1:] if n in ROLE_OF]
-    return sorted(set(found))
+@dataclass(frozen=True, slots=True)
+class _Traits:
+    """What is known of a path; equal to its parent's where its element adds nothing."""
+
+    tags: frozenset[str] = frozenset()
+    roles: frozenset[str] = frozenset()
+    near: str = ""
+    in_article: bool = False
+    inner: frozenset[str] = frozenset()
+    boiler: bool = False
+    leaf: str = ""
+    features: tuple[str, ...] = ("leaf:",)
+
+
+def _grown(old: _Traits, entry: tuple[str, ...]) -> _Traits:
+    tag, said = entry[0], [ROLE_OF[n] for n in entry[1:] if n in ROLE_OF]
+    near = said[0] if said else tag if tag in TELLING else old.near
+    inner, boiler = old.inner, old.boiler
+    if old.in_article:
+        inner = inner.union(said, [tag] if tag in INNER_TAGS else [])
+        boiler = boiler or tag in BOILER_TAGS or not BOILER_ROLES.isdisjoint(said)
+    if tag == old.leaf and tag in old.tags and near == old.near and old.roles.issuperset(said) and inner == old.inner and boiler == old.boiler and (old.in_article or tag != "article"):
+        return old
+    tags, roles = old.tags | {tag}, old.roles.union(said)
+    found = {f"tag:{t}" for t in tags} | {f"role:{r}" for r in roles} | {f"in:{t}" for t in inner} | {f"leaf:{tag}"}
+    if near:
+        found.add(f"near:{near}")
+    return _Traits(tags, roles, near, old.in_article or tag == "article", inner, boiler, tag, tuple(sorted(found)))
+
+
+def _traits(path: Path) -> _Traits:
+    waiting, node = [], path
+    while node.traits is None and node.parent is not None:
+        waiting.append(node)
+        node = node.parent
+    now = node.traits or _Traits()
+    for node in reversed(waiting):
+        now = node.traits = _grown(now, node.entry)
+    return now
+
+
+def _path_features(path: Path) -> tuple[str, ...]:
+    """Tags, roles and the leaf; the nearest telling ancestor, and what lies inside an article."""
+    return _traits(path).features
 
 
 def _text_features(block: Block) -> list[str]:
@@ -85,11 +116,12 @@ class Model:
     def odds(self, page: list[Block], known: dict) -> list[float]:
         out = []
         for block in page:
-            path = known.get(block.path)
+            features = _path_features(block.path)
+            path = known.get(features)
             if path is None:
                 if len(known) > 50_000:
                     known.clear()
-                path = known[block.path] = sum(self.weights.get(f, 0.0) for f in _path_features(block.path))
+                path = known[features] = sum(self.weights.get(f, 0.0) for f in features)
             out.append(path + sum(self.weights.get(f, 0.0) for f in _text_features(block)))
         return out
 
@@ -118,7 +150,7 @@ def fit(pages: list[tuple[list[Block], list[int]]], epochs: int = 8, rate: float
     coded = []
     for page, labels in pages:
         if page:
-            rows = [[index.setdefault(f, len(index)) for f in _path_features(b.path) + _text_features(b)] for b in page]
+            rows = [[index.setdefault(f, len(index)) for f in (*_path_features(b.path), *_text_features(b))] for b in page]
             coded.append((np.concatenate(rows), np.repeat(np.arange(len(rows)), [len(r) for r in rows]), np.array(labels)))
     weights, step = np.zeros(len(index)), np.zeros((2, 2))
     order, rng = list(range(len(coded))), random.Random(seed)
@@ -160,11 +192,8 @@ def marked(page: str) -> tuple[list[Block], list[int]]:
 def silver(page: str) -> tuple[list[Block], list[int]] | None:
     """Blocks and labels of a page whose markup names its article; None for other pages."""
     found = blocks(page)
-    labels = []
-    for block in found:
-        tags = [e[0] for e in block.path]
-        inner = block.path[tags.index("article") + 1 :] if "article" in tags else None
-        labels.append(int(inner is not None and not any(e[0] in BOILER_TAGS or BOILER_ROLES & {ROLE_OF.get(n) for n in e[1:]} for e in inner)))
+    traits = [_traits(b.path) for b in found]
+    labels = [int(t.in_article and not t.boiler) for t in traits]
     return (found, labels) if any(labels) else None
 
 
@@ -269,9 +298,28 @@ def train(pages: DataFrame, max_train: int = 100, composed_pages: int = 500, htm
     return fit([*composed(composed_pages), *own])
 
 
+class Reader:
+    """Reads pages with one model; pages share paths and scores of paths."""
+
+    SHARED_PAGES = 1000
+
+    def __init__(self, model: Model):
+        self.model, self.known, self.root, self.read = model, {}, Path(), 0
+
+    def extract(self, page: str | None) -> str:
+        self.read += 1
+        if self.read % self.SHARED_PAGES == 0:
+            self.root = Path()
+        found = blocks(page or "", self.root)
+        labels = self.model.decode(self.model.odds(found, self.known))
+        return " ".join(b.text for b, label in zip(found, labels) if label)
+
+
 def extract(page: str | None, model: Model, known: dict) -> str:
-    found = blocks(page or "")
-    return " ".join(b.text for b, label in zip(found, model.decode(model.odds(found, known))) if label)
+    """One page; ``known`` keeps the scores of paths for later pages."""
+    reader = Reader(model)
+    reader.known = known
+    return reader.extract(page)
 
 
 def extract_text(pages: DataFrame, model: Model, html_col: str = "html") -> DataFrame:
@@ -282,9 +330,9 @@ def extract_text(pages: DataFrame, model: Model, html_col: str = "html") -> Data
     """
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        known: dict = {}
+        reader = Reader(model)
         for batch in batches:
-            yield pa.array([extract(p.as_py(), model, known) for p in batch], pa.string())
+            yield pa.array([reader.extract(p.as_py()) for p in batch], pa.string())
 
     run.__annotations__ = {"batches": Iterator[pa.Array], "return": Iterator[pa.Array]}
     read = F.arrow_udf(run, "string")

@@ -9,6 +9,7 @@ import hashlib
 import random
 import re
 import string
+import time
 import zlib
 
 import numpy as np
@@ -494,6 +495,14 @@ def test_blocks_of_broken_markup():
     assert [b.text for b in blocks("<p a='" * 2000 + "end")] != []
 
 
+@pytest.mark.parametrize("page", ["<p>a " + "<b c x " * 200_000, "<div>x" * 200_000, "<table><p>" + "<b>" * 30_000 + "<div>y</div>" * 30_000, "<li>" * 100_000, "</b>" * 200_000])
+def test_pages_of_open_and_nested_tags_take_time_in_proportion(page):
+    reader = html_extract.Reader(html_extract.fit(list(html_extract.composed(5))))
+    started = time.time()
+    reader.extract(page)
+    assert time.time() - started < 15
+
+
 def test_only_scripts_styles_head_and_comments_have_no_blocks():
     def texts(page):
         return [b.text for b in blocks(page)]
