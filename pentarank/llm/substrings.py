@@ -270,8 +270,9 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col
     followed = (
         anchors.join(twice, "v").groupBy(F.col("id").alias("i"), F.col("mark").alias("m"))
         .agg(
-            F.collect_list(F.when(F.col("total") <= hot, F.col("v"))).alias("cold"),
-            F.collect_list(F.when(F.col("total") > hot, F.col("v"))).alias("warm"),
+            # Sets: rows of equal id and text, NULL ids for example, say the same and count once.
+            F.collect_set(F.when(F.col("total") <= hot, F.col("v"))).alias("cold"),
+            F.collect_set(F.when(F.col("total") > hot, F.col("v"))).alias("warm"),
         )
     )
     same = F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m"))
@@ -280,6 +281,6 @@ def remove_repeats(docs: DataFrame, window: int = WINDOW, hot: int = HOT, id_col
         _counted_masks(_stretches(joined, window, "warm"), window)
     )
     repeated = masks.groupBy(F.col("id").alias("i"), F.col("mark").alias("m")).agg(
-        F.collect_list(F.struct("start", "mask")).alias("repeated")
+        F.collect_set(F.struct("start", "mask")).alias("repeated")
     )
     return _kept(rows.join(repeated.hint("shuffle_hash"), same, "left"), window).withColumnRenamed("id", id_col)
