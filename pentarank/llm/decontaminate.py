@@ -50,12 +50,22 @@ def _texts(parts: Column, size: int) -> Column:
     return _shingles(parts, size, lambda w: F.concat_ws(" ", *w))
 
 
+def _of_widths(make, parts: Column, widths: list[int]) -> Column:
+    """Shingles of several widths in one array."""
+    none = F.slice(make(parts, widths[0]), 1, 0)
+    return F.concat(*[F.coalesce(make(parts, width), none, F.array()) for width in widths])
+
+
 def item_sets(items: DataFrame, size: int, id_col: str, text_col: str) -> DataFrame:
-    """``(key, item_id, shingles)`` of the items that have a shingle; repeated rows count once."""
+    """``(key, item_id, width, shingles)`` of the items that have a word; repeated rows count once.
+
+    An item of fewer words than ``size`` is one shingle of all its words; ``width`` is its shingles' number of words.
+    """
     rows = items.select(F.col(id_col).alias("item_id"), F.col(text_col).alias("text")).distinct()
     parts = rows.select("item_id", F.xxhash64("item_id", "text").alias("key"), words(lower_ascii(F.col("text"))).alias("w"))
-    sets = parts.select("key", "item_id", F.array_distinct(_texts(F.col("w"), size)).alias("shingles"))
-    return sets.filter("size(shingles) > 0")
+    made = F.coalesce(F.array_distinct(_texts(F.col("w"), size)), F.array(F.array_join("w", " ")))
+    width = F.least(F.size("w"), F.lit(size))
+    return parts.filter("size(w) > 0").select("key", "item_id", width.alias("width"), made.alias("shingles"))
 
 
 def sketches(sets: DataFrame, size: int, containment: float) -> DataFrame:
@@ -66,6 +76,7 @@ def sketches(sets: DataFrame, size: int, containment: float) -> DataFrame:
     for bound in reversed(bounds):
         needed = math.ceil(containment * bound - 1e-9)
         length = F.when(F.size("shingles") <= bound, F.lit(bound - needed + 1)).otherwise(length)
+    # Missing words leave a hash as it is, so shorter shingles hash as those of their own width do.
     hashes = F.transform("shingles", lambda s: F.xxhash64(*[F.get(F.split(s, " "), F.lit(k)) for k in range(size)]))
     return sets.select("key", F.explode(F.slice(F.array_sort(hashes), F.lit(1), length)).alias("h")).distinct()
 
@@ -84,9 +95,9 @@ def containments(
 
     Shingles are ``size`` words, A-Z lower-cased, each counted once per text; the containment is
     the share of the item's shingles that the document has. ``mark`` hashes the document's
-    text: it tells rows of equal id apart. Items of fewer words than ``size`` have no
-    shingle and are not searched; NULL, empty and short documents hold nothing. Repeated
-    rows of either table count once; several texts of one item id give its best match. NULL
+    text: it tells rows of equal id apart. An item of fewer words than ``size`` is one shingle of all its
+    words, found wherever they follow each other; items without words are in no document, and NULL, empty and blank
+    documents hold nothing. Repeated rows of either table count once; several texts of one item id give its best match. NULL
     ids are kept. Other columns are ignored. Runs jobs while it builds the result.
 
     Sketches and candidates are broadcast only when counted to be small; beyond that the joins are
@@ -95,13 +106,15 @@ def containments(
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).withColumn("mark", F.xxhash64("text"))
     rows = rows.select("id", "mark", lower_ascii(F.col("text")).alias("low"))
     sets = cut(item_sets(items, size, item_id_col, item_text_col))
+    # At most ``size`` widths, and only those that occur are looked for.
+    widths = sorted({size, *[row.width for row in sets.select("width").distinct().collect()]}, reverse=True)
     probes = rows.select("id", "mark", words(F.col("low")).alias("w"))
-    probes = probes.select("id", "mark", F.explode(_hashes(F.col("w"), size)).alias("h"))
+    probes = probes.select("id", "mark", F.explode(_of_widths(_hashes, F.col("w"), widths)).alias("h"))
     found = probes.join(_small(sketches(sets, size, containment)), "h").select("id", "mark", "key").distinct()
     found = _small(found.select(F.col("id").alias("i"), F.col("mark").alias("m"), "key"))
     texts = rows.join(found, F.col("id").eqNullSafe(F.col("i")) & (F.col("mark") == F.col("m")))
     texts = texts.select("id", "mark", "key", words(F.col("low")).alias("w"))
-    texts = texts.select("id", "mark", "key", _texts(F.col("w"), size).alias("all"))
+    texts = texts.select("id", "mark", "key", _of_widths(_texts, F.col("w"), widths).alias("all"))
     pairs = texts.join(sets, "key").select(
         "id", "mark", "item_id",
         F.size(F.array_intersect("all", "shingles")).alias("n_shared"), F.size("shingles").alias("n_item"),
@@ -114,7 +127,10 @@ def containments(
 
 def remove_contaminated(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """Rows of ``docs`` that hold no item, with all their columns."""
+    # The caller's columns travel in one struct, so their names meet no others.
+    rows = docs.select(F.struct("*").alias("_row"))
     hits = containments(docs, items, id_col=id_col, text_col=text_col, **options)
     hits = _small(hits.select(F.col(id_col).alias("_i"), F.col("mark").alias("_m")).distinct())
-    same = docs[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(docs[text_col]) == F.col("_m"))
-    return docs.join(hits, same, "left_anti")
+    row = F.col("_row")
+    same = row[id_col].eqNullSafe(F.col("_i")) & (F.xxhash64(row[text_col]) == F.col("_m"))
+    return rows.join(hits, same, "left_anti").select("_row.*")
