@@ -157,8 +157,8 @@ def scan(docs: DataFrame, model: Model, margin: float = 12.0, per_pair: float =
     exclusive. NULL texts are scanned as empty and give no spans. Columns of the added names
     are replaced; repeated rows are all returned. No shuffle.
     """
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    found = docs.withColumn("_t", text)
+    # The caller's columns travel in one struct, so their names meet no others.
+    found = docs.select(F.struct("*").alias("_row"), F.coalesce(F.col(text_col), F.lit("")).alias("_t"))
     for name, pattern in (("assign", ASSIGN), ("access", ACCESS), ("hex", HEX), ("word", CANDIDATE)):
         found = found.withColumn(f"_m_{name}", F.regexp_extract_all("_t", F.lit(pattern), F.lit(0)))
         found = found.withColumn(f"_p_{name}", F.when(F.size(f"_m_{name}") > 0, F.split("_t", pattern, -1)))
@@ -203,7 +203,8 @@ def scan(docs: DataFrame, model: Model, margin: float = 12.0, per_pair: float =
     for k, name in enumerate(BASE_KINDS):
         found = found.withColumn(f"n_{name}", F.expr(f"cast(size(filter(base, s -> s.kind = {k})) as bigint)"))
     found = found.withColumn("base_sha256", F.sha2(_digest(F.col("base")), 256)).withColumn("spans", _digest(F.col("found")))
-    return found.drop(*[c for c in found.columns if c in ("_t", "_v", "_w", "_x") or c[:3] in ("_m_", "_p_", "_s_")])
+    added = ["base", "found", *[f"n_{name}" for name in BASE_KINDS], "base_sha256", "spans"]
+    return found.select(*[F.col("_row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 def redact(docs: DataFrame, model: Model, mask: str = MASK, text_col: str = "text", **options) -> DataFrame:

@@ -232,13 +232,14 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sh
     Of several rows with that same id one stays. A row whose id is NULL cannot be told from
     others, so it stays. All columns are kept.
     """
-    names = docs.columns
     groups = near_duplicates(docs, id_col, text_col, shingle, distance)
     kept = cut(
         groups.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
     )
-    stay = docs.join(kept, docs[id_col] == kept["_id"])
-    once = stay.filter("_n = 1").select(*names)
+    # The caller's columns travel in one struct, so their names meet no others.
+    rows = docs.select(F.struct("*").alias("_row"))
+    stay = rows.join(kept, F.col("_row")[id_col] == F.col("_id"))
+    once = stay.filter("_n = 1").select("_row")
     if not kept.filter("_n > 1").isEmpty():
-        once = once.unionByName(stay.filter("_n > 1").select(*names).dropDuplicates([id_col]))
-    return once.unionByName(docs.filter(F.col(id_col).isNull()))
+        once = once.unionByName(stay.filter("_n > 1").dropDuplicates(["_id"]).select("_row"))
+    return once.unionByName(rows.filter(F.col("_row")[id_col].isNull())).select("_row.*")

@@ -110,19 +110,15 @@ def filter_urls(
     host and path; no term can block a NULL or empty url, so its verdict is ``allow``. Repeated
     rows are judged alike and each is returned. No shuffle; only the url goes to Python.
     """
-    url = F.col(url_col)
-    judged = (
-        pages.withColumn("host", host(F.coalesce(url, F.lit(""))))
-        .withColumn("path", path(F.coalesce(url, F.lit(""))))
-        .withColumn("_score", vocabulary_score(url, vocabulary, limit))
+    # The caller's columns travel in one struct, so their names meet no others.
+    url = F.coalesce(F.col("_url"), F.lit(""))
+    judged = pages.select(F.struct("*").alias("_row"), F.col(url_col).alias("_url")).select(
+        "_row", host(url).alias("host"), path(url).alias("path"), vocabulary_score(F.col("_url"), vocabulary, limit).alias("_score")
     )
     rule, said = rule_for(F.col("host"), F.col("path"), rules)
     own = F.when(F.col("_score.weight") >= limit, F.lit("block")).otherwise(F.lit("allow"))
-    return (
-        judged.withColumn("rule", rule)
-        .withColumn("verdict", F.coalesce(said, own))
-        .withColumn("strict_hits", F.col("_score.strict"))
-        .withColumn("soft_hits", F.col("_score.soft"))
-        .withColumn("weight", F.col("_score.weight"))
-        .drop("_score")
-    )
+    added = {
+        "host": F.col("host"), "path": F.col("path"), "rule": rule, "verdict": F.coalesce(said, own),
+        "strict_hits": F.col("_score.strict"), "soft_hits": F.col("_score.soft"), "weight": F.col("_score.weight"),
+    }
+    return judged.select(*[F.col("_row")[c].alias(c) for c in pages.columns if c not in added], *[v.alias(k) for k, v in added.items()])

@@ -16,6 +16,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pentarank.llm import (
@@ -40,7 +41,7 @@ PIECES = public_tokenizers.path("piece_bpe_32k.model")
 WORDS = public_tokenizers.path("word_bpe_49k.json")
 LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 # Names the operators use inside, as columns of the input.
-CLASH = "id, mark, fp, key, h, w, v, n, i, m, low, grp, words, start, score, root, _t, _text, digest, label, repeated, total, html".split(", ")
+CLASH = "id, mark, fp, key, h, w, v, n, i, m, low, grp, words, start, score, root, _t, _text, digest, label, repeated, total, html, _n, _id, _i, _m, _score, _v, _w, _x, _row, _url, _m_assign, _p_hex, _s_word, width, strict".split(", ")
 LONG = " ".join(f"w{k % 977}" for k in range(30_000))
 TEXTS = [None, "", " \t\n", "one", "One two", "alpha beta gamma delta", "alpha beta gamma delta", "ALPHA beta gamma delta", LONG, LONG + " end", "ñandú 漢字 😀 " * 20]
 
@@ -429,18 +430,19 @@ def shingles(text, size=5):
 def test_containment_matches_brute_force(spark, odd, none, monkeypatch):
     rng = random.Random(8)
     prose = [" ".join(rng.choices("ab cd ef gh ij kl mn".split(), k=rng.randint(5, 60))) for _ in range(20)]
-    items = [(k, t) for k, t in enumerate(prose)] + [(0, prose[0]), (1, "other words under the same item id one"), (50, None), (51, ""), (52, "too short"), (None, prose[3].upper())]
+    items = [(k, t) for k, t in enumerate(prose)] + [(0, prose[0]), (1, "other words under the same item id one"), (50, None), (51, ""), (52, "too short"), (53, "Mn"), (54, "ab ab ab ab"), (None, prose[3].upper())]
     docs = []
     for k, t in enumerate(prose * 2):
         cut = t.split()
         del cut[: rng.randint(0, len(cut) // 3)]
         docs.append((k, " ".join(["x"] * rng.randint(0, 500) + cut + ["y"])))
-    docs += [(r.doc_id, r.text) for r in odd.collect()] + [(70, "z " * 20_000 + prose[5])]
+    docs += [(r.doc_id, r.text) for r in odd.collect()] + [(70, "z " * 20_000 + prose[5]), (71, "this is Too  Short"), (72, "too-short"), (73, "too short")]
     want = collections.defaultdict(float)
     for doc, text in set(docs):
-        held = shingles(text)
         for item, said in items:
-            need = shingles(said)
+            found = WORD.findall((said or "").translate(LOWER))
+            need = shingles(said) or {" ".join(found)} - {""}
+            held = shingles(text, min(5, len(found))) if found else set()
             if need and len(need & held) >= 0.8 * len(need) - 1e-9:
                 want[(doc, item, text)] = max(want[(doc, item, text)], len(need & held) / len(need))
     df = spark.createDataFrame(docs, "doc_id long, text string").selectExpr("*", *[f"1 as {c}" for c in CLASH])
@@ -456,6 +458,32 @@ def test_containment_matches_brute_force(spark, odd, none, monkeypatch):
     assert decontaminate.containments(df, bench.limit(0)).count() == 0
 
 
+def test_columns_of_any_name_come_through(spark, odd):
+    """What the operators keep of the caller's columns, whatever their names."""
+    model = secrets.train(secrets.corpus_samples(odd))
+    bench = spark.createDataFrame([(1, "ab cd ef gh ij kl")], "item_id long, text string")
+    plain = sorted((tuple(r) for r in odd.collect()), key=str)
+    assert sorted((tuple(r) for r in decontaminate.remove_contaminated(odd, bench).collect()), key=str) == plain
+    scanned = secrets.scan(odd, model)
+    assert sorted((tuple(r) for r in scanned.select(*odd.columns).collect()), key=str) == plain
+    pages = odd.withColumn("url", F.lit("http://example.org/casino"))
+    judged = url_filter.filter_urls(pages)
+    assert sorted((tuple(r) for r in judged.select(*odd.columns).collect()), key=str) == plain and judged.filter("verdict = 'block'").count() == len(plain)
+    kept = simhash.keep_one(odd)
+    assert kept.columns == odd.columns and {tuple(r) for r in kept.collect()} <= set(plain)
+    named = odd.drop("_id", "_n").withColumnsRenamed({"doc_id": "_id", "text": "_n"})
+    assert simhash.keep_one(named, "_id", "_n").count() == kept.count()
+
+
+def test_equal_rows_without_id_take_time_in_proportion(spark):
+    said = " ".join(f"w{k}" for k in range(60))
+    rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"'{said}' as text")
+    started = time.time()
+    got = substrings.remove_repeats(rows).groupBy("n_words", "n_removed", "kept").count().collect()
+    assert [tuple(r) for r in got] == [(60, 60, "", 20_000)]
+    assert time.time() - started < 60
+
+
 # --- 8, token counts -------------------------------------------------------
 
 
