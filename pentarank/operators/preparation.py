@@ -17,7 +17,7 @@ def _with_pixels(records: DataFrame, keep: Sequence[str], side: int | None) -> t
     """The records, with their pictures resized where a side is given, and the columns that stay."""
     if side is None:
         return records, tuple(keep)
-    return resize_images(records, side=side), (*keep, *PIXEL_COLUMNS)
+    return resize_images(records, side=side, antialias=True), (*keep, *PIXEL_COLUMNS)
 
 
 def pair_rows(

@@ -189,3 +189,44 @@ def exchanges(spark: SparkSession, sf_dir: str) -> DataFrame:
            WHERE asked.role = 'user'""",
         turns=turns,
     )
+
+
+def pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(vec_id, image)``: the 64 numbers of each embedding as bytes of a picture.
+
+    Grey ones of 8 by 8 and 16 by 4, and 4 by 4 ones of four channels; every thirteenth has no size.
+    """
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id",
+        """named_struct('origin', string(vec_id),
+              'height', CASE WHEN vec_id % 13 = 12 THEN -1 WHEN vec_id % 3 = 0 THEN 8 ELSE 4 END,
+              'width', CASE vec_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 4 END,
+              'nChannels', CASE vec_id % 3 WHEN 2 THEN 4 ELSE 1 END, 'mode', 0,
+              'data', unhex(array_join(transform(embedding,
+                 x -> lpad(hex(int(pmod(floor(CAST(x AS DOUBLE) * 1000), 256))), 2, '0')), ''))) AS image""",
+    )
+
+
+def picture_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(vec_id, content)``: the first bytes of picture files whose sizes are made of the label and the id.
+
+    PNG, JPEG with a segment before its frame, the three kinds of WebP, and files that are no pictures or too short.
+    """
+    return table(spark, sf_dir, "embeddings").selectExpr(
+        "vec_id", "CAST(1 + vec_id % 700 AS INT) AS w", "1 + label AS h", "vec_id % 7 AS kind"
+    ).selectExpr(
+        "vec_id",
+        """unhex(concat(CASE kind
+             WHEN 0 THEN concat('89504E470D0A1A0A0000000D49484452', lpad(hex(w), 8, '0'), lpad(hex(h), 8, '0'), '0802000000')
+             WHEN 1 THEN concat('FFD8FFE000104A46494600010100000100010000FFC2001108', lpad(hex(h), 4, '0'), lpad(hex(w), 4, '0'), '03')
+             WHEN 2 THEN concat('52494646000000005745425056503858', '0A00000010000000',
+               substr(lpad(hex(w - 1), 6, '0'), 5, 2), substr(lpad(hex(w - 1), 6, '0'), 3, 2), '00',
+               substr(lpad(hex(h - 1), 6, '0'), 5, 2), '0000')
+             WHEN 3 THEN concat('5249464600000000574542505650382000000000000000', '9D012A',
+               substr(lpad(hex(w), 4, '0'), 3, 2), substr(lpad(hex(w), 4, '0'), 1, 2), lpad(hex(h), 2, '0'), '00')
+             WHEN 4 THEN concat('524946460000000057454250', '5650384C00000000', '2F',
+               substr(lpad(hex((w - 1) + (h - 1) * 16384), 8, '0'), 7, 2), substr(lpad(hex((w - 1) + (h - 1) * 16384), 8, '0'), 5, 2),
+               substr(lpad(hex((w - 1) + (h - 1) * 16384), 8, '0'), 3, 2), substr(lpad(hex((w - 1) + (h - 1) * 16384), 8, '0'), 1, 2), '0000000000000000')
+             WHEN 5 THEN '89504E470D0A1A0A0000000D49484452'
+             ELSE hex(CAST(vec_id AS STRING)) END, '00')) AS content""",
+    )

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pentarank.functions import prompts
 from pentarank.functions.text import WHITESPACE
 from pentarank.functions.tokens import SPECIAL_TOKENS
-from pentarank.plans.queries import TOKENIZER
+from pentarank.plans.queries import PICTURE_SIDE, TOKENIZER
 from pentarank.schemas import (
     CANDIDATE_NUMBERS,
     IMAGE_COLUMNS,
@@ -280,6 +280,25 @@ _BATCHES = f"""SELECT doc_id, row_index, row_index // {SIMILARITY_BATCH} AS batc
     FROM documents)"""
 
 
+_PICTURES = _with(
+    """pictures AS (
+  SELECT vec_id, CASE WHEN vec_id % 3 = 0 THEN 8 ELSE 4 END AS h, CASE vec_id % 3 WHEN 0 THEN 8 WHEN 1 THEN 16 ELSE 4 END AS w,
+    vec_id % 3 = 2 AS coloured, list_transform(embedding, lambda x: (CAST(floor(CAST(x AS DOUBLE) * 1000) AS BIGINT) % 256 + 256) % 256) AS d
+  FROM embeddings WHERE vec_id % 13 <> 12)""",
+    """pixels AS (
+  SELECT vec_id, h, w, y, x, c, d[CASE WHEN coloured THEN (y * w + x) * 4 + 3 - c ELSE y * w + x + 1 END] AS p
+  FROM pictures, range(8) a(y), range(16) b(x), range(3) e(c) WHERE y < h AND x < w)""",
+    f"""shares AS (
+  SELECT size, i, k, share / sum(share) OVER (PARTITION BY size, i) AS share FROM (
+    SELECT size, i, k, greatest(0.0::DOUBLE, 1 - abs(k + 0.5::DOUBLE - (i + 0.5::DOUBLE) * size / {PICTURE_SIDE}) / greatest(size / {PICTURE_SIDE}, 1)) AS share
+    FROM (VALUES (4), (8), (16)) s(size), range({PICTURE_SIDE}) a(i), range(16) b(k) WHERE k < size))""",
+    """small AS (
+  SELECT vec_id, c, r.i AS i, q.i AS j, CAST(CAST(sum(p * r.share * q.share) AS FLOAT) AS DOUBLE) AS value
+  FROM pixels JOIN shares r ON r.size = h AND r.k = y JOIN shares q ON q.size = w AND q.k = x
+  GROUP BY ALL)""",
+)
+
+
 def _one(expression: str, name: str, source: str) -> str:
     return f"{_SIMILARITY}SELECT round({expression}, 6) AS {name} FROM {source}"
 
@@ -546,6 +565,19 @@ SELECT batch_id, CAST(count(*) AS INTEGER) AS batch_rows,
   CAST(sum(len(sums)) AS INTEGER) AS n_vectors,
   array_to_string(list_transform(flatten(list(sums ORDER BY slot)), lambda s: CAST(round(s * 10000) AS BIGINT)), ',') AS vector_sums
 FROM stacked GROUP BY batch_id"""
+    sql["resized_pictures"] = _PICTURES + f"""SELECT vec_id, NULL AS image_error, CAST(c * {PICTURE_SIDE**2} + i * {PICTURE_SIDE} + j AS INTEGER) AS at, round(value, 3) AS value FROM small
+UNION ALL SELECT vec_id, 'undecodable image', NULL, NULL FROM embeddings WHERE vec_id % 13 = 12"""
+    sql["picture_sizes"] = """SELECT vec_id, ['png', 'jpeg', 'webp', 'webp', 'webp', NULL, NULL][vec_id % 7 + 1] AS kind,
+  CASE WHEN vec_id % 7 < 5 THEN CAST(1 + vec_id % 700 AS INTEGER) END AS width,
+  CASE WHEN vec_id % 7 < 5 THEN CAST(1 + label AS INTEGER) END AS height FROM embeddings"""
+    sql["picture_headers"] = f"""SELECT vec_id, kind, width, height, coalesce(least(width, height) >= 3, false) AS usable
+FROM ({sql["picture_sizes"]}) WHERE vec_id % 6 = 0"""
+    sql["collate_pictures"] = _PICTURES + f""", ordered AS (
+  SELECT vec_id, row_number() OVER (ORDER BY md5('{SHUFFLE_SEED}-' || vec_id), vec_id) - 1 AS n FROM embeddings),
+per_picture AS (SELECT vec_id, count(*) AS pixels, sum(CAST(round(value * 100) AS BIGINT)) AS total FROM small GROUP BY 1)
+SELECT n // {MAP_BATCH} AS batch_id, CAST(count(*) AS INTEGER) AS batch_rows, string_agg(CAST(vec_id AS VARCHAR), ',' ORDER BY n) AS vec_ids,
+  CAST(count(pixels) AS INTEGER) AS n_pictures, CAST(coalesce(sum(pixels), 0) AS INTEGER) AS n_pixels, CAST(coalesce(sum(total), 0) AS BIGINT) AS pixel_sum
+FROM ordered LEFT JOIN per_picture USING (vec_id) GROUP BY 1"""
     crc = "xor(list_reduce(list_prepend(4294967295, {}), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])), 4294967295)"
     text_bytes = "list_transform(range(octet_length(encode({0}))), lambda i: CAST('0x' || substr(hex(encode({0})), 2 * i + 1, 2) AS BIGINT))"
     pixels = ", ".join(crc.format(text_bytes.format(f"coalesce({c}, '')")) for c in PROMPT_COLUMNS)

@@ -15,13 +15,14 @@ from collections.abc import Callable
 from pyspark.errors import PySparkException, StreamingQueryException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from pentarank.functions import prompts, subwords, text, tokens, vectors
+from pentarank.functions import pictures, prompts, subwords, text, tokens, vectors
 from pentarank.operators import (
     analysis,
     assembly,
     batching,
     candidates,
     generation,
+    images,
     mapping,
     metrics,
     preparation,
@@ -39,7 +40,7 @@ from pentarank.schemas import (
     SIMILARITY_MAX_LENGTH,
 )
 from pentarank.session import shared_folder
-from pentarank.sources import ledger, snapshots
+from pentarank.sources import images as image_files, ledger, snapshots
 from pentarank.streaming import generation as resumable, running, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -49,6 +50,7 @@ SCORES = "scores"
 HEX_TOKENIZER = subwords.HexTokenizer()
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 FAILED_EVENT = "error"
+PICTURE_SIDE = 3
 STREAM_START = 1_700_000_000
 
 
@@ -620,6 +622,42 @@ def collate_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def resized_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every pixel of pictures of three kinds, brought to 3 by 3 with all old pixels counted."""
+    resized = images.resize_images(inputs.pictures(spark, sf_dir), ["image"], PICTURE_SIDE, antialias=True)
+    each = resized.select("vec_id", "image_error", F.posexplode_outer(F.get("pixel_values", F.lit(0))).alias("at", "value"))
+    return each.select("vec_id", "image_error", "at", F.round(F.col("value").cast("double"), 3).alias("value"))
+
+
+def picture_headers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files written from the table, one to a picture of every record, and what their headers tell."""
+    folder = _fresh(spark, "pictures")
+    files = inputs.picture_files(spark, sf_dir).filter(f"vec_id % {inputs.GROUP} = 0")
+    files.select("vec_id", F.col("content").cast("string")).write.partitionBy("vec_id").text(folder)
+    found = image_files.scan_pictures(spark, folder, "*.txt", least_side=3)
+    number = F.regexp_extract("path", "vec_id=([0-9]+)", 1).cast("long")
+    return found.select(number.alias("vec_id"), "kind", "width", "height", "usable")
+
+
+def picture_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of every picture, from a column of bytes."""
+    size = inputs.picture_files(spark, sf_dir).withColumn("size", pictures.picture_size("content"))
+    return size.select("vec_id", "size.kind", "size.width", "size.height")
+
+
+def collate_pictures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pictures resized and collated by 30: how many pixels a batch has, and what they add up to."""
+    rows = images.resize_images(inputs.pictures(spark, sf_dir), ["image"], PICTURE_SIDE, antialias=True)
+    order = batching.assign_batches(rows.select("vec_id"), "vec_id", MAP_BATCH)
+    held = rows.select("vec_id", F.array_compact("pixel_values").alias("pixel_values")).join(order, "vec_id")
+    collated = batching.collate_batches(held, ["vec_id"], ["pixel_values"])
+    pixels = F.transform(F.flatten("pixel_values"), lambda x: F.round(x.cast("double") * 100).cast("long"))
+    return collated.select(
+        "batch_id", "batch_rows", F.array_join("vec_id", ",").alias("vec_ids"), F.size("pixel_values").alias("n_pictures"),
+        F.size(pixels).alias("n_pixels"), F.aggregate(pixels, F.lit(0).cast("long"), lambda t, x: t + x).alias("pixel_sum"),
+    )
+
+
 def collate_token_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token rows with their pictures' bytes as pixels, collated by 30."""
     records = inputs.records(spark, sf_dir)
@@ -765,6 +803,10 @@ def registry() -> dict[str, Query]:
         "limit_batches": limit_batches,
         "collate_batches": collate_batches,
         "collate_token_rows": collate_token_rows,
+        "resized_pictures": resized_pictures,
+        "picture_headers": picture_headers,
+        "picture_sizes": picture_sizes,
+        "collate_pictures": collate_pictures,
         "metric_log": metric_log,
         "compare_runs": compare_runs,
         "metric_partials": metric_partials,
