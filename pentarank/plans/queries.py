@@ -23,6 +23,7 @@ from pentarank.operators import (
     candidates,
     generation,
     images,
+    lengths,
     mapping,
     metrics,
     preparation,
@@ -40,7 +41,7 @@ from pentarank.schemas import (
     SIMILARITY_MAX_LENGTH,
 )
 from pentarank.session import shared_folder
-from pentarank.sources import images as image_files, ledger, snapshots
+from pentarank.sources import datasets, images as image_files, ledger, partials, reports, snapshots
 from pentarank.streaming import generation as resumable, running, sequences
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -597,6 +598,61 @@ def token_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(profile, "p50_tokens", "p95_tokens")
 
 
+def merged_length_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sketches of four runs, one of them stored twice, merged per language and held against exact ranks."""
+    path = _fresh(spark, "lengths")
+    documents = inputs.documents(spark, sf_dir).select("doc_id", "lang", TOKENIZER.pieces("text").alias("pieces"))
+    for run in (0, 1, 2, 3, 1):
+        part = documents.filter(F.col("doc_id") % 4 == run)
+        lengths.store_sketches(lengths.length_sketches(part, F.col("pieces"), ["lang"]), path, f"run{run}")
+    marks = (0.5, 0.95)
+    merged = lengths.merged_profile(lengths.read_sketches(spark, path), ["lang"], marks)
+    counted = documents.select("lang", F.size("pieces").alias("n")).groupBy("lang", "n").count()
+    ranked = counted.join(merged.withColumnRenamed("n_rows", "rows"), counted["lang"].eqNullSafe(merged["lang"])).select(merged["lang"], "rows", "max_tokens", "n", "count", "p50_tokens", "p95_tokens")
+    wrong = {}
+    for p in marks:
+        mark = f"p{round(p * 100)}_tokens"
+        below, upto = (F.sum(F.when(c, F.col("count")).otherwise(0)) / F.max("rows") for c in (F.col("n") < F.col(mark), F.col("n") <= F.col(mark)))
+        wrong[f"p{round(p * 100)}_within_1_percent"] = (below <= p + 0.01) & (upto >= p - 0.01)
+    return ranked.groupBy("lang").agg(F.max("rows").alias("n_rows"), F.max("max_tokens").alias("max_tokens"), *[v.alias(k) for k, v in wrong.items()])
+
+
+def replayed_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Metrics of two runs stored batch by batch, a third of the batches twice; one run is reset halfway."""
+    path = _fresh(spark, "partials")
+    wanted = [metrics.top_image_accuracy(label=0), metrics.spearman(), metrics.pairwise_loss()]
+    batches = scored(spark, sf_dir).withColumn("batch_id", F.expr(f"group_id div {MAP_BATCH}"))
+    parts = metrics.partials(batches, wanted, ["batch_id"])
+    for run in ("whole", "reset"):
+        partials.upsert_partials(parts.withColumn("run_id", F.lit(run)), path)
+    partials.upsert_partials(parts.filter("batch_id % 3 = 0").withColumn("run_id", F.lit("whole")), path)
+    partials.reset(spark, path, "reset", 0)
+    return _rounded(partials.stored_metrics(spark, path, wanted), "value")
+
+
+def analysis_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The analysis written as CSV and read again, with its running index."""
+    path = _fresh(spark, "analysis")
+    reports.write_indexed_analysis(analysis.analysis_table(inputs.generations(spark, sf_dir)), path)
+    found = reports.read_indexed_analysis(spark, path)
+    hashed = ("full_prediction", "full_label", "pred_reasoning", "label_reasoning")
+    return found.withColumns({c: _md5(c) for c in hashed})
+
+
+def bucketed_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Training records joined with later answers, both stored in buckets; answers bring a new column along."""
+    folder = _fresh(spark, "buckets")
+    name = f"records_{uuid.uuid4().hex}"
+    rows = _split_records(spark, sf_dir).select("id", "sentence", "correct_image", "split")
+    datasets.save_bucketed(rows.filter("id % 2 = 0"), name, f"{folder}/records", buckets=4)
+    datasets.append_bucketed(rows.filter("id % 2 = 1").withColumn("late", F.lit(True)), name)
+    answers = rows.select("id", (F.col("correct_image") % 5 + 1).alias("answer"), "split")
+    datasets.save_bucketed(answers, f"{name}_answers", f"{folder}/answers", buckets=4)
+    stored = assembly.select_split(spark.table(name), "train")
+    joined = stored.join(assembly.select_split(spark.table(f"{name}_answers"), "train").drop("split"), "id")
+    return joined.select("id", _md5("sentence").alias("sentence"), "correct_image", "answer", "late")
+
+
 def assign_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = inputs.table(spark, sf_dir, "documents")
     return batching.assign_batches(documents, "doc_id", SIMILARITY_BATCH)
@@ -770,6 +826,7 @@ def registry() -> dict[str, Query]:
         "strip_ignore_token": strip_ignore_token,
         "generation_accuracy": generation_accuracy,
         "generation_analysis": generation_analysis,
+        "analysis_csv": analysis_csv,
         "candidates_long": candidates_long,
         "candidates_shuffled": candidates_shuffled,
         "candidates_wide": candidates_wide,
@@ -781,6 +838,7 @@ def registry() -> dict[str, Query]:
         "retry_failed_only": retry_failed_only,
         "sft_dataset_assemble": sft_dataset_assemble,
         "training_view": training_view,
+        "bucketed_join": bucketed_join,
         "generate_sft": generate_sft,
         "generate_resumed": generate_resumed,
         "generate_with_retries": generate_with_retries,
@@ -799,6 +857,7 @@ def registry() -> dict[str, Query]:
         "subword_answers": subword_answers,
         "embed_similarity": embed_similarity,
         "token_length_profile": token_length_profile,
+        "merged_length_profile": merged_length_profile,
         "assign_batches": assign_batches,
         "limit_batches": limit_batches,
         "collate_batches": collate_batches,
@@ -811,4 +870,5 @@ def registry() -> dict[str, Query]:
         "compare_runs": compare_runs,
         "metric_partials": metric_partials,
         "merged_metrics": merged_metrics,
+        "replayed_metrics": replayed_metrics,
     }

@@ -1,5 +1,5 @@
 """Tables and files read and written by the operators."""
 
-from pentarank.sources import datasets, images, ledger, reports, snapshots
+from pentarank.sources import datasets, images, ledger, partials, reports, snapshots
 
-__all__ = ["datasets", "images", "ledger", "reports", "snapshots"]
+__all__ = ["datasets", "images", "ledger", "partials", "reports", "snapshots"]
