@@ -81,28 +81,45 @@ def features(text: str, settings: Settings) -> Iterator[tuple[int, np.ndarray]]:
     """``(family, buckets)`` of the text, repeats included, a part at a time.
 
     A bigram's hash is the difference of its words' hashes: a word that follows itself falls
-    in one bucket, whichever word it is, so that repetition can be learned. Bigrams do not
-    span the parts of very long texts; a word longer than a part counts as several.
+    in one bucket, whichever word it is, so that repetition can be learned. Characters are the bytes of UTF-8. What
+    lies across two parts of a long text is carried over, so the parts leave no trace.
     """
-    for part in _spans(text.encode()):
-        raw = np.frombuffer(b" " + part + b" ", np.uint8)
+    parts, longest = list(_spans(text.encode())), max(settings.ngrams, default=1)
+    tail, last = b" ", np.zeros(0, np.uint64)
+    begun, begun_size = 0, 0
+    for k, part in enumerate(parts):
+        raw = np.frombuffer(tail + part + (b" " if k == len(parts) - 1 else b""), np.uint8)
         space = _IS_SPACE[raw]
         symbol = np.where(space, 32, raw).astype(np.uint64) + np.uint64(1)
         total = np.concatenate(([np.uint64(0)], np.cumsum(symbol * _POWERS[: len(raw)], dtype=np.uint64)))
-        starts = np.flatnonzero(space[:-1] & ~space[1:]) + 1
-        ends = np.flatnonzero(~space[:-1] & space[1:]) + 1
-        if not len(starts):
-            continue
+        # Words of the new bytes alone; a first one without space before it goes on with the one begun.
+        old = len(tail)
+        edges = np.flatnonzero(np.diff(space[old:].astype(np.int8), prepend=1, append=1))
+        starts, ends = edges[::2] + old, edges[1::2] + old
         word = (total[ends] - total[starts]) * _UNPOWERS[starts]
-        yield 0, _buckets(word, 1, settings.bits)
-        if len(word) > 1:
-            yield 1, _buckets(word[1:] - word[:-1], 2, settings.bits)
+        if begun_size:
+            whole = np.array([begun], np.uint64)
+            if len(starts) and starts[0] == old:
+                word[:1] = whole + word[:1] * np.uint64(pow(int(BASE), begun_size, 1 << 64))
+            else:
+                word, starts, ends = np.concatenate((whole, word)), np.concatenate(([old], starts)), np.concatenate(([old], ends))
+        open_end = len(word) > 0 and not space[-1]
+        begun_size = (begun_size if ends[-1] - starts[-1] == len(raw) - old else 0) + int(ends[-1] - starts[-1]) if open_end else 0
+        if open_end:
+            begun, word = int(word[-1]), word[:-1]
+        if len(word):
+            yield 0, _buckets(word, 1, settings.bits)
+        near = np.concatenate((last, word))
+        if len(near) > 1:
+            yield 1, _buckets(near[1:] - near[:-1], 2, settings.bits)
+        last = near[-1:]
         gaps = np.concatenate(([0], np.cumsum(space)))
         for n in settings.ngrams:
-            at = np.arange(len(raw) - n + 1)
+            at = np.arange(max(0, old - n + 1), len(raw) - n + 1)
             # White space may be the first or the last character, never inside.
             at = at[(gaps[at + n - 1] - gaps[at + 1] == 0) & ~(space[at] & space[at + n - 1])] if n > 2 else at[~(space[at] & space[at + n - 1])]
             yield 2, _buckets((total[at + n] - total[at]) * _UNPOWERS[at], 10 + n, settings.bits)
+        tail = raw[max(0, len(raw) - longest + 1) :].tobytes()
 
 
 def _bag(text: str, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
