@@ -20,6 +20,7 @@ from pentarank.llm.common import spread
 from pentarank.llm.vocabulary import word_ids
 
 GROUP_DOCS = 4096
+COPIES = 4096
 PIECE_SCHEMA = "id long, start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -96,16 +97,23 @@ def pack_documents(
 
     A document is its ids and ``end_id``; NULL and empty texts are the end alone. It is cut
     every ``room`` ids; whole pieces fill a sequence each, the rest is packed. Groups hold
-    about ``group_docs`` documents, dealt by a hash of id, length and digest, so the result
+    about ``group_docs`` documents, dealt by a hash of id, length and digest, and copies of one piece, counted
+    before they move, by their number too: no group grows with them, and the result
     does not depend on Spark's partitions. Every row is packed, repeated rows too; NULL ids
     stay NULL. An empty table gives no rows. ``sequence_id`` is the group's number times
     2^32 plus the bin's. Counts the rows of ``docs`` first.
     """
     groups = max(1, -(-docs.count() // group_docs))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    pieces = cut_pieces(rows, tokenizer_path, room, end_id).withColumn(
-        "grp", F.pmod(F.xxhash64("id", "doc_tokens", "ids_crc32", F.lit(seed)), F.lit(groups))
-    )
+    pieces = cut_pieces(rows, tokenizer_path, room, end_id)
+    counted = pieces.groupBy(*pieces.columns).agg(F.count("*").alias("copies"))
+    # In blocks, so that no array grows with the number of copies.
+    blocks = counted.withColumn("block", F.explode(F.expr(f"sequence(0L, (copies - 1) div {COPIES})")))
+    each = blocks.withColumn("copy", F.explode(F.expr(f"sequence(block * {COPIES}L, least(copies, (block + 1) * {COPIES}L) - 1)")))
+    # The first copy goes where a piece without copies would.
+    number = F.when(F.col("copy") > 0, F.col("copy"))
+    grp = F.pmod(F.xxhash64("id", "doc_tokens", "ids_crc32", F.lit(seed), number), F.lit(groups))
+    pieces = each.select(*pieces.columns, grp.alias("grp"))
 
     def pack(part: pd.DataFrame) -> pd.DataFrame:
         part = part.sort_values(["length", "id", "start", "ids_crc32"], ascending=[False, True, True, True])
