@@ -37,38 +37,40 @@ class Model:
     ratios: tuple[float, ...]
 
 
-def corpus_samples(docs: DataFrame, text_col: str = "text", max_docs: int = 2000, seed: int = 42) -> DataFrame:
-    """Labelled samples ``(sample, random)`` from about ``max_docs`` distinct texts, drawn by a hash.
+def corpus_samples(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """Labelled samples ``(sample, random, n)`` from all texts; ``n`` is how often a sample occurs.
 
     Ordinary: their words of letters, with inner hyphens or underscores and a short number
     at the end, as they are and as parts of a path; numbers of up to four digits as parts of a
-    path only. Random: digests of their texts in the alphabets secrets are written in.
+    path only. Equal words are counted before they leave a task. Random: digests of the texts in the alphabets
+    secrets are written in, one of each for every text.
     """
     texts = docs.select(F.col(text_col).alias("text")).filter("text is not null")
-    count = texts.count()
-    share = F.pmod(F.xxhash64(F.lit(seed), "text"), F.lit(1 << 20)) / float(1 << 20)
-    drawn = texts.filter(share < max_docs / max(count, 1)).distinct()
     words = F.regexp_extract_all("text", F.lit(r"\b[A-Za-z]{3,}(?:[_-][A-Za-z]+)*[0-9]{0,3}\b"), F.lit(0))
     numbers = F.regexp_extract_all("text", F.lit(r"\b[0-9]{1,4}\b"), F.lit(0))
-    parts = F.transform(F.concat(words, numbers), lambda p: F.concat(F.lit("/"), p, F.lit("/")))
-    plain = drawn.select(F.explode(F.concat(words, parts)).alias("sample"))
+    counted = texts.select(F.explode(F.concat(words, numbers)).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+    part = F.concat(F.lit("/"), "word", F.lit("/"))
+    forms = F.when(F.col("word").rlike("^[0-9]"), F.array(part)).otherwise(F.array("word", part))
+    plain = counted.select(F.explode(forms).alias("sample"), F.lit(0).alias("random"), "n")
     raw = F.unhex(F.sha2("text", 256))
     coded = F.regexp_replace(F.base64(raw), "=", "")
     kinds = [coded, F.upper(F.base64(F.unhex(F.md5("text")))), F.lower(F.hex(raw)), F.hex(raw), F.translate(coded, "+/", "-_")]
-    made = drawn.select(F.explode(F.array(*kinds)).alias("sample"))
-    return plain.select("sample", F.lit(0).alias("random")).unionByName(made.select("sample", F.lit(1).alias("random")))
+    made = texts.select(F.explode(F.array(*kinds)).alias("sample"), F.lit(1).alias("random"), F.lit(1).cast("long").alias("n"))
+    return plain.unionByName(made)
 
 
 def train(samples: DataFrame) -> Model:
-    """Count character pairs of ``(sample, random)``; at most ``2 * SYMBOLS^2`` counts reach the driver.
+    """Count character pairs of ``(sample, random)``, and ``n`` where there is one; at most ``2 * SYMBOLS^2`` counts
+    reach the driver.
 
     Add-one smoothing; without samples every ratio is zero.
     """
+    times = F.col("n") if "n" in samples.columns else F.lit(1).cast("long")
     pairs = samples.filter("length(sample) > 1").select(
-        "random", F.explode(F.expr("transform(sequence(1, length(sample) - 1), i -> substring(sample, i, 2))")).alias("pair")
+        "random", times.alias("n"), F.explode(F.expr("transform(sequence(1, length(sample) - 1), i -> substring(sample, i, 2))")).alias("pair")
     )
     counts = [[1.0] * SYMBOLS * SYMBOLS for _ in range(2)]
-    held = pairs.filter(F.col("pair").rlike("^[ -~]{2}$")).groupBy("random", "pair").count().collect()
+    held = pairs.filter(F.col("pair").rlike("^[ -~]{2}$")).groupBy("random", "pair").agg(F.sum("n")).collect()
     for random, pair, n in held:
         counts[int(random)][(ord(pair[0]) - FIRST) * SYMBOLS + ord(pair[1]) - FIRST] += n
     ratios = []

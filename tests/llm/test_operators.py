@@ -475,6 +475,29 @@ def test_columns_of_any_name_come_through(spark, odd):
     assert simhash.keep_one(named, "_id", "_n").count() == kept.count()
 
 
+@pytest.mark.parametrize("chunk", [4, 5, 16, 64])
+def test_parts_of_a_text_leave_no_trace(monkeypatch, chunk):
+    rng = random.Random(3)
+    texts = ["", " ", "a", "two words", "   lead and trail   ", "é漢 字😀 x", "x" * 500]
+    texts += ["".join(rng.choice(["ab", "c", " ", "  ", "\n", "longerword", "é", "漢", "x" * 40]) for _ in range(rng.randint(0, 60))) for _ in range(200)]
+
+    def found(text):
+        return collections.Counter((f, b) for f, buckets in quality.features(text, quality.Settings()) for b in buckets.tolist())
+
+    want = [found(t) for t in texts]
+    monkeypatch.setattr(quality, "CHUNK", chunk)
+    assert [found(t) for t in texts] == want
+
+
+def test_copies_of_a_piece_spread_over_groups(spark):
+    rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", "cast(null as string) as text")
+    packed = packing.pack_documents(rows, WORDS, group_docs=512)
+    groups = packed.groupBy(F.expr("sequence_id div 4294967296").alias("g")).count().collect()
+    assert sum(r["count"] for r in groups) == 20_000 and max(r["count"] for r in groups) < 1024
+    again = packing.pack_documents(rows.repartition(7), WORDS, group_docs=512)
+    assert sorted(map(str, again.collect())) == sorted(map(str, packed.collect()))
+
+
 def test_equal_rows_without_id_take_time_in_proportion(spark):
     said = " ".join(f"w{k}" for k in range(60))
     rows = spark.range(20_000).selectExpr("cast(null as long) as doc_id", f"'{said}' as text")
