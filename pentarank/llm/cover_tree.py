@@ -1,10 +1,12 @@
 """Exact near-duplicate pairs of vectors by a dual traversal of cover trees.
 
-Vectors of one label are dealt to blocks around pivots; each block's task builds a cover
-tree: nested levels of centres whose nominal radii halve, each node knowing the true distance to
-its farthest member. Two trees are traversed together from their roots. A pair of nodes is
+The upper levels are rows of a table: vectors of one label are split around pivots, again and again until
+a node holds a block's worth, each node knowing the true distance to its farthest member. Pairs of nodes are
+followed from the root, level by level. Below, each block's task builds its cover
+tree once: nested levels of centres whose nominal radii halve, with covering radii too, and two trees are
+traversed together. On all levels a pair of nodes is
 dropped when its centres are farther apart than the link distance plus both covering
-radii; otherwise the wider one is replaced by its children. What is left are pairs of
+radii; otherwise the nodes are replaced by their children. What is left are pairs of
 single vectors, decided by their cosine in double precision.
 
 For unit vectors ``|a - b|^2 = 2 - 2 cos``, so a cosine bound is a distance bound.
@@ -16,16 +18,17 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pentarank.llm.common import cut, spread
+from pentarank.llm.common import cut
 from pentarank.llm.links import components, forest
 
 BLOCK = 1024
 PAIRS = 1 << 15
 PIVOTS = 64
+SPARSE = 32
 SLACK = 1e-6
 
 
@@ -41,6 +44,8 @@ class CoverTree:
     def __init__(self, points: np.ndarray):
         self.points = points
         size = len(points)
+        # A net of more centres than this prunes nothing: the level of all vectors follows instead.
+        crowd = max(SPARSE, size // 4)
         centres, nearest = np.zeros(1, np.int64), np.zeros(size, np.int64)
         apart = np.sqrt(np.maximum(0.0, 2.0 - 2.0 * (points @ points[0])))
         reach = 2.0
@@ -63,8 +68,10 @@ class CoverTree:
                 apart[far] = 0.0
                 chosen.append(far)
                 parents.append(int(above[far]))
-                if len(chosen) == size:
+                if len(chosen) == size or len(chosen) > crowd:
                     break
+            if len(chosen) > crowd:
+                break
             centres = np.array(chosen, np.int64)
             self.centres.append(centres)
             self.parent.append(np.array(parents, np.int64))
@@ -177,31 +184,91 @@ def _product(a, b, na, nb, left, right, same: bool, bound: float) -> list:
     return out
 
 
-def _cell(cosine: float):
-    """Links of one block with itself or of two blocks: counts, and a forest of edges."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        second = rows["second"].to_numpy(bool)
-        order = np.lexsort((rows["vec"].to_numpy(), second))
-        rows, second = rows.iloc[order], second[order]
-        points = np.stack(rows["unit"].to_numpy()).astype(np.float64)
-        copies, ids = rows["copies"].to_numpy(np.int64), rows["vec"].to_numpy(np.int64)
-        split, size = int((~second).sum()), len(ids)
-        if rows["two"].iloc[0] and split in (0, size):
-            return pd.DataFrame({"vec": ids[:0], "links": ids[:0], "root": ids[:0]})
-        if split == size:
-            tree = CoverTree(points)
-            found, offset = dual_pairs(tree, tree, cosine), 0
-        else:
-            found, offset = dual_pairs(CoverTree(points[:split]), CoverTree(points[split:]), cosine), split
-        links, root = np.zeros(size, np.int64), np.arange(size)
+class _Block:
+    """The vectors of one block, their tree, and what links them so far."""
+
+    def __init__(self, parts: list[pa.RecordBatch], cosine: float):
+        self.ids, self.copies, points = _arrays(parts)
+        self.tree, self.cosine = CoverTree(points), cosine
+        self.links, self.root = np.zeros(len(self.ids), np.int64), np.arange(len(self.ids))
+        self._join(dual_pairs(self.tree, self.tree, cosine))
+
+    def _join(self, found: Iterator, ids=None, copies=None) -> np.ndarray:
+        """Count pairs and unite what they link; with ``ids``, pairs of own and of foreign vectors."""
+        size, more = len(self.ids), 0 if ids is None else len(ids)
+        root, links = np.concatenate([self.root, np.arange(size, size + more)]), np.zeros(size + more, np.int64)
+        offset = 0 if ids is None else size
+        weight = self.copies if ids is None else np.concatenate([self.copies, copies])
         for i, j in found:
             if len(i):
-                np.add.at(links, i, copies[j + offset])
-                np.add.at(links, j + offset, copies[i])
-                root = forest(np.concatenate([i, np.arange(size)]), np.concatenate([j + offset, root]), size)
-        some = np.flatnonzero((links > 0) | (root != np.arange(size)))
-        return pd.DataFrame({"vec": ids[some], "links": links[some], "root": ids[root[some]]})
+                j = j + offset
+                np.add.at(links, i, weight[j])
+                np.add.at(links, j, weight[i])
+                root = forest(np.concatenate([i, np.arange(size + more)]), np.concatenate([j, root]), size + more)
+        self.links += links[:size]
+        self.root = root[:size]
+        return np.stack([links[size:], root[size:]])
+
+    def meet(self, parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        """Pairs of own vectors and foreign ones; what the foreign ones are told."""
+        ids, copies, points = _arrays(parts)
+        links, root = self._join(dual_pairs(self.tree, CoverTree(points), self.cosine), ids, copies)
+        some = np.flatnonzero(links)
+        return _told(ids[some], links[some], self.ids[root[some]])
+
+    def told(self) -> pa.RecordBatch:
+        some = np.flatnonzero((self.links > 0) | (self.root != np.arange(len(self.ids))))
+        return _told(self.ids[some], self.links[some], self.ids[self.root[some]])
+
+
+def _told(ids: np.ndarray, links: np.ndarray, roots: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in (ids, links, roots)], ["vec", "links", "root"])
+
+
+def _arrays(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    ids, copies = (np.concatenate([p.column(c).to_numpy() for p in parts]) for c in ("vec", "copies"))
+    points = np.concatenate([p.column("unit").flatten().to_numpy().reshape(p.num_rows, -1) for p in parts])
+    order = np.argsort(ids, kind="stable")
+    return ids[order], copies[order], points[order]
+
+
+def _scan(cosine: float, block: int):
+    """Blocks one after the other: own vectors first, then foreign ones, a block's worth at a time."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cell, own, tree, foreign, waiting = None, [], None, [], 0
+
+        def met():
+            nonlocal tree, own, foreign, waiting
+            if tree is None and own:
+                tree, own = _Block(own, cosine), []
+            held, foreign, waiting = foreign, [], 0
+            if tree is not None and held:
+                yield tree.meet(held)
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            cells, kinds = batch.column("cell").to_pylist(), batch.column("kind").to_numpy()
+            changes = [k for k in range(1, len(cells)) if cells[k] != cells[k - 1] or kinds[k] != kinds[k - 1]]
+            for a, b in zip([0, *changes], [*changes, len(cells)]):
+                if cells[a] != cell:
+                    yield from met()
+                    if tree is not None:
+                        yield tree.told()
+                    cell, own, tree = cells[a], [], None
+                if kinds[a] == 0:
+                    own.append(batch.slice(a, b - a))
+                    continue
+                for at in range(a, b, block):
+                    part = batch.slice(at, min(block, b - at))
+                    foreign.append(part)
+                    waiting += part.num_rows
+                    if waiting >= block:
+                        yield from met()
+        yield from met()
+        if tree is not None:
+            yield tree.told()
 
     return run
 
@@ -222,10 +289,10 @@ def link_vectors(
     never expanded. Repeated ids are counted as vectors of their own and share a row's
     values. Other columns are ignored. Runs jobs while it builds the result.
 
-    A label's classes are dealt to blocks of about ``block`` vectors by the nearest of a
-    bounded set of pivots and a hash within the pivot's share; every two blocks of a label whose
-    balls come near enough are one task's cell. Work is that of exact search: it is
-    pruned where vectors lie in clusters, and quadratic per label where they do not.
+    A label's classes are split around pivots into blocks of at most ``block`` vectors, in as many levels as it takes.
+    A block's tree is built once; vectors of other blocks come to it only if they lie within its radius and the link distance
+    of its centre. Work is that of exact search: it is pruned where vectors lie in clusters, and quadratic
+    per label where they do not.
     """
     bound = math.sqrt(max(0.0, 2.0 - 2.0 * cosine)) + SLACK
     value = F.col("v").cast("array<double>")
@@ -250,42 +317,87 @@ def link_vectors(
     return _finish(rows, members, classes, _links(classes, bound, cosine, block), id_col)
 
 
+def _distance(one: str, other: str) -> Column:
+    return F.expr(f"sqrt(greatest(0.0D, 2.0D - 2.0D * aggregate(zip_with({one}, {other}, (s, t) -> s * t), 0.0D, (s, t) -> s + t)))")
+
+
+def _grown(classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
+    """``(members, nodes)``: every vector with its leaf, and the nodes above the blocks.
+
+    Nodes that hold more than ``block`` vectors are split, each vector to the nearest of up to
+    ``PIVOTS`` pivots drawn from the node, round after round: there are as many levels as the largest label asks for.
+    A node is named after its label, dimension and place; ``r`` is the distance from its centre to the farthest member.
+    """
+    here = F.concat_ws("|", F.col("label").cast("string"), F.col("dim").cast("string"), F.lit(""))
+    waiting = classes.select(here.alias("node"), "vec", "copies", "unit", "h")
+    roots = waiting.groupBy("node").agg(F.min_by("unit", "h").alias("c")).withColumns({"parent": F.lit(None).cast("string"), "r": F.lit(2.0)})
+    settled, nodes, level = [], [roots.select("node", "parent", "c", "r")], 0
+    while True:
+        sizes = cut(waiting.groupBy("node").agg(F.count("*").alias("n"), F.min("h").alias("least"), F.max("h").alias("most")))
+        big = sizes.filter(F.col("n") > block)
+        settled.append(waiting.join(big, "node", "left_anti"))
+        if big.isEmpty():
+            break
+        # The first and the last by digest are always among the pivots, so every split makes progress.
+        drawn = F.pmod(F.xxhash64("h", F.lit(level)), F.lit(1 << 30)) * F.col("n") < F.least(F.ceil(F.col("n") * 2 / block), F.lit(PIVOTS)) * float(1 << 30)
+        crowd = waiting.join(big, "node")
+        chosen = crowd.filter(drawn | (F.col("h") == F.col("least")) | (F.col("h") == F.col("most")))
+        pivots = cut(chosen.groupBy("node").agg(F.expr("transform(array_sort(collect_list(struct(h, unit))), p -> p.unit)").alias("pivots")))
+        apart = F.expr(
+            "transform(pivots, p -> sqrt(greatest(0.0D, 2.0D - 2.0D * aggregate(zip_with(p, unit, (s, t) -> s * t), 0.0D, (s, t) -> s + t))))"
+        )
+        moved = waiting.join(pivots, "node").withColumn("apart", apart).withColumn("near", F.array_min("apart"))
+        moved = moved.withColumn("p", F.array_position("apart", F.col("near")).cast("int") - 1)
+        waiting = cut(
+            moved.select(
+                F.col("node").alias("parent"), F.concat("node", F.lit("."), F.col("p").cast("string")).alias("node"),
+                "vec", "copies", "unit", "h", "near", F.get("pivots", F.col("p")).alias("c"),
+            )
+        )
+        nodes.append(waiting.groupBy("node", "parent").agg(F.any_value("c").alias("c"), (F.max("near") + SLACK).alias("r")).select("node", "parent", "c", "r"))
+        waiting = waiting.select("node", "vec", "copies", "unit", "h")
+        level += 1
+    members, table = settled[0], nodes[0]
+    for more in settled[1:]:
+        members = members.unionByName(more)
+    for more in nodes[1:]:
+        table = table.unionByName(more)
+    return cut(members), cut(table)
+
+
+def _meeting(nodes: DataFrame, bound: float) -> DataFrame:
+    """``(a, b)``: leaves, ``a <= b``, that may hold a pair of linked vectors; by dual traversal from the roots."""
+    inner = nodes.select(F.col("parent").alias("node")).filter("node is not null").distinct()
+    leaves = nodes.join(inner, "node", "left_anti")
+    # A leaf is its own child, so that both sides of a pair go down by one level together.
+    kids = cut(nodes.filter("parent is not null").unionByName(leaves.withColumn("parent", F.col("node"))))
+    left, right = (kids.select(F.col("parent").alias(f"p{s}"), F.col("node").alias(s), F.col("c").alias(f"c{s}"), F.col("r").alias(f"r{s}")) for s in "ab")
+    pairs = cut(nodes.filter("parent is null").select(F.col("node").alias("pa"), F.col("node").alias("pb")))
+    while True:
+        down = pairs.join(left, "pa").join(right, "pb").filter((F.col("pa") != F.col("pb")) | (F.col("a") <= F.col("b")))
+        near = down.filter((F.col("a") == F.col("b")) | (_distance("ca", "cb") <= F.col("ra") + F.col("rb") + bound))
+        pairs = cut(near.select(F.least("a", "b").alias("pa"), F.greatest("a", "b").alias("pb")))
+        if all(pairs.join(inner, pairs[side] == inner["node"], "left_semi").isEmpty() for side in ("pa", "pb")):
+            return pairs.select(F.col("pa").alias("a"), F.col("pb").alias("b"))
+
+
 def _links(classes: DataFrame, bound: float, cosine: float, block: int) -> DataFrame:
-    """Per class and cell: links counted and the smallest class reached.
+    """Per class and block: links counted and the smallest class reached.
 
-    The level above the blocks' trees: a label's pivots, about one for each ``block`` vectors
-    and at most about ``2 * PIVOTS``, with the covering radius of what is nearest to each. A
-    vector meets another pivot's blocks only if it is within that radius and the link distance.
+    For two leaves that meet, the vectors of one that come within reach of the other go there; which of the
+    two is decided by a hash, so that no leaf gets all of them.
     """
-    keys = ["label", "dim"]
-    sizes = classes.groupBy(*keys).agg(F.count("*").alias("n"), F.min("h").alias("least"))
-    drawn = F.pmod(F.xxhash64("h"), F.lit(1 << 30)) * F.col("n") < F.least(F.ceil(F.col("n") / block), F.lit(PIVOTS)) * float(1 << 31)
-    chosen = classes.join(sizes, keys).filter(((F.col("n") > block) & drawn) | (F.col("h") == F.col("least")))
-    pivots = cut(chosen.groupBy(*keys).agg(F.expr("transform(array_sort(collect_list(struct(h, unit))), p -> p.unit)").alias("pivots")))
-    apart = F.expr(
-        "transform(pivots, p -> sqrt(greatest(0.0D, 2.0D - 2.0D * aggregate(zip_with(p, unit, (s, t) -> s * t), 0.0D, (s, t) -> s + t))))"
-    )
-    placed = cut(
-        classes.select("vec", "copies", "unit", "h", *keys).join(pivots, keys).withColumn("apart", apart).drop("pivots")
-        .withColumn("near", F.array_min("apart")).withColumn("p", F.array_position("apart", F.col("near")).cast("int") - 1)
-    )
-    balls = placed.groupBy(*keys, "p").agg(
-        (F.max("near") + SLACK).alias("r"), F.ceil(F.count("*") / block).cast("int").alias("slots")
-    )
-    around = cut(balls.groupBy(*keys).agg(F.collect_list(F.struct("p", "r", "slots")).alias("balls")))
-    dealt = (
-        placed.join(around, keys)
-        .withColumn("slot", F.expr("cast(pmod(xxhash64(h, 1), filter(balls, b -> b.p = p)[0].slots) as int)"))
-        .withColumn("ball", F.explode(F.expr(f"filter(balls, b -> apart[b.p] <= b.r + {bound!r}D)")))
-        .withColumn("other", F.explode(F.expr("sequence(0, ball.slots - 1)")))
-    )
-    mine, theirs = F.struct("p", "slot"), F.struct(F.col("ball.p").alias("p"), F.col("other").alias("slot"))
-    cells = dealt.select(
-        "vec", "copies", "unit", *keys, F.least(mine, theirs).alias("x"), F.greatest(mine, theirs).alias("y"),
-        (mine > theirs).alias("second"), (mine != theirs).alias("two"),
-    )
-    cell = [*keys, "x", "y"]
-    return spread(cells, *cell).groupBy(*cell).applyInPandas(_cell(cosine), "vec long, links long, root long")
+    members, nodes = _grown(classes, block)
+    pairs = _meeting(nodes, bound).filter("a <> b")
+    turned = F.pmod(F.xxhash64("a", "b"), F.lit(2)) == 0
+    ways = pairs.select(F.when(turned, F.col("a")).otherwise(F.col("b")).alias("node"), F.when(turned, F.col("b")).otherwise(F.col("a")).alias("cell"))
+    goals = nodes.select(F.col("node").alias("cell"), "c", "r")
+    foreign = members.join(ways.join(goals, "cell"), "node").filter(_distance("unit", "c") <= F.col("r") + bound)
+    foreign = foreign.select("cell", F.lit(1).alias("kind"), "vec", "copies", "unit")
+    own = members.select(F.col("node").alias("cell"), F.lit(0).alias("kind"), "vec", "copies", "unit")
+    width = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = own.unionByName(foreign).repartition(width, "cell").sortWithinPartitions("cell", "kind")
+    return dealt.mapInArrow(_scan(cosine, block), "vec long, links long, root long")
 
 
 def _finish(rows: DataFrame, members: DataFrame, classes: DataFrame, links: DataFrame, id_col: str) -> DataFrame:
