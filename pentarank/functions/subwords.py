@@ -37,6 +37,8 @@ class HexTokenizer:
     All of it are built-in expressions. The small vocabulary keeps a row of logits short.
     """
 
+    splits_at_specials = True
+
     @property
     def vocab_size(self) -> int:
         return len(DIGITS) + len(SPECIAL_TOKENS)

@@ -29,6 +29,8 @@ class HashTokenizer:
     """
 
     vocab_size: int = 32768
+    #: No token reaches across a special one, so texts may be encoded part by part.
+    splits_at_specials = True
 
     @property
     def pattern(self) -> str:
@@ -230,6 +232,7 @@ class PluggedTokenizer:
     make_encoder: Callable[[], Callable[[list[str]], list[list[int]]]]
     pad_id: int
     special_ids: Mapping[str, int]
+    splits_at_specials = False
     make_decoder: Callable[[], Callable[[Sequence[Sequence[int]]], list[str]]] | None = None
 
     def special_id(self, token: str) -> int:

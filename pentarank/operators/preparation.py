@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from pentarank.functions import prompts, tokens
 from pentarank.operators.images import resize_images
-from pentarank.schemas import PAIR_MAX_LENGTH, SIMILARITY_MAX_LENGTH
+from pentarank.schemas import IGNORE_TOKEN, PAIR_MAX_LENGTH, SIMILARITY_MAX_LENGTH
 
 PIXEL_COLUMNS = ("pixel_values", "image_error")
 
@@ -54,23 +54,13 @@ def pair_row_modes(
 ) -> DataFrame:
     """Training rows and generation rows, told apart by ``generation``, in one pass over the records."""
     records, kept = _with_pixels(records, keep, pixels)
-    answer = prompts.assistant_content()
+    make = _joined_ids if tokenizer.splits_at_specials else _rendered_ids
+    texts = make(records, tokenizer, template, max_length, kept, modes)
 
-    def chat(mode: bool) -> Column:
-        messages = prompts.chat_messages(prompts.user_content(template), F.col("_answer"), mode)
-        return F.struct(F.lit(mode).alias("generation"), prompts.render_chat(messages, mode).alias("_chat"))
-
-    answered = records.withColumn("_answer", answer)
-    texts = answered.select(*kept, "_answer", F.inline(F.array(*[chat(m) for m in modes])))
-
-    def fixed(column: Column | str) -> Column:
-        ids = tokenizer.encode(column, max_length)
+    def fixed(ids: str) -> Column:
         return tokens.fixed_length(ids, tokenizer.pad_id, max_length, side="left", padding=padding)
 
-    # A training row has no answer of its own to encode: its NULL stays NULL.
-    rows = texts.withColumns(
-        {"_fixed": fixed("_chat"), "_partial": fixed(F.when(F.col("generation"), F.col("_answer")))}
-    )
+    rows = texts.withColumns({"_fixed": fixed("_ids"), "_partial": fixed("_answer_ids")})
     ids, mask = F.col("_fixed.input_ids"), F.col("_fixed.attention_mask")
     marker = tokenizer.special_id(prompts.INSTRUCTION_END)
     return rows.select(
@@ -83,6 +73,41 @@ def pair_row_modes(
     )
 
 
+def _rendered_ids(records, tokenizer, template, max_length, kept, modes) -> DataFrame:
+    """``(kept, generation, _ids, _answer_ids)``: every chat encoded as one text."""
+
+    def chat(mode: bool) -> Column:
+        messages = prompts.chat_messages(prompts.user_content(template), F.col("_answer"), mode)
+        return F.struct(F.lit(mode).alias("generation"), prompts.render_chat(messages, mode).alias("_chat"))
+
+    answered = records.withColumn("_answer", prompts.assistant_content())
+    texts = answered.select(*kept, "_answer", F.inline(F.array(*[chat(m) for m in modes])))
+    # A training row has no answer of its own to encode: its NULL stays NULL.
+    return texts.select(
+        *kept, "generation", tokenizer.encode("_chat", max_length).alias("_ids"),
+        tokenizer.encode(F.when(F.col("generation"), F.col("_answer")), max_length).alias("_answer_ids"),
+    )
+
+
+def _joined_ids(records, tokenizer, template, max_length, kept, modes) -> DataFrame:
+    """The same from the ids of prompt and answer, each encoded once: no token reaches across a special one."""
+    asked = F.concat(F.lit(prompts.INSTRUCTION_START), prompts.user_content(template), F.lit(prompts.INSTRUCTION_END))
+    coded = records.select(
+        *kept, tokenizer.encode(asked, max_length).alias("_prompt"), tokenizer.encode(prompts.assistant_content(), max_length).alias("_answer")
+    )
+    none = F.array().cast("array<int>")
+    prompt, answer = (F.coalesce(c, none) for c in ("_prompt", "_answer"))
+    opened = tokenizer.encode(F.lit(prompts.OPEN_REASONING))
+    closed = F.array(F.lit(tokenizer.special_id(IGNORE_TOKEN)))
+
+    def mode(generation: bool) -> Column:
+        ids = F.concat(prompt, opened) if generation else F.concat(prompt, answer, closed)
+        own = F.col("_answer") if generation else F.lit(None).cast("array<int>")
+        return F.struct(F.lit(generation).alias("generation"), ids.alias("_ids"), own.alias("_answer_ids"))
+
+    return coded.select(*kept, F.inline(F.array(*[mode(m) for m in modes])))
+
+
 def similarity_rows(
     records: DataFrame,
     tokenizer: tokens.Tokenizer = tokens.HashTokenizer(),

@@ -33,11 +33,22 @@ def build_session(
 def shared_folder(spark: SparkSession) -> str:
     """The folder of ``spark.checkpoint.dir``, which the driver and all executors share.
 
-    A session without the setting, as in tests, gets a folder inside Spark's own warehouse,
-    which is shared as well. No machine-local temporary folder is ever used.
+    A session without the setting, as in tests, gets a folder inside Spark's own warehouse. On a cluster that must
+    be shared storage: a warehouse on the driver's own disk, Spark's default, is refused there. No
+    machine-local temporary folder is ever used.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    return (folder or spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints").rstrip("/")
+    if not folder:
+        folder = spark.conf.get("spark.sql.warehouse.dir") + "/_checkpoints"
+        if not spark.sparkContext.master.startswith("local") and _on_own_disk(folder, spark):
+            raise ValueError(f"set spark.checkpoint.dir to a folder that all executors share; {folder} is local to the driver")
+    return folder.rstrip("/")
+
+
+def _on_own_disk(folder: str, spark: SparkSession) -> bool:
+    scheme = folder.partition(":")[0] if ":" in folder.partition("/")[0] else ""
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    return (scheme or default.partition(":")[0]) == "file"
 
 
 def input_partitions(spark: SparkSession) -> int | None:

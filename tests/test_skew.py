@@ -71,3 +71,30 @@ def test_hot_id_in_retry(spark):
     )
     failed = spark.createDataFrame([(7,), (7,), (8999,), (5,)], "id long")
     assert routing.retry_failed_only(records, failed).count() == ROWS // 3 + 1
+
+
+@pytest.mark.parametrize(
+    "master, folder, warehouse, default, wanted",
+    [
+        ("yarn", None, "file:/home/me/spark-warehouse", "file:///", None),
+        ("spark://host:7077", None, "/home/me/spark-warehouse", "file:///", None),
+        ("yarn", None, "/warehouse", "hdfs://name", "/warehouse/_checkpoints"),
+        ("yarn", None, "hdfs://name/warehouse", "file:///", "hdfs://name/warehouse/_checkpoints"),
+        ("yarn", "file:///mnt/shared/", "file:/x", "file:///", "file:///mnt/shared"),
+        ("local[8]", None, "file:/home/me/spark-warehouse", "file:///", "file:/home/me/spark-warehouse/_checkpoints"),
+    ],
+)
+def test_folder_is_shared_on_a_cluster(master, folder, warehouse, default, wanted):
+    from types import SimpleNamespace as Stub
+
+    from pentarank.session import shared_folder
+
+    conf = {"spark.checkpoint.dir": folder, "spark.sql.warehouse.dir": warehouse}
+    hadoop = Stub(get=lambda key, other: default)
+    context = Stub(master=master, getConf=lambda: Stub(get=lambda key: None), _jsc=Stub(hadoopConfiguration=lambda: hadoop))
+    session = Stub(conf=Stub(get=lambda key, other=None: conf[key] or other), sparkContext=context)
+    if wanted is None:
+        with pytest.raises(ValueError, match="all executors share"):
+            shared_folder(session)
+    else:
+        assert shared_folder(session) == wanted

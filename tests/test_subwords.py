@@ -116,3 +116,15 @@ def test_digit_labels_are_masked(spark):
     rows = df.select(fixed.alias("f")).select(tokens.mask_labels("f.input_ids", "f.attention_mask", tokenizer.special_id("[/INST]")).alias("labels"))
     told = rows.select(tokenizer.decode("labels").alias("t")).first().t
     assert told.replace("</s>", "") == "answer é"
+
+
+@pytest.mark.parametrize("tokenizer", [tokens.HashTokenizer(), subwords.HexTokenizer()])
+@pytest.mark.parametrize("max_length", [None, 40, 400])
+def test_parts_give_the_ids_of_whole_chats(spark, tokenizer, max_length):
+    texts = ["", "plain", "ends with [", "[/INST", "<", "[INST] inside [/INST] it", "</s>", "é[IMG]", "<s", None, "word " * 100]
+    rows = [(k, a, b, c) for k, (a, b, c) in enumerate((a, b, c) for a in texts for b in (texts[k] for k in (0, 3, 8, 9)) for c in ("<output>\n\n3", None))]
+    df = spark.createDataFrame(rows, "id int, sentence string, reasoning string, output string")
+    arguments = (df, tokenizer, "{{SENTENCE}} end", max_length, ("id",), (False, True))
+    parts, whole = (sorted(make(*arguments).collect(), key=lambda r: (r.id, r.generation)) for make in (preparation._joined_ids, preparation._rendered_ids))
+    cut = lambda ids: ids if ids is None or max_length is None else ids[:max_length]
+    assert [(r.id, r.generation, cut(r["_ids"]), cut(r["_answer_ids"])) for r in parts] == [tuple(r) for r in whole]
