@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import collections
-import re
 import zlib
 
 import duckdb
@@ -14,6 +13,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from compare import TABLES, rows_of
 from pentarank.llm import quality, queries, secrets
+from test_models import plain_random
 from test_operators import WORDS, brute_components, brute_fingerprint, brute_spans, shingles
 
 
@@ -81,12 +81,7 @@ def test_pipeline_on_empty_and_odd_documents(spark, sf_dir):
 
 
 def brute_masked(text, model):
-    spans = [(a, b) for a, _, b in brute_spans(text)]
-    for m in re.finditer(secrets.CANDIDATE, text):
-        codes = [ord(c) - secrets.FIRST for c in m[0]]
-        ratio = sum(model.ratios[x * secrets.SYMBOLS + y] for x, y in zip(codes, codes[1:]))
-        if ratio >= 12.0 and ratio >= 0.4 * (len(codes) - 1) and not any(a < m.end() and m.start() < b for a, b in spans[:]):
-            spans.append((m.start(), m.end()))
+    spans = [(a, b) for a, _, b in brute_spans(text)] + plain_random(text, model)
     done, at = "", 0
     for a, b in sorted(spans):
         if a >= at:
