@@ -30,6 +30,7 @@ PAIRS = 1 << 15
 PIVOTS = 64
 SPARSE = 32
 SLACK = 1e-6
+TIE = 1e-7
 
 
 class CoverTree:
@@ -347,11 +348,13 @@ def _grown(classes: DataFrame, block: int) -> tuple[DataFrame, DataFrame]:
             "transform(pivots, p -> sqrt(greatest(0.0D, 2.0D - 2.0D * aggregate(zip_with(p, unit, (s, t) -> s * t), 0.0D, (s, t) -> s + t))))"
         )
         moved = waiting.join(pivots, "node").withColumn("apart", apart).withColumn("near", F.array_min("apart"))
-        moved = moved.withColumn("p", F.array_position("apart", F.col("near")).cast("int") - 1)
+        # Pivots that are equally near share what is nearest to them, so that a crowd of all but equal vectors is split too.
+        near = F.expr(f"filter(sequence(0, size(apart) - 1), i -> apart[i] <= near + {TIE!r}D)")
+        moved = moved.withColumn("same", near).withColumn("p", F.get("same", F.pmod(F.xxhash64("h", F.lit(level)), F.size("same")).cast("int")))
         waiting = cut(
             moved.select(
                 F.col("node").alias("parent"), F.concat("node", F.lit("."), F.col("p").cast("string")).alias("node"),
-                "vec", "copies", "unit", "h", "near", F.get("pivots", F.col("p")).alias("c"),
+                "vec", "copies", "unit", "h", F.get("apart", F.col("p")).alias("near"), F.get("pivots", F.col("p")).alias("c"),
             )
         )
         nodes.append(waiting.groupBy("node", "parent").agg(F.any_value("c").alias("c"), (F.max("near") + SLACK).alias("r")).select("node", "parent", "c", "r"))

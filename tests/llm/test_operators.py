@@ -202,6 +202,15 @@ def test_cover_tree_links(spark, block):
     assert cover_tree.link_vectors(df.limit(0)).count() == 0
 
 
+def test_crowds_of_all_but_equal_vectors_are_split(spark):
+    rng = np.random.default_rng(2)
+    rows = [(k, (np.array([1.0, 2.0, 3.0]) + rng.normal(size=3) * 1e-13 * (k % 3)).tolist(), 1) for k in range(300)]
+    rows += [(300 + k, (np.array([-1.0, 0.5, 0.0]) + rng.normal(size=3) * 1e-9).tolist(), 1) for k in range(200)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    got = {r.vec_id: (r.n_links, r.component_id) for r in cover_tree.link_vectors(df, 0.93, block=16).collect()}
+    assert got == {k: (299, 0) if k < 300 else (199, 300) for k in range(500)}
+
+
 def test_dual_traversal_is_exact_and_prunes():
     rng = np.random.default_rng(0)
     for trial in range(80):
