@@ -44,6 +44,8 @@ FIRST_SYMBOL = "a"
 FIRST_RULE = 0x4E00
 TURN_BITS = 8
 SEGMENT_ROWS = 4096
+# Rows up to which the table of crowded turns is sent to all executors; a row is under 100 bytes.
+BROADCAST_ROWS = 200_000
 ROUNDS = 6
 PER_ROUND = 16
 MEMO = 1 << 14
@@ -221,7 +223,14 @@ def _segments(plain: DataFrame) -> DataFrame:
     hot = counts.select(
         F.struct("conv", "block").alias("here"), F.ceil(F.log(F.col("count") / SEGMENT_ROWS) / F.log(F.lit(16.0))).cast("int").alias("digits")
     )
-    marked = plain.withColumn("here", F.struct("conv", block.alias("block"))).join(hot, "here", "left")
+    # At most one row for 4096 rows of the input, and mostly none: the texts move for them only if they are many.
+    hot = cut(hot)
+    crowded = hot.count()
+    here = F.struct("conv", block.alias("block"))
+    if not crowded:
+        marked = plain.withColumns({"here": here, "digits": F.lit(None).cast("int")})
+    else:
+        marked = plain.withColumn("here", here).join(F.broadcast(hot) if crowded <= BROADCAST_ROWS else hot, "here", "left")
     wide = F.struct(F.shiftleft(block, TURN_BITS).alias("first"), F.lit("").alias("role"), F.lit("").alias("digest"))
     narrow = F.struct(
         F.col("turn").alias("first"), F.col("role"), F.substring("digest", F.lit(1), F.col("digits")).alias("digest")

@@ -161,10 +161,10 @@ def test_query_repairs_as_brute_force_does(spark, sf_dir):
     assert sorted(made.columns) == sorted(NAMES) and held(made) == want
 
 
-@pytest.mark.parametrize("limits", [(4096, 8, 1 << 20), (6, 2, 64)])
+@pytest.mark.parametrize("limits", [(4096, 8, 1 << 20, 1000), (6, 2, 64, 1000), (6, 2, 64, 0)])
 def test_repair_of_odd_conversations(spark, monkeypatch, limits):
     """Also cut into segments of a few rows and turns, and into texts of a few bytes."""
-    for name, value in zip(("SEGMENT_ROWS", "TURN_BITS", "BLOB"), limits):
+    for name, value in zip(("SEGMENT_ROWS", "TURN_BITS", "BLOB", "BROADCAST_ROWS"), limits):
         monkeypatch.setattr(conversations, name, value)
     pick = random.Random(5).choice
     rows = []
