@@ -194,7 +194,8 @@ def perplexity_streamed(spark: SparkSession, sf_dir: str) -> DataFrame:
     end = spark.range(1).selectExpr("cast(null as long) seq_id", "0 pos", "cast(null as array<double>) logits", "0 target", f"timestamp_seconds({STREAM_START} + 86400) ts")
     end.write.mode("append").parquet(f"{folder}/in")
     sums = sequences.sequence_sums(sequences.token_stream(spark, f"{folder}/in", ddl, files))
-    sequences.store_sequence_sums(sums, f"{folder}/out", f"{folder}/state").awaitTermination()
+    # Few sequences of eight tokens: eight tasks of state for each file that they came in.
+    sequences.store_sequence_sums(sums, f"{folder}/out", f"{folder}/state", 8 * files).awaitTermination()
     result = running.accumulated_perplexity(spark, f"{folder}/out", skip_empty=True)
     return _rounded(result.withColumnRenamed("perplexity", "perplexity_streamed"), "perplexity_streamed")
 

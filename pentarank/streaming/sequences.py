@@ -20,6 +20,7 @@ from pentarank.functions import vectors
 
 BLOCK = 4096
 _PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+_PARTITIONS = "spark.sql.shuffle.partitions"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
@@ -98,26 +99,33 @@ def sequence_sums(
     return sums.filter(F.col(seq_col).isNotNull())
 
 
-def store_sequence_sums(sums: DataFrame, target: str, checkpoint: str) -> StreamingQuery:
+def store_sequence_sums(sums: DataFrame, target: str, checkpoint: str, state_partitions: int | None = None) -> StreamingQuery:
     """Append finished sums to ``target`` for all that has arrived, then stop.
 
     State and progress live in ``checkpoint``: a run that fails, or ends, is taken up by the
     next one, and the file sink lists each batch once. Keyed state needs the RocksDB state store, which
-    is set for this query alone. Read the result with ``running.accumulated_perplexity``.
+    is set for this query alone, and so is ``state_partitions``: over how many tasks the state is dealt, for the life of
+    the checkpoint; the session's shuffle partitions by default. Read the result with ``running.accumulated_perplexity``.
     """
     spark = sums.sparkSession
-    before = spark.conf.get(_PROVIDER, None)
-    spark.conf.set(_PROVIDER, _ROCKS)
+    wanted = {_PROVIDER: _ROCKS}
+    if state_partitions is not None:
+        wanted[_PARTITIONS] = str(state_partitions)
+    before = {key: spark.conf.get(key, None) for key in wanted}
+    for key, value in wanted.items():
+        spark.conf.set(key, value)
     try:
+        # The query takes the settings it finds when it starts.
         return (
             sums.writeStream.format("parquet").outputMode("append").option("checkpointLocation", checkpoint)
             .trigger(availableNow=True).start(target)
         )
     finally:
-        if before is None:
-            spark.conf.unset(_PROVIDER)
-        else:
-            spark.conf.set(_PROVIDER, before)
+        for key, value in before.items():
+            if value is None:
+                spark.conf.unset(key)
+            else:
+                spark.conf.set(key, value)
 
 
 def token_stream(spark: SparkSession, source: str, schema: str, files_per_batch: int | None = None) -> DataFrame:
