@@ -6,7 +6,10 @@ import base64
 import os
 import random
 import time
+from functools import partial
 
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 from pyspark.sql import functions as F
 
@@ -109,6 +112,63 @@ def test_digits_round_trip(spark):
     assert told.t == "</s>A�"
 
 
+def test_digits_go_by_whole_batches(spark):
+    """One Python step for the whole chain, and nothing evaluated position by position in a lambda."""
+    tokenizer = subwords.HexTokenizer()
+    chain = tokenizer.decode(tokenizer.spoken(tokenizer.encode("text")))
+    df = spark.createDataFrame([(t, t) for t in [*ODD, None]], "text string, label string")
+    told = df.select("text", chain.alias("told"), tokenizer.decode(tokenizer.encode("label")).alias("label"))
+    plan = told._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1 and "lambda" not in plan
+    assert all(r.told == r.text == r.label for r in told.collect())
+
+
+def _plain_ids(text):
+    """Ids of a text, byte by byte."""
+    ids = []
+    while text:
+        token = next((t for t in SPECIAL_TOKENS if text.startswith(t.encode())), None)
+        ids += [16 + SPECIAL_TOKENS.index(token)] if token else divmod(text[0], 16)
+        text = text[len(token or " ") :]
+    return ids
+
+
+def _plain_octets(ids):
+    """Bytes of ids, digit by digit."""
+    known = [*"0123456789abcdef", *(t.encode().hex() for t in SPECIAL_TOKENS)]
+    digits = "".join("3c2f733e" if t == -100 else known[t] if t is not None and 0 <= t < 21 else "" for t in ids)
+    return bytes.fromhex("0" * (len(digits) % 2) + digits)
+
+
+@pytest.mark.parametrize("part", [1, 50, 1 << 20])
+def test_batches_and_parts_against_a_plain_program(monkeypatch, part):
+    monkeypatch.setattr(subwords, "PART", part)
+    monkeypatch.setattr(subwords, "SLICE", 7)
+    monkeypatch.setattr(subwords, "EXPANDED", 9)
+    pick = random.Random(5)
+    pieces = [*SPECIAL_TOKENS, "<", "[", "</", "s>", "INST]", "é", "漢", "\x00", "word ", "\n"]
+    texts = [None, "", "</s>" * 20, *("".join(pick.choices(pieces, k=pick.randint(0, 12))) for _ in range(300)), "<", "s>", "[/INST", "]"]
+    texts = [t if t is None else t.encode() for t in texts]
+    odd = [None, [], *([pick.choice([None, -100, -5, 21, 99, *range(21)]) for _ in range(pick.randint(0, 15))] for _ in range(300))]
+
+    def run(work, rows, lengths):
+        out = subwords._by_parts(work, rows, lengths(rows))
+        assert out.slice(3, 40).equals(subwords._by_parts(work, rows.slice(3, 40), lengths(rows.slice(3, 40))))
+        return out
+
+    told = partial(subwords._hex_octets, ignore_index=-100)
+    ids = run(subwords._hex_ids, pa.array(texts, pa.binary()), pc.binary_length)
+    assert ids.to_pylist() == [t if t is None else _plain_ids(t) for t in texts]
+    assert run(subwords._spoken_ids, ids, pc.list_value_length).equals(ids)
+    assert run(told, ids, pc.list_value_length).to_pylist() == texts
+    others = pa.array(odd, pa.list_(pa.int32()))
+    assert run(told, others, pc.list_value_length).to_pylist() == [r if r is None else _plain_octets(r) for r in odd]
+    said = [r if r is None else [t if t is not None and 0 <= t < 21 else None for t in r] for r in odd]
+    assert run(subwords._spoken_ids, others, pc.list_value_length).to_pylist() == said
+    none = pa.array([], pa.binary())
+    assert len(subwords._by_parts(subwords._hex_ids, none, pc.binary_length(none))) == 0
+
+
 def test_digit_labels_are_masked(spark):
     tokenizer = subwords.HexTokenizer()
     df = spark.createDataFrame([("[INST]ask[/INST]answer é</s>",)], "chat string")
